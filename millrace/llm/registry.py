@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import line_dedup, secrets
+from millrace.llm import decontaminate, line_dedup, secrets, token_store
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_token_store": token_store.op3_token_store,
     "op4_secrets": secrets.op4_secrets,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
