@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, line_dedup, secrets, token_store
+from millrace.llm import decontaminate, line_dedup, quality_gam, quality_rules, secrets, token_store
 
 QUERIES = {
+    "op1_quality": quality_gam.op1_quality,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_store": token_store.op3_token_store,
     "op4_secrets": secrets.op4_secrets,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
-ORACLES = {"op8_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op6_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
