@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, line_dedup, quality_gam, quality_rules, secrets, token_store
+from millrace.llm import decontaminate, language_id, line_dedup, quality_gam, quality_rules, secrets, token_store
 
 QUERIES = {
     "op1_quality": quality_gam.op1_quality,
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_language_id": language_id.op9_language_id,
 }
 ORACLES = {"op6_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
