@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NO_ID, table
+from millrace.llm.common import NO_ID, stored, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at its ends, A-Z lower-cased. lower() is the faster way where all characters are ASCII."""
-    bare = F.btrim(line, F.lit(BLANKS))
+def lowered(bare: Column) -> Column:
+    """A-Z lower-cased. lower() is the faster way where all characters are ASCII."""
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
@@ -26,7 +25,8 @@ def drop_shared_lines(
     least `min_chars` code points and stands in at least `min_docs` documents go, except in the largest id that holds
     them. The rest is reassembled by position.
 
-    Only hashes, ids and positions are shuffled for the counts; a key that is in every document arrives as one partial
+    The exploded lines (hashes, ids and positions) are written once to the shared folder and read for the counts and for
+    the second join, so texts are split once. Only those are shuffled for the counts; a key that is in every document arrives as one partial
     count per task. The second join deals its rows by hash; adaptive execution splits a hot one. Texts move once, when
     the positions to drop meet their document.
 
@@ -37,11 +37,11 @@ def drop_shared_lines(
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("d"), text.alias("t")).withColumn(
         "th", F.unhex(F.md5("t"))
     )
-    lines = (
-        base.select("d", "th", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-        .withColumn("key", line_key(F.col("line")))
-        .where(F.char_length("key") >= min_chars)
-        .select("d", "th", "pos", F.unhex(F.md5("key")).alias("h"))
+    stripped = F.transform(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
+    lines = stored(
+        base.select("d", "th", F.posexplode(stripped).alias("pos", "bare"))
+        .where(F.char_length("bare") >= min_chars)
+        .select("d", "th", "pos", F.unhex(F.md5(lowered(F.col("bare")))).alias("h"))
     )
     shared = (
         lines.select("h", "d").distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("d").alias("keeper")).where(F.col("n") >= min_docs)
