@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, language_id, line_dedup, quality_gam, quality_rules, secrets, token_store
+from millrace.llm import decontaminate, language_id, line_dedup, mixing, quality_gam, quality_rules, secrets, token_store
 
 QUERIES = {
     "op1_quality": quality_gam.op1_quality,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_store": token_store.op3_token_store,
     "op4_secrets": secrets.op4_secrets,
+    "op5_mixing": mixing.op5_mixing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
