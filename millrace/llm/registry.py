@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, language_id, line_dedup, mixing, quality_gam, quality_rules, secrets, token_store
+from millrace.llm import decontaminate, language_id, line_dedup, mixing, quality_gam, quality_rules, secrets, suffix_dedup, token_store
 
 QUERIES = {
     "op1_quality": quality_gam.op1_quality,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_store": token_store.op3_token_store,
     "op4_secrets": secrets.op4_secrets,
