@@ -32,9 +32,11 @@ END_ID = 2
 DICT_BYTES = 64 * 1024
 #: Documents whose ids train the dictionary, and how much of each at most is looked at.
 DICT_DOCS, DICT_IDS = 2000, 4096
+#: One id in so many may be in the sample.
+DICT_SHARE = 4
 BLOCK_BYTES = 1 << 20
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 
 _LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 #: The tokenizer's own split into pieces, for characters below U+0250. Texts with others go to the library whole.
@@ -44,6 +46,16 @@ PIECES = re.compile(
 BEYOND = re.compile("[^\x00-ɏ]")
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters by which byte-level models write bytes: printable ones for themselves, the others from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class Encoder:
     """Ids of texts by the tokenizers library; ids of recurring pieces are remembered."""
 
@@ -54,26 +66,16 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        """New pieces are encoded in one go, one a line: a line feed between them is always a piece and an id of its own."""
-        plain = [p for p in pieces if not p.isspace() and "\n" not in p]
-        for p in pieces.difference(plain):
-            self.known[p] = self._whole(p)
-        for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.newline[0])
-            if len(cuts) != len(part) - 1:
-                self.known.update((p, self._whole(p)) for p in part)
-                continue
-            at = [0, *(cuts + 1).tolist(), len(ids) + 1]
-            self.known.update((p, ids[a : b - 1].tobytes()) for p, a, b in zip(part, at, at[1:], strict=False))
+        """New pieces go through the library's model alone: they are already what its pre-tokenizer would give."""
+        tokenize, known, dtype = self.tokenizer.model.tokenize, self.known, self.dtype
+        for p in pieces:
+            known[p] = np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_CHARS))], dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -96,16 +98,15 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, path: str, *, id_col: str, text_col: str) -> bytes:
-    """From at most DICT_DOCS documents (smallest hashes of their ids) and DICT_IDS ids of each: a bounded sample."""
+    """From at most DICT_DOCS documents and DICT_IDS ids of each: a bounded sample from the first partitions that have them."""
     sample = (
-        docs.select(F.xxhash64(F.col(id_col), F.length(text_col)).alias("o"), F.substring(text_col, 1, 4 * DICT_IDS).alias("t"))
-        .where(F.length("t") > 0)
-        .orderBy("o", "t")
+        docs.where((F.length(text_col) > 0) & (F.pmod(F.xxhash64(id_col), F.lit(DICT_SHARE)) == 0))
+        .select(F.substring(text_col, 1, 4 * DICT_IDS).alias("t"))
         .limit(DICT_DOCS)
     )
     coder = encoder(path)
     width = coder.dtype.itemsize
-    samples = [b[: DICT_IDS * width] for b in coder.encode([r.t for r in sample.select("t").collect()])]
+    samples = [b[: DICT_IDS * width] for b in coder.encode([r.t for r in sample.collect()])]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few or too small samples
