@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,21 @@ def _byte_chars() -> dict[int, str]:
 BYTE_CHARS = _byte_chars()
 
 
+class Pieces(dict):
+    """Little-endian ids by piece of text; a piece that is met for the first time is encoded."""
+
+    def __init__(self, model, code: str):
+        self.tokenize, self.code = model.tokenize, code
+
+    def __missing__(self, piece: str) -> bytes:
+        """A piece is what the pre-tokenizer would give, so it goes to the library's model alone."""
+        ids = array(self.code, [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        self[piece] = found = ids.tobytes()
+        return found
+
+
 class Encoder:
     """Ids of texts by the tokenizers library; ids of recurring pieces are remembered."""
 
@@ -63,29 +80,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.vocab = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        """New pieces go through the library's model alone: they are already what its pre-tokenizer would give."""
-        tokenize, known, dtype = self.tokenizer.model.tokenize, self.known, self.dtype
-        for p in pieces:
-            known[p] = np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_CHARS))], dtype).tobytes()
+        self.known = Pieces(self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
+    def encode(self, text: str) -> bytes:
+        """Little-endian ids of a text."""
+        if BEYOND.search(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        pieces = [
-            None if BEYOND.search(t) or any(s in t for s in self.special) else PIECES.findall(t) for t in texts
-        ]
-        self._learn(set().union(*filter(None, pieces)).difference(self.known))
-        return [self._whole(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, pieces, strict=True)]
+        return b"".join(map(self.known.__getitem__, PIECES.findall(text)))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -106,7 +111,7 @@ def train_dictionary(docs: DataFrame, path: str, *, id_col: str, text_col: str)
     )
     coder = encoder(path)
     width = coder.dtype.itemsize
-    samples = [b[: DICT_IDS * width] for b in coder.encode([r.t for r in sample.collect()])]
+    samples = [coder.encode(r.t)[: DICT_IDS * width] for r in sample.collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few or too small samples
@@ -134,8 +139,7 @@ def write_tokens(
     trained = train_dictionary(words, tokenizer_path, id_col="id", text_col="text")
     digest = hashlib.sha256(trained).hexdigest()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # equal ids with many copies would land in one range: the text's hash splits them
-    ordered = words.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
+    ordered = words.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
 
     def run(batches):
         coder = encoder(tokenizer_path)
@@ -156,17 +160,17 @@ def write_tokens(
 
         for batch in batches:
             names, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            for k in range(0, len(names), 256):
-                for name, data in zip(names[k : k + 256], coder.encode(texts[k : k + 256]), strict=True):
-                    frame = packer.compress(data + end)
-                    if frames and len(frame) > room:
-                        yield flush()
-                        block, start, room = block + 1, start + sum(counts), BLOCK_BYTES
-                        ids, counts, frames = [], [], []
-                    ids.append(name)
-                    counts.append((len(data) + len(end)) // coder.dtype.itemsize)
-                    frames.append(frame)
-                    room -= len(frame)
+            for name, text in zip(names, texts, strict=True):
+                data = coder.encode(text) + end
+                frame = packer.compress(data)
+                if frames and len(frame) > room:
+                    yield flush()
+                    block, start, room = block + 1, start + sum(counts), BLOCK_BYTES
+                    ids, counts, frames = [], [], []
+                ids.append(name)
+                counts.append(len(data) // coder.dtype.itemsize)
+                frames.append(frame)
+                room -= len(frame)
         if frames:
             yield flush()
 
