@@ -14,6 +14,7 @@ A document is read alone: its block by doc_id statistics, its frame by the offse
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import sys
@@ -158,6 +159,7 @@ def write_tokens(
             names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=names)
 
+        gc.disable()  # else it walks the growing table of pieces again and again; nothing here refers to itself
         for batch in batches:
             names, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             for name, text in zip(names, texts, strict=True):
@@ -171,6 +173,7 @@ def write_tokens(
                 counts.append(len(data) // coder.dtype.itemsize)
                 frames.append(frame)
                 room -= len(frame)
+        gc.enable()
         if frames:
             yield flush()
 
