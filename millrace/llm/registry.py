@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, language_id, line_dedup, mixing, quality_gam, quality_rules, secrets, suffix_dedup, token_store
+from millrace.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, quality_gam, quality_rules, secrets, suffix_dedup, token_store
 
 QUERIES = {
     "op1_quality": quality_gam.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
 }
