@@ -1,3 +1,64 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""From raw documents to token files: language ID, near-dedup, decontamination, mixing, token output.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, language_id, mixing, near_dedup, token_store
+from millrace.llm.common import shared_dir, stored, table
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null or without a letter, or with none ahead of the others."""
+    model = language_id.learn(docs)
+    found = language_id.predict(docs, model, whole_rows=True)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") > 0.5)).select("row.*")
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the least id stays. Rows with one id are one document; rows without an id stay."""
+    groups = near_dedup.near_duplicates(docs)
+    first = groups.where("doc_id = group_id").select("doc_id")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = docs.where("doc_id IS NOT NULL").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return once.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), whole_rows=True)
+    return found.where(f"NOT ({decontaminate.RULE})").select("row.*")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that a document is read, so that the sources reach their weights; each is read at least once."""
+    return mixing.mix_sources(docs, carry=docs.columns).select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files, and from them a row for each document in them: doc_id, start, n_tokens, ids_crc32."""
+    out = shared_dir(spark)
+    token_store.write_tokens(docs, out, token_store.tokenizer_path())
+    return token_store.read_tokens(spark, out, digest_only=True)
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("near_dedup", keep_one_of_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("mixing", mix),
+    ("token_store", write_tokens),
+]
+#: Language models, near duplicates and tokens are not for SQL; the tests hold each stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

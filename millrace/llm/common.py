@@ -49,20 +49,28 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
-    """Each task calls make() once and passes its Arrow batches through what that returns (columns by name)."""
+def map_arrow(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, *, keep: list[str] | None = None
+) -> DataFrame:
+    """Each task calls make() once and passes its Arrow batches through what that returns (columns by name).
+
+    With `keep`, which needs a row out for each row in, these columns of `df` come first, under their names.
+    """
     from pyspark.sql.types import StructType
 
     names = [f.name for f in StructType.fromDDL(schema)]
     types = _arrow_types(schema)
+    kept = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             if batch.num_rows and (out := f(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names=names)
+                made = [pa.array(out[n], t) for n, t in zip(names, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *made], names=[*kept, *names])
 
-    return df.mapInArrow(run, schema)
+    whole = StructType([*(df.schema[k] for k in kept), *StructType.fromDDL(schema)])
+    return df.mapInArrow(run, whole)
 
 
 def _arrow_types(schema: str) -> list[pa.DataType]:

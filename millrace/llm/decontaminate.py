@@ -86,9 +86,11 @@ def _blocks(items: list[tuple[int, str]], chars: int) -> list[list[tuple[int, st
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS,
+    whole_rows: bool = False,
 ) -> DataFrame:
     """One row per input row: id, n_words, n_hit, item_ids (as strings, sorted), spans of hit words in the original text.
+    With `whole_rows`, the input's row as the struct `row` instead of the id.
 
     The automaton of the benchmark's 13-word windows is built in every Python worker; documents are read once, in
     place, and nothing is shuffled. The benchmark is a test set and comes to the driver; beyond `block_chars` characters
@@ -101,7 +103,7 @@ def find_contamination(
     items = [tuple(r) for r in benchmark.select("item_id", "text").where("text is not null").distinct().toLocalIterator()]
     items.sort(key=lambda r: (str(r[0]), r[1]))
     blocks = _blocks(items, block_chars)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
 
     def make():
         def run(batch) -> dict:
@@ -127,7 +129,9 @@ def find_contamination(
 
         return run
 
-    return map_arrow(source, make, SCHEMA).withColumnRenamed("id", id_col)
+    if whole_rows:
+        return map_arrow(docs.select(*columns, F.struct("*").alias("row")), make, SCHEMA, keep=["row"]).drop("id")
+    return map_arrow(docs.select(*columns), make, SCHEMA).withColumnRenamed("id", id_col)
 
 
 #: A document is contaminated if a twentieth of its words or more are hit.

@@ -152,8 +152,11 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return sorted((r.lang, r.gram, r.n) for r in counted.collect())
 
 
-def predict(docs: DataFrame, rows: list[tuple[str, int, int]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, lang_pred, score, bits (per byte, in the predicted language).
+def predict(
+    docs: DataFrame, rows: list[tuple[str, int, int]], *, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False
+) -> DataFrame:
+    """One row per input row: id, lang_pred, score, bits (per byte, in the predicted language). With `whole_rows`, the
+    input's row as the struct `row` instead of the id.
 
     The language with the shortest code length of the whole text; score: its share of probability against the others.
     Texts are scored in place, without a shuffle. Null text, text without a letter, and any text when nothing was
@@ -182,8 +185,11 @@ def predict(docs: DataFrame, rows: list[tuple[str, int, int]], *, id_col: str =
 
         return run
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(source, make, "id bigint, lang_pred string, score double, bits double").withColumnRenamed("id", id_col)
+    schema = "id bigint, lang_pred string, score double, bits double"
+    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    if whole_rows:
+        return map_arrow(docs.select(*columns, F.struct("*").alias("row")), make, schema, keep=["row"]).drop("id")
+    return map_arrow(docs.select(*columns), make, schema).withColumnRenamed("id", id_col)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
