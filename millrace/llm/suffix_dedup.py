@@ -35,7 +35,7 @@ MEETING = 50_000
 
 _LONG, _INT = pa.int64(), pa.int32()
 CHUNK = pa.schema({"chunk": _LONG, "ids": pa.list_(_LONG), "ends": pa.list_(_LONG), "packed": pa.binary()}.items())
-TUPLE = pa.schema({"gram": _LONG, "cover": _LONG, "doc": _LONG, "chunk": _LONG, "pos": _INT, "n": _INT}.items())
+TUPLE = pa.schema({"gram": _LONG, "cover": _LONG, "doc": _LONG, "chunk": _LONG, "pos": _INT, "n": _INT, "settled": pa.bool_()}.items())
 ENDS = pa.schema(
     {"gram": _LONG, "doc": _LONG, "chunk": _LONG, "pos": _INT, "n": _INT, "data": pa.binary(), "string1": _LONG, "string2": _LONG}.items()
 )
@@ -96,13 +96,21 @@ def _runs(batch: pa.RecordBatch, name: str, k: int, field: str) -> np.ndarray:
 
 
 def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunk's tuples. Those that repeat one of the same chunk are settled here and dealt anywhere, so that of many
+    copies no more than one per chunk meet."""
     for batch in batches:
         for k in range(batch.num_rows):
             c = _Chunk(batch, k)
             start, n, gram, cover = anchors(c.data, c.ends)
             if len(start):
                 doc = c.order[np.searchsorted(c.ends, start, side="right")]
-                yield _batch(TUPLE, [_signed(gram), _signed(cover), doc, np.full(len(start), c.chunk), start, n])
+                by = np.lexsort((start, doc, cover, gram))
+                again = (gram[by][1:] == gram[by][:-1]) & (cover[by][1:] == cover[by][:-1])
+                settled = np.zeros(len(start), bool)
+                settled[by[1:][again]] = True
+                anywhere = mixed(np.uint64(c.chunk) * np.uint64(CHUNK_BYTES) + start.astype(np.uint64))
+                gram = np.where(settled, anywhere, gram)
+                yield _batch(TUPLE, [_signed(gram), _signed(cover), doc, np.full(len(start), c.chunk), start, n, settled])
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +198,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Strings are compared by 128 bits of hashes (of the anchor's gram and of the string or covering). Texts are packed
     into chunks and written once; chunks, not documents, meet the findings. Tuples are dealt by gram and sorted by
-    Spark, which spills; equal coverings, such as those of many copies, are settled there. The bytes of open tuples meet
+    Spark, which spills; equal coverings, such as those of many copies, are settled within a chunk, then there. The bytes of open tuples meet
     by gram, `meeting` coverings at most; strings of grams with more are grouped and joined one by one instead.
 
     Null text is empty. A null id comes before all others. Rows with one id are ordered as they were read. Other
@@ -207,8 +215,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         .withColumn("coverings", F.max("covering").over(Window.partitionBy("gram")))
     )
     found = stored(
-        tuples.where("nth > 1 OR coverings > 1").select(
-            "chunk", "pos", "n", "gram", (F.col("nth") > 1).alias("gone"), (F.col("coverings") > meeting).cast("int").alias("many")
+        tuples.where("settled OR nth > 1 OR coverings > 1").select(
+            "chunk", "pos", "n", "gram", (F.col("settled") | (F.col("nth") > 1)).alias("gone"), (F.col("coverings") > meeting).cast("int").alias("many")
         )
     )
     open_ = found.where("NOT gone").groupBy("chunk").agg(F.collect_list(F.struct("pos", "n", "gram", "many")).alias("open"))
