@@ -1,39 +1,8 @@
-"""The named queries and their DuckDB twins."""
+"""All queries of the engine, by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from millrace.plans import notation_queries, page_queries, relational_queries, stream_queries  # noqa: F401  they register themselves
+from millrace.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from millrace.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return register
-
-
-@query(
-    "q01_latest_only",
-    """SELECT event_id, user_id, event_type, round(value, 4) AS value FROM (
-         SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events
-       ) WHERE rn = 1 AND value > 5""",
-)
-def q01_latest_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    return (
-        table(spark, sf_dir, "events")
-        .withColumn("rn", F.row_number().over(newest))
-        .where("rn = 1 AND value > 5")
-        .select("event_id", "user_id", "event_type", F.round("value", 4).alias("value"))
-    )
+__all__ = ["ORACLES", "QUERIES"]
