@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -19,10 +19,15 @@ SIMILARITY = 0.8
 #: Pairs with fewer equal samples of the 64 are not read: at a similarity of 0.8 some 51 are equal, with a deviation of 3.2.
 LEAST_EQUAL = 35
 SLICES = 256
+#: Members of a bucket up to which all pairs of different components are candidates.
+SMALL_BUCKET = 64
+#: Documents in which a rare shingle stands at most, in large buckets.
+RARE = 10
 
 _LONG = pa.int64()
 COUNTS = pa.schema({"slice": pa.int32(), "counts": pa.binary()}.items())
 SIGNED = pa.schema({"doc": _LONG, "same": pa.binary(), "bands": pa.list_(_LONG), "sig": pa.list_(pa.int32())}.items())
+WEIGHTS = pa.schema({"doc": _LONG, "shingle": _LONG, "weight": pa.float64()}.items())
 SCORED = pa.schema({"a": _LONG, "b": _LONG, "similarity": pa.float64()}.items())
 
 _samplers: list[m.Sampler] = []
@@ -122,6 +127,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Dat
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, from_arrow_schema(SCORED))
 
 
+def _texts_of(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """One text of each of these documents. Their number follows the input, so the ids are not broadcast at any size."""
+    return texts.join(docs.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+
+
+def _across(members: DataFrame, may: Column, *extra: str) -> DataFrame:
+    """Pairs (a, b) of members of one bucket in different components for which `may`, of columns x_.. and y_.., is true."""
+    side = lambda x: members.select("bucket", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "label", *extra)))
+    both = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x_label") != F.col("y_label")) & (F.col("x_doc") < F.col("y_doc")) & may
+    return side("x").alias("x").join(side("y").alias("y"), both).select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")).distinct()
+
+
+def _crowd_pairs(crowd: DataFrame, whole: DataFrame, idf, similarity: float) -> list[DataFrame]:
+    """Pairs of large buckets' members that can be alike, without all pairs of a bucket.
+
+    A shingle is rare if few of these documents have it. Two alike documents either share a rare shingle, and then meet
+    there; or all that they share is common, and then what is common in each must weigh enough for both: a document with
+    more than that of its own is alike to none that it doesn't share a rare shingle with.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h, w = m.weighted(text, idf.value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc)), pa.array(h.view(np.int64)), pa.array(w.astype(np.float64))], schema=WEIGHTS)
+
+    rows = stored(whole.mapInArrow(run, from_arrow_schema(WEIGHTS)))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    known = stored(rows.join(shared, "shingle"))
+    weights = known.groupBy("doc").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("df") > RARE, F.col("weight")).otherwise(0.0)).alias("common"))
+    members = crowd.select("bucket", "doc", "label").join(weights, "doc")
+    # weighted Jaccard t: what both have weighs at least t / (1 + t) of both totals; a little less for rounding
+    need = (F.col("x_total") + F.col("y_total")) * (similarity / (1 + similarity) * (1 - 1e-6))
+    common = _across(members, F.least("x_common", "y_common") >= need, "total", "common")
+    label = crowd.select("doc", "label").distinct()
+    rare = known.where(F.col("df").between(2, RARE)).select("shingle", "doc").join(label, "doc").withColumnRenamed("shingle", "bucket")
+    return [common, _across(rare, F.lit(True))]
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -131,8 +175,8 @@ def near_duplicates(
     groups are what links connect. Exact copies are one text from the start. Candidates share a band of samples. The
     links of a band's bucket are settled without all its pairs: first every member against the bucket's least id, then,
     once what is linked so far is one component, members of different components against each other. A pair inside a
-    component would change nothing, so no link between different texts is lost, and a bucket of near copies costs a
-    comparison for each member.
+    component would change nothing, so no link between different texts is lost. Buckets of more than SMALL_BUCKET members
+    don't make all pairs even then (see _crowd_pairs), so a bucket of near copies costs some comparisons a member.
 
     Null and empty texts stay alone; texts without words are only linked to equal ones. Rows with a null id are one document (in the result null, null). Rows with one id are one document that is linked by each of its texts. Other columns are ignored; an empty table gives no rows.
     """
@@ -154,7 +198,7 @@ def near_duplicates(
     star = stored(_alike(met.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), sigs))
     seen = star.select(F.col("a").alias("doc")).union(star.select(F.col("b").alias("doc"))).distinct()
     # texts of documents that may be alike to another, each once
-    read = stored(texts.join(seen, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
+    read = stored(_texts_of(texts, seen))
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stored(_verified(first, read, idf, similarity).select("a", "b"))
     labels = components(links)
@@ -169,20 +213,21 @@ def near_duplicates(
     labels = components(links)
     # members that are not in the component of their bucket's least id, against those of other components
     mine = met.join(labels.select(F.col("id").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    heads = labels.select(F.col("id").alias("lead"), F.col("label").alias("lead_label"))
-    mine = stored(mine.join(heads, "lead", "left").withColumn("out", F.col("label") != F.coalesce("lead_label", "lead")))
-    rest = (
-        mine.where("out").select("bucket", F.col("doc").alias("x"), F.col("label").alias("label_x"))
-        .join(mine.where("doc <> lead").select("bucket", F.col("doc").alias("y"), F.col("label").alias("label_y"), F.col("out").alias("out_y")), "bucket")
-        .where("label_x <> label_y AND (NOT out_y OR x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    rest = stored(_alike(rest, sigs))
-    if not rest.isEmpty():
-        more = rest.select(F.col("a").alias("doc")).union(rest.select(F.col("b").alias("doc"))).distinct()
-        others = texts.join(more, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-        links = links.unionByName(stored(_verified(rest, stored(others), idf, similarity).select("a", "b")))
+    open_ = mine.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    mine = stored(mine.join(open_.select("bucket", "n"), "bucket"))
+    small = mine.where(F.col("n") <= SMALL_BUCKET)
+    rest = [_alike(_across(small, F.lit(True)), sigs)]
+    crowd = stored(mine.where(F.col("n") > SMALL_BUCKET))
+    if not crowd.isEmpty():
+        whole = stored(_texts_of(texts, crowd.select("doc").distinct()))
+        rest += [_alike(p, sigs) for p in _crowd_pairs(crowd, whole, idf, similarity)]
+    pairs = rest[0]
+    for more in rest[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = stored(pairs.distinct())
+    if not pairs.isEmpty():
+        involved = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+        links = links.unionByName(stored(_verified(pairs, stored(_texts_of(texts, involved)), idf, similarity).select("a", "b")))
         labels = components(links)
     grouped = (
         every.select("doc", "same").join(copies.select("same", "first"), "same")
