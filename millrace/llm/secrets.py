@@ -141,9 +141,13 @@ def scan_secrets(
         return F.transform(found, lambda x: span(o, kind, x["s"], x["e"]))
 
     def of_class(o: int, cls: CharClass) -> Column:
-        found = matches(F.col("t"), cls.pattern)
-        for pattern in allow:
-            found = F.filter(found, lambda x, p=pattern: ~F.regexp_like(x["m"], F.lit(p)))
+        def suspect(x: Column) -> Column:
+            out = F.lit(True)
+            for pattern in allow:
+                out = out & ~F.regexp_like(x["m"], F.lit(pattern))
+            return out
+
+        found = F.filter(matches(F.col("t"), cls.pattern), suspect)
         hot = F.transform(found, lambda x: F.struct(x["s"].alias("s"), hot_window(x["m"], cls).alias("w")))
         hot = F.filter(hot, lambda x: x["w"]["a"] >= 0)
         return F.transform(hot, lambda x: span(o, cls.kind, x["s"] + x["w"]["a"], x["s"] + x["w"]["z"]))
