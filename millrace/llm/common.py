@@ -49,6 +49,30 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """What make() gave for this key, kept in the Python worker until another key is asked for: workers serve many
+    stages, and their tables shall not add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+#: Rows that go to a Python worker at once, unless the session says otherwise: texts can be long.
+BATCH_ROWS = 1000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; has the session send them to Python workers in small batches, where it has the default size."""
+    if df.sparkSession.conf.get(_BATCHES) == "10000":
+        df.sparkSession.conf.set(_BATCHES, str(BATCH_ROWS))
+    return df
+
+
 def map_arrow(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, *, keep: list[str] | None = None
 ) -> DataFrame:
@@ -70,7 +94,7 @@ def map_arrow(
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *made], names=[*kept, *names])
 
     whole = StructType([*(df.schema[k] for k in kept), *StructType.fromDDL(schema)])
-    return df.mapInArrow(run, whole)
+    return small_batches(df).mapInArrow(run, whole)
 
 
 def _arrow_types(schema: str) -> list[pa.DataType]:

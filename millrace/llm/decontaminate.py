@@ -9,15 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_arrow, table, words_of
+from millrace.llm.common import held, map_arrow, table, words_of
 
 WINDOW = 13
 #: Characters of windows in one automaton. Larger benchmarks are scanned for block by block.
 BLOCK_CHARS = 64_000_000
 
-_built: dict[str, ahocorasick.Automaton] = {}
-
-
 def windows(words: list[bytes], width: int = WINDOW) -> list[bytes]:
     """Each run of `width` words, or all words if there are fewer; blanks around, so that only whole words match."""
     if not words:
@@ -30,8 +27,8 @@ def automaton(items: list[tuple[int, str]], width: int = WINDOW) -> ahocorasick.
 
     Built once in each Python worker. Bytes are taken as Latin-1 characters, so one byte is one character.
     """
-    key = hashlib.sha256(repr((items, width)).encode()).hexdigest()
-    if key not in _built:
+
+    def make() -> ahocorasick.Automaton:
         of: dict[bytes, set[int]] = {}
         for k, (_, text) in enumerate(items):
             for w in windows(words_of(text), width):
@@ -40,9 +37,9 @@ def automaton(items: list[tuple[int, str]], width: int = WINDOW) -> ahocorasick.
         for w, ks in of.items():
             made.add_word(w.decode("latin-1"), (w.count(b" ") - 1, tuple(sorted(ks))))
         made.make_automaton()
-        _built.clear()
-        _built[key] = made
-    return _built[key]
+        return made
+
+    return held("automaton " + hashlib.sha256(repr((items, width)).encode()).hexdigest(), make)
 
 
 def scan(words: list[bytes], machine: ahocorasick.Automaton) -> tuple[np.ndarray, set[int]]:

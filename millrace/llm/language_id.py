@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_remainder, map_arrow, table
+from millrace.llm.common import held, id_remainder, map_arrow, table
 
 #: Documents of a language to learn from, in the mean: ids are drawn by a hash against this share of the language's rows.
 TRAIN_DOCS = 1500
@@ -17,7 +17,6 @@ TRAIN_DOCS = 1500
 LEAST_SEEN = 3
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}")
-_models: dict = {}
 _DIGITS = {c: "0" for c in range(0x31, 0x3A)}
 
 
@@ -109,11 +108,7 @@ class Ppm:
 
 def _model(rows: list[tuple[str, int, int]]) -> Ppm:
     """Built once in each Python worker."""
-    key = hashlib.sha256(repr(rows).encode()).hexdigest()
-    if key not in _models:
-        _models.clear()
-        _models[key] = Ppm(rows)
-    return _models[key]
+    return held("ppm " + hashlib.sha256(repr(rows).encode()).hexdigest(), lambda: Ppm(rows))
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> list[tuple[str, int, int]]:
@@ -166,12 +161,12 @@ def predict(
     counts = docs.sparkSession.sparkContext.broadcast(rows)  # distinct four-byte strings of a bounded sample
 
     def make():
-        model = _model(counts.value)
+        model = _model(counts.value) if counts.value else None
 
         def run(batch) -> dict:
             out: dict = {"id": batch.column("id").to_pylist(), "lang_pred": [], "score": [], "bits": []}
             for text in batch.column("text").to_pylist():
-                if not text or not model.langs or not _letter.search(text):
+                if not text or model is None or not _letter.search(text):
                     best, score, bits = UNKNOWN, 0.0, 0.0
                 else:
                     total = model.code_lengths(text)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from millrace.llm import minhash as m
-from millrace.llm.common import NO_ID, stored, table
+from millrace.llm.common import NO_ID, held, small_batches, stored, table
 from millrace.llm.components import components
 
 SIMILARITY = 0.8
@@ -30,13 +30,8 @@ SIGNED = pa.schema({"doc": _LONG, "same": pa.binary(), "bands": pa.list_(_LONG),
 WEIGHTS = pa.schema({"doc": _LONG, "shingle": _LONG, "weight": pa.float64()}.items())
 SCORED = pa.schema({"a": _LONG, "b": _LONG, "similarity": pa.float64()}.items())
 
-_samplers: list[m.Sampler] = []
-
-
 def _sampler() -> m.Sampler:
-    if not _samplers:
-        _samplers.append(m.Sampler())
-    return _samplers[0]
+    return held("sampler", m.Sampler)
 
 
 def document_frequencies(texts: DataFrame) -> np.ndarray:
@@ -180,7 +175,7 @@ def near_duplicates(
 
     Null and empty texts stay alone; texts without words are only linked to equal ones. Rows with a null id are one document (in the result null, null). Rows with one id are one document that is linked by each of its texts. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     texts = base.where("text IS NOT NULL AND text <> ''")
     counts = document_frequencies(texts)

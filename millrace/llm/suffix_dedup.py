@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from millrace.llm.common import NO_ID, stored, table
+from millrace.llm.common import NO_ID, small_batches, stored, table
 from millrace.llm.repeats import WIDTH, Hashed, anchors, covered, mixed
 
 #: Bytes of text that travel together.
@@ -46,7 +46,7 @@ DIGEST = pa.schema({"id": _LONG, "n_bytes": _LONG, "n_removed": _LONG, "n_spans"
 
 
 def _mapped(df: DataFrame, run, schema: pa.Schema) -> DataFrame:
-    return df.mapInArrow(run, from_arrow_schema(schema))
+    return small_batches(df).mapInArrow(run, from_arrow_schema(schema))
 
 
 def _batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

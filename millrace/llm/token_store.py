@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_arrow, shared_dir, table
+from millrace.llm.common import held, map_arrow, shared_dir, small_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -39,7 +39,7 @@ DICT_DOCS, DICT_IDS = 2000, 4096
 DICT_SHARE = 4
 BLOCK_BYTES = 1 << 20
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 
 _LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 #: The tokenizer's own split into pieces, for characters below U+0250. Texts with others go to the library whole.
@@ -94,13 +94,8 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, PIECES.findall(text)))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def train_dictionary(docs: DataFrame, path: str, *, id_col: str, text_col: str) -> bytes:
@@ -177,7 +172,7 @@ def write_tokens(
         if frames:
             yield flush()
 
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{out}/blocks")
+    small_batches(ordered).mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{out}/blocks")
     width = encoder(tokenizer_path).dtype.itemsize
     spark.createDataFrame([(digest, trained, width)], "dict_sha256 string, dict binary, width int").coalesce(1).write.parquet(f"{out}/dictionary")
     totals = (
