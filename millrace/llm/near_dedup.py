@@ -149,16 +149,18 @@ def _crowd_pairs(crowd: DataFrame, whole: DataFrame, idf, similarity: float) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc)), pa.array(h.view(np.int64)), pa.array(w.astype(np.float64))], schema=WEIGHTS)
 
     rows = stored(whole.mapInArrow(run, from_arrow_schema(WEIGHTS)))
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    known = stored(rows.join(shared, "shingle"))
-    weights = known.groupBy("doc").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("df") > RARE, F.col("weight")).otherwise(0.0)).alias("common"))
+    seldom = rows.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+    rare = stored(rows.join(seldom, "shingle"))
+    total = rows.groupBy("doc").agg(F.sum("weight").alias("total"))
+    own = rare.groupBy("doc").agg(F.sum("weight").alias("rare"))
+    weights = total.join(own, "doc", "left").withColumn("common", F.col("total") - F.coalesce("rare", F.lit(0.0))).drop("rare")
     members = crowd.select("bucket", "doc", "label").join(weights, "doc")
     # weighted Jaccard t: what both have weighs at least t / (1 + t) of both totals; a little less for rounding
     need = (F.col("x_total") + F.col("y_total")) * (similarity / (1 + similarity) * (1 - 1e-6))
     common = _across(members, F.least("x_common", "y_common") >= need, "total", "common")
     label = crowd.select("doc", "label").distinct()
-    rare = known.where(F.col("df").between(2, RARE)).select("shingle", "doc").join(label, "doc").withColumnRenamed("shingle", "bucket")
-    return [common, _across(rare, F.lit(True))]
+    meeting = rare.where("df > 1").select(F.col("shingle").alias("bucket"), "doc").join(label, "doc")
+    return [common, _across(meeting, F.lit(True))]
 
 
 def near_duplicates(
