@@ -9,7 +9,7 @@ from millrace import vocabulary as V
 from millrace.functions import dates, hashing, notation
 from millrace.functions.columns import no_notes, stripped
 from millrace.functions.fuzzy import header_role_udf
-from millrace.sources.html_grids import html_grids, html_texts
+from millrace.sources.html_grids import html_read
 
 LOW_SCORE, ACCEPT_SCORE = 4, 8
 GRID = ["page_id", "grid"]
@@ -206,8 +206,9 @@ def extract_bids(pages: DataFrame, ref_date: Column, *, id_col: str = "page_id",
     (NO_BID_DATA, PARTIAL_COLUMNS or LOW_CONFIDENCE_EXTRACTION).
     """
     # parsing pages is the dear part and several plans below start from it: kept, on disk where memory is short
-    grids = html_grids(pages, id_col=id_col, html_col=html_col).persist()
-    texts = html_texts(pages, id_col=id_col, html_col=html_col).select("page_id", "as_of_text", dates.as_of(F.col("as_of_text")).alias("as_of_date"))
+    read = html_read(pages, id_col=id_col, html_col=html_col).persist()
+    grids = read.where("grid IS NOT NULL").drop("as_of_text")
+    texts = read.select("page_id", "as_of_text").distinct().withColumn("as_of_date", dates.as_of(F.col("as_of_text")))
     cells = cells_of(grids)
     shapes, headers = column_shapes(cells).persist(), headers_of(grids)
     scored = score_grids(grids, shapes, headers)
