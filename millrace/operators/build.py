@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace import settings as S
 from millrace.operators import quality, report
-from millrace.operators.workbook import Sheet, archive_old, bid_sheet, file_name, free_path, sheet_name, write_workbook
+from millrace.operators.workbook import CHART_SHEET, Chart, Sheet, archive_old, bid_sheet, file_name, free_path, sheet_name, write_workbook
 
 _HEALTH = [("company", "Company", 22), ("location", "Location", 16), ("status", "Status", 10), ("as_of", "Bids As Of", 12), ("age_days", "Age", 8), ("rows", "Bids", 8), ("same_as_last", "Same As Last", 12), ("notices", "Notices", 60), ("suggestion", "Suggestion", 40), ("url", "Page", 40)]
 
@@ -20,6 +20,32 @@ def _listed(name: str, title: list[str], columns: list[tuple[str, str, int]], ro
     return Sheet(name, title, [h for _, h, _ in columns], kinds, [w for *_, w in columns], rows.select(*(k for k, *_ in columns)).toLocalIterator())
 
 
+class _ChartData:
+    """Rows of the hidden sheet that charts draw from: a delivery and a value each."""
+
+    def __init__(self):
+        self.rows: list[tuple[str, float]] = []
+
+    def charts(self, rows: DataFrame, mode: str) -> list[Chart]:
+        """Bars of the best cash price of each delivery, from two on; a line of the mean basis, from three on."""
+        wanted = [("bars", "bar", "cash_price", F.max, "Cash bid by delivery", 2), ("lines", "line", "basis", F.avg, "Basis by delivery", 3)]
+        found = []
+        for name, kind, value, of, title, least in wanted:
+            if mode not in (name, "both"):
+                continue
+            by = rows.where(F.col(value).isNotNull()).groupBy("delivery_raw").agg(F.min("place").alias("at"), of(value).alias("v")).orderBy("at").limit(40)
+            points = [(r.delivery_raw or "", float(r.v)) for r in by.collect()]
+            if len(points) >= least:
+                found.append(Chart(kind, title, len(self.rows) + 1, len(points)))
+                self.rows += points
+        return found
+
+    def sheet(self) -> list[Sheet]:
+        if not self.rows:
+            return []
+        return [Sheet(CHART_SHEET, [], ["", ""], ["text", "futures"], [20, 10], self.rows, hidden=True, data_row=1)]
+
+
 def _has(rows: DataFrame) -> bool:
     return not rows.isEmpty()
 
@@ -51,20 +77,23 @@ def build_reports(bids: DataFrame, health: DataFrame, doc: dict, folder: Path, r
         if doc["output"]["include_health_sheet"]:
             sheets.append(_listed(sheet_name("Data Health", taken), ["Data health", when], _HEALTH, health.orderBy("company", "location")))
         location = doc["output"]["master"]["sheet_per"] == "company"
-        n = 0
+        n, drawn = 0, _ChartData()
         for company, name in companies:
             rows, own = of_company(company)
             if n < doc["output"]["max_data_sheets_per_workbook"] and _has(rows):
                 sheets.append(bid_sheet(sheet_name(name, taken), [name, "Cash bids", when], rows, report.column_keys(own, company=False, location=location)))
+                sheets[-1].charts = drawn.charts(rows, own["charts"])
                 n += 1
         if doc["output"]["master"]["include_all_bids_sheet"]:
             sheets.append(bid_sheet(sheet_name("All Bids", taken), ["All Bids", when], all_rows, report.column_keys(common, company=True, location=True)))
-        write("master", sheets)
+        write("master", sheets + drawn.sheet())
     if "per_company" in modes:
         for company, name in companies:
             rows, own = of_company(company)
             if _has(rows):
-                write("per_company", [bid_sheet(sheet_name(name, set()), [name, "Cash bids", when], rows, report.column_keys(own, company=False, location=True))], company=name)
+                drawn, sheet = _ChartData(), bid_sheet(sheet_name(name, set()), [name, "Cash bids", when], rows, report.column_keys(own, company=False, location=True))
+                sheet.charts = drawn.charts(rows, own["charts"])
+                write("per_company", [sheet, *drawn.sheet()], company=name)
     if "per_commodity" in modes:
         for grain in [r.commodity for r in all_rows.where("commodity IS NOT NULL").select("commodity").distinct().orderBy("commodity").collect()]:
             taken, sheets = set(), []

@@ -66,6 +66,22 @@ def number_formats(decimals: dict) -> dict[str, str]:
     }
 
 
+@dataclass
+class Chart:
+    """Bars or a line over rows of the hidden chart sheet: `count` values from row `first`, names in one column, values in the next."""
+
+    kind: str
+    title: str
+    first: int
+    count: int
+    column: int = 0
+
+
+CHART_SHEET = "_ChartData"
+#: Rows that a chart takes; charts of a sheet stand below each other.
+CHART_ROWS = 16
+
+
 @dataclass
 class Sheet:
     name: str
@@ -76,6 +92,7 @@ class Sheet:
     rows: Iterable[Iterable]
     hidden: bool = False
     data_row: int = 7
+    charts: list[Chart] = field(default_factory=list)
     last_row: int = field(default=0, init=False)
 
 
@@ -106,16 +123,20 @@ def _cell(row: int, col: int, value: object, kind: str) -> str:
 def _sheet_xml(sheet: Sheet) -> Iterable[str]:
     yield '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
     top = sheet.data_row - 1
-    yield f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{top}" topLeftCell="A{sheet.data_row}" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+    if top:
+        yield f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{top}" topLeftCell="A{sheet.data_row}" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
     yield "<cols>" + "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(sheet.widths, 1)) + "</cols><sheetData>"
     for k, line in enumerate(sheet.title, 1):
         yield f'<row r="{k}">{_cell(k, 0, line, "title" if k == 1 else "text")}</row>'
-    yield f'<row r="{top}">' + "".join(_cell(top, k, h, "head") for k, h in enumerate(sheet.headers)) + "</row>"
+    if top:
+        yield f'<row r="{top}">' + "".join(_cell(top, k, h, "head") for k, h in enumerate(sheet.headers)) + "</row>"
     n = top
     for n, row in enumerate(sheet.rows, sheet.data_row):
         yield f'<row r="{n}">' + "".join(_cell(n, k, v, kind) for k, (v, kind) in enumerate(zip(row, sheet.kinds, strict=True))) + "</row>"
     sheet.last_row = n
-    yield f'</sheetData><autoFilter ref="A{top}:{_cell_name(max(n, top), len(sheet.headers) - 1)}"/>'
+    yield "</sheetData>"
+    if top:
+        yield f'<autoFilter ref="A{top}:{_cell_name(max(n, top), len(sheet.headers) - 1)}"/>'
     for k, kind in enumerate(sheet.kinds):
         if n < sheet.data_row or kind not in ("basis", "change", "cash"):
             continue
@@ -125,9 +146,52 @@ def _sheet_xml(sheet: Sheet) -> Iterable[str]:
         else:
             rule = '<cfRule type="cellIs" dxfId="0" priority="2" operator="greaterThan"><formula>0</formula></cfRule><cfRule type="cellIs" dxfId="1" priority="3" operator="lessThan"><formula>0</formula></cfRule>'
         yield f'<conditionalFormatting sqref="{ref}">{rule}</conditionalFormatting>'
+    yield '<drawing xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" r:id="r1"/>' if sheet.charts else ""
     yield "</worksheet>"
 
 
+_A, _C = "http://schemas.openxmlformats.org/drawingml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/chart"
+
+
+def _chart_xml(chart: Chart) -> str:
+    def ref(column: int) -> str:
+        letter = _cell_name(1, column)[:-1]
+        return f"'{CHART_SHEET}'!${letter}${chart.first}:${letter}${chart.first + chart.count - 1}"
+
+    series = f'<c:ser><c:idx val="0"/><c:order val="0"/><c:cat><c:strRef><c:f>{ref(chart.column)}</c:f></c:strRef></c:cat><c:val><c:numRef><c:f>{ref(chart.column + 1)}</c:f></c:numRef></c:val></c:ser>'
+    if chart.kind == "bar":
+        plot = f'<c:barChart><c:barDir val="col"/><c:grouping val="clustered"/>{series}<c:axId val="1"/><c:axId val="2"/></c:barChart>'
+    else:
+        plot = f'<c:lineChart><c:grouping val="standard"/>{series}<c:axId val="1"/><c:axId val="2"/></c:lineChart>'
+    axis = '<c:scaling><c:orientation val="minMax"/></c:scaling><c:delete val="0"/><c:axPos val="{}"/><c:crossAx val="{}"/>'
+    return (
+        f'<?xml version="1.0" encoding="UTF-8"?><c:chartSpace xmlns:c="{_C}" xmlns:a="{_A}"><c:chart><c:title><c:tx><c:rich><a:bodyPr/><a:p><a:r><a:t>{escape(chart.title)}</a:t></a:r></a:p></c:rich></c:tx></c:title>'
+        f'<c:plotArea>{plot}<c:catAx><c:axId val="1"/>{axis.format("b", 2)}</c:catAx><c:valAx><c:axId val="2"/>{axis.format("l", 1)}</c:valAx></c:plotArea></c:chart></c:chartSpace>'
+    )
+
+
+def _drawing_xml(sheet: Sheet) -> str:
+    frames = ""
+    for k, _ in enumerate(sheet.charts, 1):
+        top = sheet.last_row + 2 + (k - 1) * CHART_ROWS
+        at = "<xdr:{0}><xdr:col>{1}</xdr:col><xdr:colOff>0</xdr:colOff><xdr:row>{2}</xdr:row><xdr:rowOff>0</xdr:rowOff></xdr:{0}>"
+        frames += (
+            f'<xdr:twoCellAnchor>{at.format("from", 0, top)}{at.format("to", 6, top + CHART_ROWS - 1)}<xdr:graphicFrame macro=""><xdr:nvGraphicFramePr><xdr:cNvPr id="{k + 1}" name="Chart {k}"/><xdr:cNvGraphicFramePr/></xdr:nvGraphicFramePr>'
+            f'<xdr:xfrm><a:off x="0" y="0"/><a:ext cx="0" cy="0"/></xdr:xfrm><a:graphic><a:graphicData uri="{_C}"><c:chart xmlns:c="{_C}" r:id="r{k}"/></a:graphicData></a:graphic></xdr:graphicFrame><xdr:clientData/></xdr:twoCellAnchor>'
+        )
+    return (
+        '<?xml version="1.0" encoding="UTF-8"?><xdr:wsDr xmlns:xdr="http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing" '
+        f'xmlns:a="{_A}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">{frames}</xdr:wsDr>'
+    )
+
+
+def _rels_xml(targets: list[tuple[str, str]]) -> str:
+    """Relations r1, r2, ..: kind and target."""
+    kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rels = "".join(f'<Relationship Id="r{k}" Type="{kind}/{what}" Target="{target}"/>' for k, (what, target) in enumerate(targets, 1))
+    return f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>'
+
+
 def _styles_xml(formats: dict[str, str]) -> str:
     ids = {k: 164 + n for n, k in enumerate(formats)}
     custom = "".join(f'<numFmt numFmtId="{ids[k]}" formatCode={quoteattr(v)}/>' for k, v in formats.items())
@@ -156,8 +220,22 @@ def write_workbook(path: Path, sheets: list[Sheet], decimals: dict | None = None
             with z.open(f"xl/worksheets/sheet{k}.xml", "w") as f:
                 for part in _sheet_xml(sheet):
                     f.write(part.encode())
+        drawn, n_charts, extra = 0, 0, ""
+        for k, sheet in enumerate(sheets, 1):
+            if not sheet.charts:
+                continue
+            drawn += 1
+            names = [f"chart{n_charts + i}.xml" for i in range(1, len(sheet.charts) + 1)]
+            n_charts += len(names)
+            z.writestr(f"xl/worksheets/_rels/sheet{k}.xml.rels", _rels_xml([("drawing", f"../drawings/drawing{drawn}.xml")]))
+            z.writestr(f"xl/drawings/drawing{drawn}.xml", _drawing_xml(sheet))
+            z.writestr(f"xl/drawings/_rels/drawing{drawn}.xml.rels", _rels_xml([("chart", f"../charts/{n}") for n in names]))
+            extra += f'<Override PartName="/xl/drawings/drawing{drawn}.xml" ContentType="application/vnd.openxmlformats-officedocument.drawing+xml"/>'
+            for name, chart in zip(names, sheet.charts, strict=True):
+                z.writestr(f"xl/charts/{name}", _chart_xml(chart))
+                extra += f'<Override PartName="/xl/charts/{name}" ContentType="application/vnd.openxmlformats-officedocument.drawingml.chart+xml"/>'
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k in range(1, len(sheets) + 1))
-        z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{parts}</Types>')
+        z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>{parts}{extra}</Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         listed = "".join(f'<sheet name={quoteattr(s.name)} sheetId="{k}"' + (' state="hidden"' if s.hidden else "") + f' r:id="r{k}"/>' for k, s in enumerate(sheets, 1))
         z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
