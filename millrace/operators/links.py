@@ -13,7 +13,7 @@ from millrace.functions import text as T
 from millrace.functions.columns import contains_any
 from millrace.functions.fuzzy import partial_udf, token_set_udf
 from millrace.sources.html_grids import html_links, html_texts
-from millrace.vocabulary import DIRECTORY_DOMAINS, PENALTY_LINK, STRONG_LINK, WEAK_LINK
+from millrace.vocabulary import DIRECTORY_DOMAINS, LINK_REASONS, NAME_EVIDENCE, PENALTY_LINK, STRONG_LINK, WEAK_LINK
 
 LEAST_SCORE = 3
 
@@ -45,9 +45,10 @@ def score_links(links: DataFrame) -> DataFrame:
         F.when(strong, 4).when(mid, 2).otherwise(0) + F.least(weak, F.lit(2)) + F.when(said, 3).otherwise(0)
         + F.when(F.col("sibling"), 5).otherwise(0) - 3 * bad
     )
+    told = LINK_REASONS
     reasons = F.array(
-        F.when(strong, "mentions cash bids").when(mid, "mentions bids"), F.when(weak > 0, "grain/market wording"), F.when(said, "link text says cash bids"),
-        F.when(F.col("sibling"), "sibling of a known bid page"), F.when(bad > 0, "looks unrelated"),
+        F.when(strong, told["strong"]).when(mid, told["mid"]), F.when(weak > 0, told["weak"]), F.when(said, told["said"]),
+        F.when(F.col("sibling"), told["sibling"]), F.when(bad > 0, told["bad"]),
     )
     return links.withColumns({"score": score.cast("double"), "reasons": F.filter(reasons, lambda r: r.isNotNull())})
 
@@ -111,11 +112,11 @@ def resolve_names(results: DataFrame) -> DataFrame:
         F.when(F.col("alike") >= 85, 4).when(F.col("alike") >= 60, 3).otherwise(0) + F.when(F.col("titled") >= 85, 2).otherwise(0)
         + F.when(bid, 2).otherwise(0) + F.when(straight, 2).otherwise(0)
     )
+    told = NAME_EVIDENCE
     evidence = F.array(
-        F.when(F.col("alike") >= 60, "web address matches the name"), F.when(F.col("titled") >= 85, "page title names the company"),
-        F.when(bid, "mentions cash bids"), F.when(straight, "links straight to a bids page"),
+        F.when(F.col("alike") >= 60, told["alike"]), F.when(F.col("titled") >= 85, told["titled"]), F.when(bid, told["bid"]), F.when(straight, told["straight"]),
     )
-    social = F.array(F.lit("directory or social site, not the company's own"))
+    social = F.array(F.lit(told["listed"]))
     rows = rows.withColumns({
         "score": F.when(F.col("listed"), -5).otherwise(score).cast("double"),
         "evidence": F.when(F.col("listed"), social).otherwise(F.filter(evidence, lambda x: x.isNotNull())),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.vocabulary import FLAG_NOTICES
+from millrace.vocabulary import FLAG_NOTICES, HEALTH_TEXTS
 
 AGING_DAYS, STALE_DAYS, IDENTICAL_SCANS = 2, 5, 3
 
@@ -83,8 +83,9 @@ def page_health(pages: DataFrame, streaks: DataFrame, flags: DataFrame, sites: D
     told = F.create_map(*[F.lit(x) for kv in FLAG_NOTICES.items() for x in kv])
     spoken = flags.withColumn("notice", F.element_at(told, F.col("code"))).where("notice IS NOT NULL")
     by_site = spoken.groupBy("site_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "notice"))), lambda x: x["notice"]).alias("told"))
-    own = F.when(F.col("status") == "STALE", F.concat(F.lit("Bids haven't changed since "), F.date_format("as_of", "MMM dd"), F.lit(" - the elevator may not be updating this page."))).when(
-        (F.col("status") == "AGING") & (F.col("age_days") > 0), F.concat(F.lit("Bids are "), F.col("age_days").cast("string"), F.lit(" days old - could just be a weekend or holiday."))
+    filled = lambda text, value: F.replace(F.lit(HEALTH_TEXTS[text]), F.lit("{}"), value)
+    own = F.when(F.col("status") == "STALE", filled("stale", F.date_format("as_of", "MMM dd"))).when(
+        (F.col("status") == "AGING") & (F.col("age_days") > 0), filled("aging", F.col("age_days").cast("string"))
     )
     live = (
         pages.join(streaks, "site_id", "left").join(by_site, "site_id", "left")
@@ -93,9 +94,9 @@ def page_health(pages: DataFrame, streaks: DataFrame, flags: DataFrame, sites: D
         .select(
             "company", "location", "url", "as_of", "age_days", "status", "rows",
             F.when(F.coalesce("streak", F.lit(0)) >= 2, F.concat(F.lit("Yes ×"), F.col("streak").cast("string"))).otherwise("No").alias("same_as_last"),
-            F.when(F.size("all") > 0, F.array_join("all", " ")).otherwise("Up to date.").alias("notices"),
-            F.when(F.col("status") == "STALE", "Call the elevator, or re-point this page to a newer one.")
-            .when(F.col("told").isNotNull(), "Open the source page and compare one row.").otherwise("").alias("suggestion"),
+            F.when(F.size("all") > 0, F.array_join("all", " ")).otherwise(HEALTH_TEXTS["fine"]).alias("notices"),
+            F.when(F.col("status") == "STALE", HEALTH_TEXTS["stale_hint"])
+            .when(F.col("told").isNotNull(), HEALTH_TEXTS["flag_hint"]).otherwise("").alias("suggestion"),
         )
     )
     first = F.min_by(F.struct("message", "suggestion"), "nth")

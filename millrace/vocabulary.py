@@ -95,3 +95,19 @@ FLAG_NOTICES = {
     "AMBIGUOUS_COLUMNS": "Two columns looked alike; we left them unlabeled.",
     "ARITHMETIC_MISMATCH": "The prices didn't add up the usual way.",
 }
+# --- fixed values: texts of health reports, reasons of link scores, evidence of names ---
+HEALTH_TEXTS = {
+    "stale": "Bids haven't changed since {} - the elevator may not be updating this page.",
+    "stale_hint": "Call the elevator, or re-point this page to a newer one.",
+    "aging": "Bids are {} days old - could just be a weekend or holiday.",
+    "flag_hint": "Open the source page and compare one row.",
+    "fine": "Up to date.",
+}
+LINK_REASONS = {
+    "strong": "mentions cash bids", "mid": "mentions bids", "weak": "grain/market wording", "said": "link text says cash bids",
+    "sibling": "sibling of a known bid page", "bad": "looks unrelated",
+}
+NAME_EVIDENCE = {
+    "listed": "directory or social site, not the company's own", "alike": "web address matches the name", "titled": "page title names the company",
+    "bid": "mentions cash bids", "straight": "links straight to a bids page",
+}
