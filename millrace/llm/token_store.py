@@ -39,7 +39,7 @@ DICT_DOCS, DICT_IDS = 2000, 4096
 DICT_SHARE = 4
 BLOCK_BYTES = 1 << 20
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 
 _LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
 #: The tokenizer's own split into pieces, for characters below U+0250. Texts with others go to the library whole.
