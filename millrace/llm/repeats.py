@@ -9,7 +9,7 @@ WIDTH, GRAM = 100, 24
 #: Gram starts within a string: each string of WIDTH bytes holds the least of these.
 REACH = WIDTH - GRAM + 1
 #: Window starts worked on at once; also what fits below the hash in a sort key.
-SEGMENT = (1 << 20) - 4 * WIDTH
+SEGMENT = (1 << 18) - 4 * WIDTH
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -17,7 +17,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20) + 1
+        size = max(n, 1 << 18) + 1
         for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             x = np.full(size, b, np.uint64)
             x[0] = 1
@@ -58,8 +58,6 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     strings, in order.
     """
     found = []
-    lengths = np.diff(np.concatenate(([0], ends)))
-    room = np.repeat(ends, lengths) - np.arange(len(data))  # bytes from here to the end of the document
     for at in range(0, len(data), SEGMENT):
         part = data[at : at + SEGMENT + 2 * WIDTH]
         n = min(SEGMENT, len(part) - WIDTH + 1)
@@ -74,7 +72,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
             width *= 2
         key = np.minimum(key[: n], key[REACH - width : REACH - width + n])
         place = (key & np.uint64(0xFFFFF)).astype(np.int64)
-        valid = room[at : at + n] >= WIDTH
+        starts = np.arange(at, at + n)
+        valid = ends[np.searchsorted(ends, starts, side="right")] - starts >= WIDTH  # bytes to the end of the document
         # starts of one document with one anchor stand together; an anchor lies in its document
         first = np.flatnonzero(valid & np.concatenate(([True], (place[1:] != place[:-1]) | ~valid[:-1])))
         last = np.flatnonzero(valid & np.concatenate(((place[1:] != place[:-1]) | ~valid[1:], [True])))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from millrace.llm.common import NO_ID, small_batches, stored, table
-from millrace.llm.repeats import WIDTH, Hashed, anchors, covered, mixed
+from millrace.llm.repeats import SEGMENT, WIDTH, Hashed, anchors, covered, mixed
 
 #: Bytes of text that travel together.
 CHUNK_BYTES = 1 << 20
@@ -153,10 +153,16 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rank[order] = np.arange(len(order))
     data = [whole.column("data")[int(i)].as_py() for i in range(whole.num_rows)]
     n = n.astype(np.int64)
-    starts = np.concatenate(([0], np.cumsum([len(d) for d in data])[:-1]))
-    hashed = Hashed(np.frombuffer(b"".join(data), np.uint8))
+    sizes = np.array([len(d) for d in data])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     at, home = _spread(starts, n)
-    string = mixed(hashed.of(at, at + WIDTH))
+    string = np.empty(len(at), np.uint64)
+    cuts = [0, *(np.flatnonzero(np.diff(starts // SEGMENT)) + 1).tolist(), len(data)]  # some bytes at a time
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        hashed = Hashed(np.frombuffer(b"".join(data[a:b]), np.uint8))
+        first, last = np.searchsorted(home, (a, b))
+        here = at[first:last] - starts[a]
+        string[first:last] = mixed(hashed.of(here, here + WIDTH))
     by = np.lexsort((at - starts[home], rank[home], gram[home], string))
     same = np.concatenate(([False], (string[by][1:] == string[by][:-1]) & (gram[home][by][1:] == gram[home][by][:-1])))
     gone = np.zeros(len(at), bool)
