@@ -74,7 +74,7 @@ def q46_repeated_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT site, min(other) AS other FROM p GROUP BY site""",
 )
 def q47_first_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_custkey % 7 = 0").select(
+    rows = table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("grp"), F.col("o_custkey").alias("site"), F.to_date("o_orderdate").alias("item")
     )
     pairs = quality.overlaps(rows, group="grp", member="site", item="item", least=0.3)
