@@ -67,16 +67,17 @@ def grains_mentioned(text: Column) -> Column:
 
 
 def price_hits(text: Column) -> Column:
-    return F.regexp_count(F.substring(text, 1, 200_000), F.lit(r"\b\d{1,2}\.\d{2,4}\b"))
+    return F.regexp_count(text, F.lit(r"\b\d{1,2}\.\d{2,4}\b"))
 
 
 def basis_hits(text: Column) -> Column:
-    return F.regexp_count(F.substring(text, 1, 200_000), F.lit(r"[+-]\s?\d{0,2}\.\d{2,4}\b"))
+    return F.regexp_count(text, F.lit(r"[+-]\s?\d{0,2}\.\d{2,4}\b"))
 
 
-def looks_like_bid_page(url: Column, text: Column) -> Column:
+def looks_like_bid_page(url: Column, text: Column, head: Column) -> Column:
+    """Grains count in the whole text, prices and basis in its head."""
     says = contains_any(path(url), ["cashbid", "cash-bid", "bid"])
-    return ((F.size(grains_mentioned(text)) > 0) & ((price_hits(text) >= 3) | (basis_hits(text) >= 2))) | (says & (price_hits(text) >= 3))
+    return ((F.size(grains_mentioned(text)) > 0) & ((price_hits(head) >= 3) | (basis_hits(head) >= 2))) | (says & (price_hits(head) >= 3))
 
 
 def notes_text(names: Column) -> Column:

@@ -16,6 +16,8 @@ from millrace.sources.html_grids import html_links, html_texts
 from millrace.vocabulary import DIRECTORY_DOMAINS, LINK_REASONS, NAME_EVIDENCE, PENALTY_LINK, STRONG_LINK, WEAK_LINK
 
 LEAST_SCORE = 3
+#: Characters of a page in which a first look counts prices and basis.
+HEAD = 200_000
 
 
 @F.pandas_udf(StringType())
@@ -90,9 +92,10 @@ def probe(pages: DataFrame) -> DataFrame:
     """A first look at pages(page_id, url, html): title, commodities, hits of prices and basis, whether they look like bid pages."""
     texts = html_texts(pages).join(pages.select("page_id", "url"), "page_id")
     low = F.lower("body")
+    head = F.substring(low, 1, HEAD)
     return texts.select(
-        "page_id", "url", "title", T.grains_mentioned(low).alias("commodities"), T.price_hits(low).alias("price_hits"), T.basis_hits(low).alias("basis_hits"),
-        T.looks_like_bid_page(F.col("url"), low).alias("looks_like_bid_page"),
+        "page_id", "url", "title", T.grains_mentioned(low).alias("commodities"), T.price_hits(head).alias("price_hits"), T.basis_hits(head).alias("basis_hits"),
+        T.looks_like_bid_page(F.col("url"), low, head).alias("looks_like_bid_page"),
     )
 
 

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+from millrace.operators import links
 from millrace.plans import catalog
 
 
@@ -22,3 +23,13 @@ def test_first_overlap_takes_every_site(spark, tmp_path):
                 want[a] = min(b, want.get(a, b))
     got = {r.site: r.other for r in catalog.QUERIES["q47_first_overlap"](spark, str(tmp_path)).collect()}
     assert got == want and any(x % 7 for x in got) and any(got[x] % 7 for x in got if x % 7 == 0)
+
+
+def test_hits_count_in_the_whole_text(spark, tmp_path):
+    text = "4.10 -0.15 " + "word " * 50_000 + "4.20 +0.25"
+    spark.createDataFrame([(1, text), (2, "4.10"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.prices, r.bases) for r in catalog.QUERIES["q13_pattern_hits"](spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 2), 2: (1, 0), 3: (None, None)}
+    # a first look at a page stays a look at its head
+    page = spark.createDataFrame([(1, "https://a.test/bids", f"<p>{text} 4.30</p>")], "page_id long, url string, html string")
+    assert [(r.price_hits, r.basis_hits, r.looks_like_bid_page) for r in links.probe(page).collect()] == [(2, 1, False)]
