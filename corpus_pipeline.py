@@ -21,12 +21,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the least id stays. Rows with one id are one document; rows without an id stay."""
-    groups = near_dedup.near_duplicates(docs)
-    first = groups.where("doc_id = group_id").select("doc_id")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = docs.where("doc_id IS NOT NULL").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return once.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of texts that of the least id stays. Rows with one id and text are one; other texts of a repeated id
+    stay unless they are near copies themselves. Rows without an id stay."""
+    first = near_dedup.first_texts(docs).withColumnRenamed("key", "__key")
+    keyed = docs.where("doc_id IS NOT NULL").withColumn("__key", near_dedup.text_key("text"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("__key"))
+    once = keyed.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return once.join(first, ["doc_id", "__key"], "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,13 +63,17 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def text_key(text: str) -> Column:
+    """What equal texts share: 128 bits of a hash, no bytes for a null."""
+    return F.coalesce(F.substring(F.unhex(F.sha2(text, 256)), 1, 16), F.lit(b""))
+
+
 def signed(texts: DataFrame, idf) -> DataFrame:
     """doc, same (what exact copies share), bands and samples of each text; none of these where it has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts_of = batch.column("text").to_pylist()
-            same = [hashlib.blake2b(text.encode(), digest_size=16).digest() for text in texts_of]
             worded: list[bool] = []
             sets: list[tuple[np.ndarray, np.ndarray]] = []
             drawn = [np.zeros((0, m.HASHES), np.uint64)]
@@ -89,7 +92,7 @@ def signed(texts: DataFrame, idf) -> DataFrame:
                 return pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(x.ravel(), t))
 
             low = sig.astype(np.uint32).view(np.int32)
-            columns = [batch.column("doc"), pa.array(same, pa.binary()), listed(m.bands(sig).view(np.int64), _LONG), listed(low, pa.int32())]
+            columns = [batch.column("doc"), batch.column("same"), listed(m.bands(sig).view(np.int64), _LONG), listed(low, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, schema=SIGNED)
 
     return texts.mapInArrow(run, from_arrow_schema(SIGNED))
@@ -122,9 +125,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Dat
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, from_arrow_schema(SCORED))
 
 
-def _texts_of(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """One text of each of these documents. Their number follows the input, so the ids are not broadcast at any size."""
-    return texts.join(docs.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+def _texts_of(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of these numbers. How many there are follows the input, so they are not broadcast at any size."""
+    named = nodes.join(wanted.select(F.col("doc").alias("node")), "node", "left_semi").select(F.col("first").alias("doc"), "same", "node")
+    found = texts.join(named.hint("merge"), ["doc", "same"]).groupBy("doc", "same").agg(F.min("node").alias("node"), F.min("text").alias("text"))
+    return found.select(F.col("node").alias("doc"), "text")
 
 
 def _across(members: DataFrame, may: Column, *extra: str) -> DataFrame:
@@ -163,29 +168,24 @@ def _crowd_pairs(crowd: DataFrame, whole: DataFrame, idf, similarity: float) ->
     return [common, _across(meeting, F.lit(True))]
 
 
-def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
-) -> DataFrame:
-    """One row per id: id and group_id, the least id of the documents it is linked to (its own if there are none).
-
-    Texts are linked if they are equal, or if their shingles' weighted Jaccard similarity is at least `similarity`;
-    groups are what links connect. Exact copies are one text from the start. Candidates share a band of samples. The
-    links of a band's bucket are settled without all its pairs: first every member against the bucket's least id, then,
-    once what is linked so far is one component, members of different components against each other. A pair inside a
-    component would change nothing, so no link between different texts is lost. Buckets of more than SMALL_BUCKET members
-    don't make all pairs even then (see _crowd_pairs), so a bucket of near copies costs some comparisons a member.
+def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """base(doc, text, same), every (what signed() gives), nodes(same, first, node), links(a, b), labels(id, label).
 
-    Null and empty texts stay alone; texts without words are only linked to equal ones. Rows with a null id are one document (in the result null, null). Rows with one id are one document that is linked by each of its texts. Other columns are ignored; an empty table gives no rows.
+    A node is a distinct text; first is the least id of a document that has it. Links and labels are of nodes.
     """
     spark = small_batches(docs).sparkSession
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
+    base = base.withColumn("same", text_key("text"))
     texts = base.where("text IS NOT NULL AND text <> ''")
     counts = document_frequencies(texts)
     n_docs = base.count()
     idf = spark.sparkContext.broadcast(m.idf_table(counts, n_docs))  # 2^DF_BITS floats
     every = stored(signed(texts, idf))
-    copies = stored(every.groupBy("same").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
-    samples = every.join(copies.select(F.col("first").alias("doc"), "same"), ["doc", "same"], "left_semi").dropDuplicates(["doc"])
+    # written once, so that each text keeps its number
+    nodes = stored(every.groupBy("same").agg(F.min("doc").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    own = every.join(nodes.select(F.col("first").alias("doc"), "same", "node"), ["doc", "same"]).dropDuplicates(["doc", "same"])
+    # from here on, doc is a text's number
+    samples = own.select(F.col("node").alias("doc"), "bands", "sig")
     member = samples.select("doc", F.explode("bands").alias("bucket")).distinct()
     buckets = member.groupBy("bucket").agg(F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1")
     met = stored(member.join(buckets.select("bucket", "lead"), "bucket").select("bucket", "doc", "lead"))
@@ -195,7 +195,7 @@ def near_duplicates(
     star = stored(_alike(met.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), sigs))
     seen = star.select(F.col("a").alias("doc")).union(star.select(F.col("b").alias("doc"))).distinct()
     # texts of documents that may be alike to another, each once
-    read = stored(_texts_of(texts, seen))
+    read = stored(_texts_of(texts, nodes, seen))
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stored(_verified(first, read, idf, similarity).select("a", "b"))
     labels = components(links)
@@ -208,7 +208,7 @@ def near_duplicates(
 
     links = links.unionByName(stored(_verified(apart(star, labels), read, idf, similarity).select("a", "b")))
     labels = components(links)
-    # members that are not in the component of their bucket's least id, against those of other components
+    # members that are not in the component of their bucket's least number, against those of other components
     mine = met.join(labels.select(F.col("id").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     open_ = mine.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     mine = stored(mine.join(open_.select("bucket", "n"), "bucket"))
@@ -216,7 +216,7 @@ def near_duplicates(
     rest = [_alike(_across(small, F.lit(True)), sigs)]
     crowd = stored(mine.where(F.col("n") > SMALL_BUCKET))
     if not crowd.isEmpty():
-        whole = stored(_texts_of(texts, crowd.select("doc").distinct()))
+        whole = stored(_texts_of(texts, nodes, crowd.select("doc").distinct()))
         rest += [_alike(p, sigs) for p in _crowd_pairs(crowd, whole, idf, similarity)]
     pairs = rest[0]
     for more in rest[1:]:
@@ -224,13 +224,39 @@ def near_duplicates(
     pairs = stored(pairs.distinct())
     if not pairs.isEmpty():
         involved = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-        links = links.unionByName(stored(_verified(pairs, stored(_texts_of(texts, involved)), idf, similarity).select("a", "b")))
+        links = links.unionByName(stored(_verified(pairs, stored(_texts_of(texts, nodes, involved)), idf, similarity).select("a", "b")))
         labels = components(links)
+    return base, every, nodes, links, labels
+
+
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY
+) -> DataFrame:
+    """One row per id: id and group_id, the least id of the documents it is linked to (its own if there are none).
+
+    Texts are linked if they are equal, or if their shingles' weighted Jaccard similarity is at least `similarity`;
+    groups are what links connect. Exact copies are one text from the start. Candidates share a band of samples. The
+    links of a band's bucket are settled without all its pairs: first every member against the bucket's first text, then,
+    once what is linked so far is one component, members of different components against each other. A pair inside a
+    component would change nothing, so no link between different texts is lost. Buckets of more than SMALL_BUCKET members
+    don't make all pairs even then (see _crowd_pairs), so a bucket of near copies costs some comparisons a member.
+
+    Null and empty texts stay alone; texts without words are only linked to equal ones. Rows with a null id are one document (in the result null, null). Rows with one id are one document that is linked by each of its texts. Other columns are ignored; an empty table gives no rows.
+    """
+    base, every, nodes, links, labels = _linked(docs, id_col, text_col, similarity)
+    # what a document with several texts links
+    several = every.groupBy("doc").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").select("doc")
+    theirs = stored(every.select("doc", "same").join(several, "doc").join(nodes.select("same", "node"), "same").select("doc", "node"))
+    if not theirs.isEmpty():
+        lead = theirs.groupBy("doc").agg(F.min("node").alias("a"))
+        labels = components(links.unionByName(theirs.join(lead, "doc").select("a", F.col("node").alias("b"))))
+    linked = nodes.join(labels.withColumnRenamed("id", "node"), "node")
+    least = linked.groupBy("label").agg(F.min("first").alias("group"))
+    groups = nodes.select("same", "first").join(linked.join(least, "label").select("same", "group"), "same", "left")
     grouped = (
-        every.select("doc", "same").join(copies.select("same", "first"), "same")
-        .join(labels.select(F.col("id").alias("first"), "label"), "first", "left")
+        every.select("doc", "same").join(groups, "same")
         .groupBy("doc")
-        .agg(F.min(F.coalesce("label", "first")).alias("group"))
+        .agg(F.min(F.coalesce("group", "first")).alias("group"))
     )
     ids = base.select("doc").distinct()
     return ids.join(grouped, "doc", "left").select(
@@ -238,5 +264,20 @@ def near_duplicates(
     )
 
 
+def first_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The texts that stay if of each group of linked texts one does, that of the least id: id and key, as in text_key.
+
+    Unlike in near_duplicates, texts are not linked by their id: what is no near copy stays under a repeated id as well.
+    Null and empty texts stay under each id.
+    """
+    base, _, nodes, _, labels = _linked(docs, id_col, text_col, similarity)
+    linked = nodes.join(labels.withColumnRenamed("id", "node"), "node")
+    least = linked.groupBy("label").agg(F.min(F.struct("first", "same")).alias("least"))
+    later = linked.join(least, "label").where(F.struct("first", "same") != F.col("least")).select("node")
+    kept = nodes.join(later, "node", "left_anti").select(F.col("first").alias("doc"), "same")
+    silent = base.where("text IS NULL OR text = ''").select("doc", "same").distinct()
+    return kept.unionByName(silent).select(F.nullif("doc", F.lit(NO_ID)).alias(id_col), F.col("same").alias("key"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
