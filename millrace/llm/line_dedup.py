@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import NO_ID, stored, table
 
 BLANKS = " \t\n\x0b\x0c\r"
+#: Keys in more than 1/COMMON of all lines meet them without a shuffle.
+COMMON = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,9 +28,11 @@ def drop_shared_lines(
     them. The rest is reassembled by position.
 
     The exploded lines (hashes, ids and positions) are written once to the shared folder and read for the counts and for
-    the second join, so texts are split once. Only those are shuffled for the counts; a key that is in every document arrives as one partial
-    count per task. The second join deals its rows by hash; adaptive execution splits a hot one. Texts move once, when
-    the positions to drop meet their document.
+    the second join, so texts are split once. Only those are shuffled for the counts; a key that is in every document arrives
+    as one partial count per task. Then the most common keys (at most COMMON, as each holds more than 1/COMMON of all
+    lines) meet their lines by broadcast, without a shuffle; the other keys are dealt by hash, and none of them is hot.
+    Texts move once, when the positions to drop meet their document. Very long texts are split and joined in time that
+    follows their length.
 
     Null or empty text: one empty line. A null id counts as one document below all others. Rows with equal id and text
     get equal results; rows with one id and several texts count as one document. Other columns are ignored.
@@ -46,14 +50,20 @@ def drop_shared_lines(
     shared = (
         lines.select("h", "d").distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("d").alias("keeper")).where(F.col("n") >= min_docs)
     )
+    shared = stored(shared)  # a row per shared line: read for the common ones, and for the others
+    least = lines.count() // COMMON
+    common = shared.where(F.col("n") > least).select("h", "keeper")
+    few = shared.where(F.col("n") <= least).select("h", F.col("keeper").alias("other"))
+    met = lines.join(F.broadcast(common), "h", "left")  # at most COMMON rows: each stands for more than 1/COMMON of all lines
     dropped = (
-        lines.join(shared.select("h", "keeper"), "h")
-        .where("d <> keeper")
+        met.where("keeper IS NOT NULL AND d <> keeper").select("d", "th", "pos")
+        .unionByName(met.where("keeper IS NULL").join(few, "h").where("d <> other").select("d", "th", "pos"))
         .groupBy("d", "th")
         .agg(F.collect_set("pos").alias("gone"))
-    )
+    )
     parts = F.split("t", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")), lambda i: F.get(parts, i))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    kept = F.transform(F.array(parts), lambda p: F.transform(left, lambda i: F.get(p, i)))[0]  # the split bound once
     return base.join(dropped, ["d", "th"], "left").select(
         F.col("id").alias(id_col),
         F.size(parts).cast("long").alias("n_lines"),
