@@ -9,9 +9,12 @@ from millrace.llm.repeats import Hashed, mixed
 
 SHINGLE = 5
 HASHES, ROWS = 64, 4
-#: Fixed-size table of document frequencies: shingles share its entries by hash.
+#: Entries of the table in which shingles are counted first, by hash; it only says which of them may be frequent.
 DF_BITS = 20
-#: idf lies between 1 (in every document) and 1 + IDF_RANGE (in one).
+#: A shingle in more than one of so many documents is frequent, and its documents are counted exactly. How many are
+#: frequent is bounded by the shingles of a mean document times this number, whatever the input.
+FREQUENT = 1000
+#: idf lies between 1 (in every document) and 1 + IDF_RANGE (in one of FREQUENT or fewer).
 IDF_RANGE = 0.25
 PIECE = 1 << 20
 _PARAM_BITS = 16
@@ -47,21 +50,27 @@ def shingles(text: str | None) -> np.ndarray:
     return mixed(total)
 
 
-def entries(h: np.ndarray) -> np.ndarray:
-    """Places of shingles in the table of document frequencies."""
-    return (h >> np.uint64(64 - DF_BITS)).astype(np.int64)
+def entries(h: np.ndarray, bits: int = DF_BITS) -> np.ndarray:
+    """Places of shingles in the table in which they are counted first."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def idf_table(counts: np.ndarray, n_docs: int) -> np.ndarray:
-    """From counts by entry. What other shingles add to an entry, in the mean, is taken off before."""
-    df = np.maximum(1.0, counts - counts.sum() / len(counts))
-    return (1 + IDF_RANGE * (1 - np.log(df) / np.log(max(n_docs, 2)))).clip(1, 1 + IDF_RANGE).astype(np.float32)
+def idf_values(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """idf of frequent shingles by the share of documents that have them, on a scale of logarithms."""
+    share = np.maximum(df, 1) / max(n_docs, 1)
+    return (1 + IDF_RANGE * np.log(share) / np.log(1 / FREQUENT)).clip(1, 1 + IDF_RANGE).astype(np.float32)
 
 
-def weighted(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, sorted, and their weights (1 + ln tf) * idf."""
+def weighted(text: str | None, idf: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, sorted, and their weights (1 + ln tf) * idf. idf: frequent shingles, sorted, and their values."""
     h, tf = np.unique(shingles(text), return_counts=True)
-    return h, (1 + np.log(tf)).astype(np.float32) * idf[entries(h)]
+    known, value = idf
+    rarity = np.full(len(h), 1 + IDF_RANGE, np.float32)
+    if len(known):
+        at = np.searchsorted(known, h).clip(max=len(known) - 1)
+        found = known[at] == h
+        rarity[found] = value[at[found]]
+    return h, (1 + np.log(tf)).astype(np.float32) * rarity
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

@@ -1,9 +1,13 @@
 """Near duplicates, components, repeated strings and the pipeline against plain Python."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -12,6 +16,9 @@ from millrace.llm.components import components
 from tests.llm.conftest import prose
 
 
+ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def leaders(ids, links):
     up = {i: i for i in ids}
 
@@ -36,34 +43,55 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
-def plain_groups(rows, idf):
+def plain_weights(rows):
+    """Distinct texts with their shingles (tuples of words) and weights, from frequencies counted one by one."""
+    words = {t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(ASCII)) for t in {r[1] for r in rows if r[1]}}
+    tf = {t: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter() for t, w in words.items()}
+    df = Counter(x for _, t, *_ in rows if t for x in tf[t])
+    idf = lambda n: 1 + minhash.IDF_RANGE * min(1.0, math.log(n / len(rows)) / math.log(1 / minhash.FREQUENT))
+    return {t: {x: (1 + math.log(n)) * idf(df[x]) for x, n in c.items()} for t, c in tf.items()}
+
+
+def plain_similarity(a, b):
+    least = sum(min(a[x], b[x]) for x in a.keys() & b.keys())
+    whole = sum(a.values()) + sum(b.values()) - least
+    return least / whole if whole else 0.0
+
+
+def plain_groups(rows):
     texts = {}
     for i, t, *_ in rows:
         if t:
             texts.setdefault(t, []).append(i)
-    w = {t: minhash.weighted(t, idf) for t in texts}
+    w = plain_weights(rows)
     links = [(a[0], b) for a in texts.values() for b in a[1:]]
     names = list(texts)
-    links += [(texts[x][0], texts[y][0]) for k, x in enumerate(names) for y in names[k + 1 :] if minhash.jaccard(w[x], w[y]) >= 0.8]
+    links += [(texts[x][0], texts[y][0]) for k, x in enumerate(names) for y in names[k + 1 :] if plain_similarity(w[x], w[y]) >= 0.8]
     return leaders([r[0] for r in rows], links)
 
 
-def idf_of(spark, df):
-    texts = df.selectExpr("doc_id AS doc", "text").where("text IS NOT NULL AND text <> ''")
-    return minhash.idf_table(near_dedup.document_frequencies(texts), df.count())
+def test_frequencies(spark, monkeypatch):
+    """Exact numbers of documents of each frequent shingle, although shingles share entries, in pieces or at once."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 30) + (" a passage that many of them share word for word" if i % 3 == 0 else "")) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    plain = Counter(x for _, t in rows for x in set(minhash.shingles(t).tolist()))
+    for bits, per, held in ((20, 1000, 1 << 20), (8, 30, 64)):
+        monkeypatch.setattr(near_dedup, "HELD_SHINGLES", held)
+        h, n = near_dedup.frequencies(df, len(rows), bits=bits, one_in=per)
+        assert dict(zip(h.tolist(), n.tolist(), strict=True)) == {x: k for x, k in plain.items() if k > len(rows) / per}
+        assert (np.diff(h.astype(object)) > 0).all()
 
 
 def test_groups(spark, docs, corpus, empty):
     got = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(docs).collect()}
-    want = plain_groups(corpus, idf_of(spark, docs))
+    want = plain_groups(corpus)
     assert got == want and sum(i != g for i, g in got.items()) >= 10
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_crowded_buckets(spark, monkeypatch):
-    """A large group of near copies, most of them alike to few others; large buckets take the other way."""
-    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 3)
-    monkeypatch.setattr(near_dedup, "RARE", 4)
+def test_crowded_buckets(spark):
+    """A large group of near copies, most of them alike to few others."""
     rng = random.Random(9)
     base = prose(rng, 150).split()
     rows = []
@@ -74,7 +102,21 @@ def test_crowded_buckets(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(df).collect()}
-    assert got == plain_groups(rows, idf_of(spark, df))
+    assert got == plain_groups(rows)
+
+
+def test_two_families_that_are_no_one(spark):
+    """Near copies of two texts that share most of their words: each family is a group, and strangers stay alone."""
+    rng = random.Random(12)
+    shared, own = prose(rng, 150), [prose(rng, 25), prose(rng, 25)]
+    rows = []
+    for i in range(80):
+        words = f"{shared} {own[i % 2]}".split()
+        words[150 + rng.randrange(25)] = f"edit{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, f"{shared} {prose(rng, 120)}") for i in range(5)]
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows)
 
 
 def test_group_of_odd_ids(spark):
@@ -118,8 +160,8 @@ def plain_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize(("meeting", "chunk"), [(50_000, 1 << 20), (1, 700)])
-def test_repeats(spark, corpus, empty, monkeypatch, meeting, chunk):
+@pytest.mark.parametrize(("meeting", "chunk", "more"), [(50_000, 1 << 20, {}), (1, 700, {}), (50_000, 700, {"by_gram": 1, "slots": 64, "strings": 50}), (3, 700, {"by_gram": 2, "slots": 1 << 12})])
+def test_repeats(spark, corpus, empty, monkeypatch, meeting, chunk, more):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
     rng = random.Random(8)
     passage = prose(rng, 60)
@@ -128,13 +170,22 @@ def test_repeats(spark, corpus, empty, monkeypatch, meeting, chunk):
     rows.sort(key=lambda r: r[0])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = plain_repeats(rows)
-    got = sorted(suffix_dedup.remove_repeats(df, meeting=meeting).collect(), key=lambda r: r.doc_id)
+    got = sorted(suffix_dedup.remove_repeats(df, meeting=meeting, **more).collect(), key=lambda r: r.doc_id)
     assert [(r.doc_id, r.n_bytes, r.n_removed, [(x.start, x.end) for x in r.spans], bytes(r.kept)) for r in got] == want
-    short = sorted(suffix_dedup.remove_repeats(df, meeting=meeting, digest=True).collect(), key=lambda r: r.doc_id)
+    short = sorted(suffix_dedup.remove_repeats(df, meeting=meeting, digest=True, **more).collect(), key=lambda r: r.doc_id)
     assert [(r.doc_id, r.n_spans, r.kept_sha256) for r in short] == [(i, len(s), hashlib.sha256(k).hexdigest()) for i, _, _, s, k in want]
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_strings_with_one_hash_are_told_apart(monkeypatch):
+    """Where two strings share a hash, their bytes decide."""
+    data = [bytes([65 + k % 3]) * 100 + b"x" for k in range(6)]
+    whole = pa.table({"gram": [1] * 6, "doc": list(range(6)), "chunk": [0] * 6, "pos": [200 * k for k in range(6)], "n": [2] * 6, "data": data})
+    plain = [(b.column("pos").to_pylist(), b.column("n").to_pylist()) for b in suffix_dedup._repeated(whole)]
+    monkeypatch.setattr(suffix_dedup, "mixed", lambda h: h * np.uint64(0))
+    assert [(b.column("pos").to_pylist(), b.column("n").to_pylist()) for b in suffix_dedup._repeated(whole)] == plain == [([600, 800, 1000], [2, 2, 2])]
+
+
 def test_repeats_of_odd_ids(spark):
     text = "0123456789" * 5 + "abcdefghij" * 6
     df = spark.createDataFrame([(3, text), (None, text), (3, text)], "doc_id long, text string").coalesce(1)
@@ -175,7 +226,7 @@ def test_pipeline(spark, corpus, tmp_path):
     assert ids(docs) - ids(known) >= {400, 401, 402, 405} and ids(known) >= {r[0] for r in rows if r[0] < 400}
     known = spark.createDataFrame(known.collect(), columns)
     once = by_name["near_dedup"](spark, known, str(tmp_path))
-    groups = plain_groups([(r.doc_id, r.text) for r in known.collect()], idf_of(spark, known))
+    groups = plain_groups([(r.doc_id, r.text) for r in known.collect()])
     assert once.columns == docs.columns and ids(once) == {i for i, g in groups.items() if i == g} and once.count() == len(ids(once))
     once = spark.createDataFrame(once.collect(), columns)
     clean = by_name["decontaminate"](spark, once, str(tmp_path))
@@ -189,3 +240,28 @@ def test_pipeline(spark, corpus, tmp_path):
     assert [r.start for r in tokens] == [0, *np.cumsum([r.n_tokens for r in tokens])[:-1].tolist()]
     done = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in done.collect()} == ids(clean)
+
+
+def test_pipeline_with_clashing_names_and_empty_tables(spark, corpus, tmp_path):
+    from pyspark.sql import functions as F
+
+    names = ["mix_source", "mix_at", "__nth", "__key", "row", "id", "key", "nth", "source_", "block", "at", "bits", "n_words", "spans", "dotted.name"]
+    rows = [(i, t, lang, s, len(t or "")) for i, t, lang, s in corpus] + [(None, "the grain of the field", "en", None, 1), (3, "Another text of it.", "en", None, 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumns({n: F.lit(7) for n in names}).withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    df.write.parquet(f"{tmp_path}/all/documents.parquet")
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    bench = spark.createDataFrame([(1, corpus[3][1]), (None, None), (2, "")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/all/benchmark.parquet")
+    bench.limit(0).write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    for part in ("all", "none"):
+        docs = spark.read.parquet(f"{tmp_path}/{part}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, f"{tmp_path}/{part}")
+            assert out.columns == docs.columns, name
+            assert out.where("mix_source <> 7 OR `dotted.name` <> 7").count() == 0
+            left = {(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()}
+            assert (None, "the grain of the field") in left or part == "none", name
+            assert (3, "Another text of it.") in left or part == "none", name
+        n = corpus_pipeline.run(spark, f"{tmp_path}/{part}").count()
+        assert n == 0 if part == "none" else n >= 40
