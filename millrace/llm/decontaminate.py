@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held, map_arrow, table, words_of
+from millrace.llm.common import held, map_arrow, stored, table, words_of
 
 WINDOW = 13
 #: Characters of windows in one automaton. Larger benchmarks are scanned for block by block.
@@ -25,21 +27,17 @@ def windows(words: list[bytes], width: int = WINDOW) -> list[bytes]:
 def automaton(items: list[tuple[int, str]], width: int = WINDOW) -> ahocorasick.Automaton:
     """Over the windows of all items; each carries its number of words and the places of its items in the list.
 
-    Built once in each Python worker. Bytes are taken as Latin-1 characters, so one byte is one character.
+    Bytes are taken as Latin-1 characters, so one byte is one character.
     """
-
-    def make() -> ahocorasick.Automaton:
-        of: dict[bytes, set[int]] = {}
-        for k, (_, text) in enumerate(items):
-            for w in windows(words_of(text), width):
-                of.setdefault(w, set()).add(k)
-        made = ahocorasick.Automaton()
-        for w, ks in of.items():
-            made.add_word(w.decode("latin-1"), (w.count(b" ") - 1, tuple(sorted(ks))))
-        made.make_automaton()
-        return made
-
-    return held("automaton " + hashlib.sha256(repr((items, width)).encode()).hexdigest(), make)
+    of: dict[bytes, set[int]] = {}
+    for k, (_, text) in enumerate(items):
+        for w in windows(words_of(text), width):
+            of.setdefault(w, set()).add(k)
+    made = ahocorasick.Automaton()
+    for w, ks in of.items():
+        made.add_word(w.decode("latin-1"), (w.count(b" ") - 1, tuple(sorted(ks))))
+    made.make_automaton()
+    return made
 
 
 def scan(words: list[bytes], machine: ahocorasick.Automaton) -> tuple[np.ndarray, set[int]]:
@@ -67,19 +65,50 @@ def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-SCHEMA = "id bigint, n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
+FOUND = "hit binary, item_ids array<string>"
+SCHEMA = "n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
-def _blocks(items: list[tuple[int, str]], chars: int) -> list[list[tuple[int, str]]]:
-    blocks, room = [[]], chars
+def _blocks(items: Iterator[tuple[int, str]], chars: int) -> Iterator[list[tuple[int, str]]]:
+    """Items in the order in which they come, in lists of at most so many characters of windows; one list at least."""
+    block: list[tuple[int, str]] = []
+    room = chars
     for item in items:
-        need = WINDOW * len(item[1] or "")
-        if blocks[-1] and need > room:
-            blocks.append([])
-            room = chars
-        blocks[-1].append(item)
+        need = WINDOW * len(item[1])
+        if block and need > room:
+            yield block
+            block, room = [], chars
+        block.append(item)
         room -= need
-    return blocks
+    yield block
+
+
+def _scanned(docs: DataFrame, block: Broadcast, key: str, *, last: bool) -> DataFrame:
+    """From row, text and what is found so far, the same with what the block's automaton finds, which is built once in each
+    worker; after the last block the row and what is asked for."""
+
+    def make():
+        machine = held(f"automaton {key}", lambda: automaton(block.value))
+
+        def run(batch) -> dict:
+            out: dict = {k: [] for k in ("hit", "item_ids", "n_words", "n_hit", "spans")}
+            names = [None if x[0] is None else str(x[0]) for x in block.value]
+            for text, bits, known in zip(*(batch.column(c).to_pylist() for c in ("text", "bits", "known")), strict=True):
+                words = words_of(text)
+                hit, found = scan(words, machine)
+                if bits is not None:
+                    hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(words)).astype(bool)
+                n = int(hit.sum())
+                out["hit"].append(None if last else np.packbits(hit).tobytes())
+                out["item_ids"].append(sorted({names[i] for i in found if names[i] is not None} | set(known or ())))
+                out["n_words"].append(len(words))
+                out["n_hit"].append(n)
+                out["spans"].append([{"start": a, "end": b} for a, b in original_spans(text, hit)] if n and last else [])
+            return out
+
+        return run
+
+    return map_arrow(docs, make, SCHEMA if last else FOUND, keep=["row"] if last else ["row", "text"])
 
 
 def find_contamination(
@@ -89,46 +118,28 @@ def find_contamination(
     """One row per input row: id, n_words, n_hit, item_ids (as strings, sorted), spans of hit words in the original text.
     With `whole_rows`, the input's row as the struct `row` instead of the id.
 
-    The automaton of the benchmark's 13-word windows is built in every Python worker; documents are read once, in
-    place, and nothing is shuffled. The benchmark is a test set and comes to the driver; beyond `block_chars` characters
-    of windows it is cut into blocks, each document is scanned for one block after the other and the results are merged,
-    so memory stays bounded by a block.
+    The automaton of the benchmark's 13-word windows is built once in every Python worker; documents are read once, in
+    place, and nothing is shuffled. A benchmark of more than `block_chars` characters of windows is read in blocks: the
+    documents are scanned for one block after the other, and what was found goes along in the shared folder. So a worker
+    holds one automaton, and the driver two blocks, however large the benchmark is.
 
-    Null or wordless text: no words, no hits. Items without words never occur; equal items all count. Null item ids are
-    left out of item_ids. Repeated rows are scanned alike, a null id stays null, other columns are ignored.
+    Null or wordless text: no words, no hits. Very long texts are scanned whole. Items without words never occur; equal
+    items all count. Null item ids are left out of item_ids. Repeated rows are scanned alike, a null id stays null, other
+    columns are ignored; without items nothing is hit, and an empty table gives no rows.
     """
-    items = [tuple(r) for r in benchmark.select("item_id", "text").where("text is not null").distinct().toLocalIterator()]
-    items.sort(key=lambda r: (str(r[0]), r[1]))
-    blocks = _blocks(items, block_chars)
-    columns = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
-
-    def make():
-        def run(batch) -> dict:
-            out: dict = {k: [] for k in ("id", "n_words", "n_hit", "item_ids", "spans")}
-            texts = batch.column("text").to_pylist()
-            words = [words_of(t) for t in texts]
-            hits = [np.zeros(len(w), bool) for w in words]
-            names: list[set[str]] = [set() for _ in words]
-            for block in blocks:  # each block over the whole batch, so that a larger benchmark changes automata seldom
-                machine = automaton(block)
-                for k, w in enumerate(words):
-                    hit, found = scan(w, machine)
-                    hits[k] |= hit
-                    names[k].update(str(block[i][0]) for i in found if block[i][0] is not None)
-            out["id"] = batch.column("id").to_pylist()
-            out["n_words"] = [len(w) for w in words]
-            out["n_hit"] = [int(h.sum()) for h in hits]
-            out["item_ids"] = [sorted(n) for n in names]
-            out["spans"] = [
-                [{"start": a, "end": b} for a, b in original_spans(t, h)] if n else [] for t, h, n in zip(texts, hits, out["n_hit"], strict=True)
-            ]
-            return out
-
-        return run
-
-    if whole_rows:
-        return map_arrow(docs.select(*columns, F.struct("*").alias("row")), make, SCHEMA, keep=["row"]).drop("id")
-    return map_arrow(docs.select(*columns), make, SCHEMA).withColumnRenamed("id", id_col)
+    spark = docs.sparkSession
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct().orderBy(F.col("item_id").cast("string"), "text")
+    row = F.struct("*") if whole_rows else F.col(id_col)
+    found = docs.select(row.alias("row"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<string>").alias("known"))
+    blocks = _blocks((tuple(r) for r in items.toLocalIterator()), block_chars)
+    block = next(blocks)
+    while (after := next(blocks, None)) is not None:
+        found = stored(_scanned(found, spark.sparkContext.broadcast(block), uuid.uuid4().hex, last=False))
+        found = found.withColumnsRenamed({"hit": "bits", "item_ids": "known"})
+        block = after
+    # a block is bounded by block_chars, but for a single item that is larger
+    done = _scanned(found, spark.sparkContext.broadcast(block), uuid.uuid4().hex, last=True)
+    return done if whole_rows else done.withColumnRenamed("row", id_col)
 
 
 #: A document is contaminated if a twentieth of its words or more are hit.
