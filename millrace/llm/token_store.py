@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
 import re
 import sys
 import zlib
@@ -33,16 +34,14 @@ from millrace.llm.common import held, map_arrow, shared_dir, small_batches, tabl
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 DICT_BYTES = 64 * 1024
-#: Documents whose ids train the dictionary, and how much of each at most is looked at.
+#: Documents whose ids train the dictionary, in the mean, and how many ids of each: bounds what comes to the driver.
 DICT_DOCS, DICT_IDS = 2000, 4096
-#: One id in so many may be in the sample.
-DICT_SHARE = 4
 BLOCK_BYTES = 1 << 20
 #: Pieces of text whose ids a worker remembers.
 CACHE_PIECES = 800_000
 
 _LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
-#: The tokenizer's own split into pieces, for characters below U+0250. Texts with others go to the library whole.
+#: How byte-level models split a text into pieces, for characters below U+0250. Texts with others go to the library whole.
 PIECES = re.compile(
     f"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 )
@@ -74,8 +73,14 @@ class Pieces(dict):
         return found
 
 
+#: What PIECES stands for, as a tokenizer's file says it: only for such files are pieces cut here.
+SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None}
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library; ids of recurring pieces are remembered."""
+    """Ids of texts by the tokenizers library. If the file's normalizer, pre-tokenizer and model are those that PIECES is
+    written for, ids of recurring pieces are remembered; else each text goes to the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -84,10 +89,19 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Pieces(self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I")
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        split, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+        self.by_pieces = (
+            all(said.get(k) is None for k in ("normalizer", "truncation", "padding"))
+            and all(split.get(k) == v for k, v in SPLIT.items())
+            and all(model.get(k) == v for k, v in PLAIN.items())
+            and not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") for t in said.get("added_tokens", []))
+        )
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids of a text."""
-        if BEYOND.search(text) or any(s in text for s in self.special):
+        if not self.by_pieces or BEYOND.search(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
@@ -99,15 +113,30 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, path: str, *, id_col: str, text_col: str) -> bytes:
-    """From at most DICT_DOCS documents and DICT_IDS ids of each: a bounded sample from the first partitions that have them."""
-    sample = (
-        docs.where((F.length(text_col) > 0) & (F.pmod(F.xxhash64(id_col), F.lit(DICT_SHARE)) == 0))
-        .select(F.substring(text_col, 1, 4 * DICT_IDS).alias("t"))
-        .limit(DICT_DOCS)
-    )
-    coder = encoder(path)
-    width = coder.dtype.itemsize
-    samples = [coder.encode(r.t)[: DICT_IDS * width] for r in sample.collect()]
+    """From a sample of all rows, drawn by a hash of the id: DICT_DOCS documents in the mean, encoded whole where they are.
+    Of each, a stretch of DICT_IDS ids at most comes to the driver, from a place that depends on the text."""
+    rows = docs.count()
+    if not rows:
+        return b""
+    drawn = docs.where(F.pmod(F.xxhash64(id_col, F.lit("dictionary")), F.lit(1_000_000)) < -(-DICT_DOCS * 1_000_000 // rows)).select(F.col(text_col).alias("t"))
+
+    def make():
+        coder = encoder(path)
+        width = coder.dtype.itemsize
+
+        def run(batch) -> dict:
+            found = []
+            for text in batch.column("t").to_pylist():
+                data = coder.encode(text)
+                more = len(data) // width - DICT_IDS
+                at = width * (zlib.crc32(data) % (more + 1)) if more > 0 else 0
+                found.append(data[at : at + DICT_IDS * width])
+            return {"ids": found}
+
+        return run
+
+    # equal ids, as null ones are, are drawn together: no more than so many of them either
+    samples = sorted(r.ids for r in map_arrow(drawn, make, "ids binary").where("length(ids) > 0").limit(2 * DICT_DOCS).collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few or too small samples
@@ -124,18 +153,19 @@ def write_tokens(
 ) -> None:
     """Encode each text, append `end_id`, and write the ids in ascending order of id below `out` (see the module).
 
-    One shuffle: texts are dealt by ranges of the id and sorted within each; a worker holds one block and one Arrow batch
-    at a time. Only the parts' totals come to the driver: a row per partition.
+    One shuffle: texts are dealt by ranges of the id, and rows of one id by a hash of the text, so that an id with very many
+    rows is no hot spot; they are sorted within each range. A worker holds one block and one Arrow batch at a time. Only
+    the parts' totals come to the driver: a row per partition.
 
-    Null text counts as empty (the end id alone). Null ids come first. Repeated rows are all written, ordered by text;
-    other columns are ignored. Empty input writes empty files.
+    Null text counts as empty (the end id alone); very long ones are encoded whole. Null ids come first. Rows with one id
+    are all written, in an order that depends on their texts alone; other columns are ignored. Empty input writes empty files.
     """
     spark = docs.sparkSession
     words = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     trained = train_dictionary(words, tokenizer_path, id_col="id", text_col="text")
     digest = hashlib.sha256(trained).hexdigest()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = words.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    ordered = words.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
 
     def run(batches):
         coder = encoder(tokenizer_path)
