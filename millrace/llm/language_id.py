@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held, id_remainder, map_arrow, table
+from millrace.llm.common import id_remainder, map_arrow, table
 
 #: Documents of a language to learn from, in the mean: ids are drawn by a hash against this share of the language's rows.
 TRAIN_DOCS = 1500
 #: A context of three bytes is a node of a language's tree from this many times on.
 LEAST_SEEN = 3
+#: Strings that are looked up at once, and languages that share a table.
+PIECE, TOGETHER = 1 << 18, 8
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}")
 _DIGITS = {c: "0" for c in range(0x31, 0x3A)}
@@ -25,55 +27,49 @@ def coded(text: str) -> np.ndarray:
     return np.frombuffer(b"\n" + text.lower().translate(_DIGITS).encode(), np.uint8)
 
 
+def gram_pieces(text: str) -> Iterator[np.ndarray]:
+    """Each byte with the three before it, as one number, some at a time; bytes before the start of the text are 0."""
+    b = np.concatenate((np.zeros(2, np.uint8), coded(text)))
+    for at in range(0, len(b) - 3, PIECE):
+        x = b[at : at + PIECE + 3].astype(np.uint32)
+        yield x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
+
+
 def grams(text: str) -> np.ndarray:
-    """Each byte with the three before it, as one number; bytes before the start of the text are 0."""
-    b = coded(text).astype(np.uint32)
-    p = np.concatenate((np.zeros(3, np.uint32), b))
-    return (p[:-3] << 24 | p[1:-2] << 16 | p[2:-1] << 8 | p[3:])[1:]
+    return np.concatenate([np.zeros(0, np.uint32), *gram_pieces(text)])
 
 
-class Ppm:
-    """Code lengths of a byte after its three predecessors, for all languages at once.
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    """Rows of values for the wanted keys; keys are sorted."""
+    if not len(keys):
+        return np.full((len(wanted), values.shape[1]), default, np.float32)
+    at = np.searchsorted(keys, wanted).clip(max=len(keys) - 1)
+    out = values[at]
+    out[keys[at] != wanted] = default
+    return out
 
-    Order -1 gives each byte 1/256. Order k gives a byte seen n times in a context c(n)/(total + distinct) and escapes
-    with distinct/(total + distinct) (method C); an escape shares what lower orders give to the bytes not seen in the
-    context, so every context's probabilities add up to one. A context that a language's tree lacks falls back to the
-    next lower order without a charge. Counts don't change while scoring, so a code length depends on four bytes alone
-    and stands in a table: one row per pair of preceding bytes, and one for each triple that is a node in any language.
-    """
 
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        """rows: language, four bytes as one number, count."""
-        self.langs = sorted({r[0] for r in rows})
-        place = {x: k for k, x in enumerate(self.langs)}
-        lang = np.array([place[r[0]] for r in rows], np.int64)
-        gram = np.array([r[1] for r in rows], np.int64)
-        count = np.array([r[2] for r in rows], np.float64)
-        n_langs = len(self.langs)
-        order = [gram >> s & 0xFF for s in (24, 16, 8, 0)]
-        used = np.unique(np.concatenate(order))
-        self.code = np.zeros(256, np.int64)  # 0: a byte that no language has
+class _Trees:
+    """Context trees of some languages. What a tree lacks takes no room; languages that are scored together share keys."""
+
+    def __init__(self, n_langs: int, used: np.ndarray, lang: np.ndarray, gram: np.ndarray, count: np.ndarray):
+        self.code = np.zeros(256, np.int64)  # 0: all bytes that no language has
         self.code[used] = np.arange(1, len(used) + 1)
-        a = self.size = len(used) + 1
-        third, second, first, byte = (self.code[x] for x in order)
-        # A byte number 0 stands for all bytes that were never seen: each gets 1/256 in order -1.
+        self.size = a = len(used) + 1
+        self.langs = n_langs
         uniform = np.full((n_langs, 1, a), 1 / 256)
-        p0 = self._next(uniform, np.zeros(1, np.int64), lang, np.zeros(len(lang), np.int64), byte, count, 1)
-        p1 = self._next(p0, np.zeros(a, np.int64), lang, first, byte, count, a)
-        two = second * a + first
-        p2 = self._next(p1, np.arange(a * a) % a, lang, two, byte, count, a * a)
-        triple = third * a * a + two
-        seen = np.bincount(triple * n_langs + lang, count, a**3 * n_langs).reshape(-1, n_langs)
-        nodes = np.flatnonzero((seen >= LEAST_SEEN).any(1))
-        self.node = np.full(a**3, -1, np.int32)
-        self.node[nodes] = np.arange(len(nodes))
-        keep = seen[triple, lang] >= LEAST_SEEN
-        p3 = self._next(p2, nodes % (a * a), lang[keep], self.node[triple[keep]], byte[keep], count[keep], len(nodes))
-        self.two = self._bits(p2)
-        self.three = self._bits(p3)
+        first, byte = self.code[gram >> 8 & 0xFF], self.code[gram & 0xFF]
+        p0 = self._dense(uniform, np.zeros(1, np.int64), lang, np.zeros(len(lang), np.int64), byte, count, 1)
+        p1 = self._dense(p0, np.zeros(a, np.int64), lang, first, byte, count, a)
+        self.one = np.ascontiguousarray(-np.log2(np.maximum(p1, 1e-12)).transpose(1, 2, 0).reshape(-1, n_langs).astype(np.float32))
+        lang3, three, n3 = self._summed(lang, gram & 0xFFFFFF, count)
+        low = p1[lang3, self.code[three >> 8 & 0xFF], self.code[three & 0xFF]]
+        self.keys3, self.seen3, self.nodes2, self.escape2, p2 = self._order(lang3, three, n3, low, 1)
+        place = np.searchsorted(lang3 << 24 | three, lang << 24 | gram & 0xFFFFFF)  # in order of language and string
+        self.keys4, self.seen4, self.nodes3, self.escape3, _ = self._order(lang, gram, count, p2[place], LEAST_SEEN)
 
     @staticmethod
-    def _next(lower, parent, lang, context, byte, count, n):
+    def _dense(lower, parent, lang, context, byte, count, n):
         """Probabilities [language, context, byte] of an order from those of the lower one."""
         n_langs, _, a = lower.shape
         c = np.bincount((lang * n + context) * a + byte, count, n_langs * n * a).reshape(n_langs, n, a)
@@ -87,28 +83,89 @@ class Ppm:
         return np.where(total > 0, own + escape * share, below)
 
     @staticmethod
-    def _bits(p: np.ndarray) -> np.ndarray:
-        """Code lengths [context and byte, language]."""
-        return np.ascontiguousarray(-np.log2(np.maximum(p, 1e-12)).transpose(1, 2, 0).reshape(-1, p.shape[0]).astype(np.float32))
-
-    def code_lengths(self, text: str) -> np.ndarray:
-        """Bits of the whole text in each language. Long texts are read in pieces, so memory doesn't follow their length."""
-        total = np.zeros(len(self.langs))
-        b = np.concatenate((np.zeros(2, np.int64), self.code[coded(text)]))
-        a = self.size
-        for k in range(0, len(b) - 3, 1 << 18):
-            x = b[k : k + (1 << 18) + 3]
-            two = x[1:-2] * a + x[2:-1]
-            node = self.node[x[:-3] * a * a + two]
-            deep = node >= 0
-            total += self.three[node[deep] * a + x[3:][deep]].sum(0, dtype=np.float64)
-            total += self.two[two[~deep] * a + x[3:][~deep]].sum(0, dtype=np.float64)
-        return total
+    def _summed(lang, key, count):
+        both, place = np.unique(lang << 24 | key, return_inverse=True)
+        return both >> 24, both & 0xFFFFFF, np.bincount(place, count, len(both))
+
+    def _order(self, lang, key, count, low, least):
+        """A higher order, from each string's count and what the lower order gives it: strings, code lengths by language
+        (NaN where not seen), contexts, what an escape from them adds, and the probabilities of the strings."""
+        context, place = np.unique(lang << 24 | key >> 8, return_inverse=True)
+        total, distinct = np.bincount(place, count, len(context)), np.bincount(place, minlength=len(context))
+        left = np.maximum(1 - np.bincount(place, low, len(context)), 1e-12)
+        p = count / (total + distinct)[place]
+        keep = total >= least
+        escape = -np.log2(distinct / (total + distinct) / left)
+        seen, nodes = keep[place], np.flatnonzero(keep)
+        keys, at = np.unique(key[seen], return_inverse=True)
+        bits = np.full((len(keys), self.langs), np.nan, np.float32)
+        bits[at, lang[seen]] = -np.log2(p[seen])
+        known, at = np.unique(context[nodes] & 0xFFFFFF, return_inverse=True)
+        more = np.zeros((len(known), self.langs), np.float32)
+        more[at, context[nodes] >> 24] = escape[nodes]
+        return keys, bits, known, more, p
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Code lengths [gram, language]; fastest if grams are sorted."""
+        g = gram.astype(np.int64)
+        out = self.one[self.code[g >> 8 & 0xFF] * self.size + self.code[g & 0xFF]]
+        for keys, seen, nodes, escape, of in ((self.keys3, self.seen3, self.nodes2, self.escape2, g & 0xFFFFFF), (self.keys4, self.seen4, self.nodes3, self.escape3, g)):
+            own = _found(keys, seen, of, np.nan)
+            out = np.where(np.isnan(own), out + _found(nodes, escape, of >> 8, 0.0), own)
+        return out
 
 
-def _model(rows: list[tuple[str, int, int]]) -> Ppm:
-    """Built once in each Python worker."""
-    return held("ppm " + hashlib.sha256(repr(rows).encode()).hexdigest(), lambda: Ppm(rows))
+class Ppm:
+    """Code lengths of a byte after its three predecessors, for all languages at once.
+
+    Order -1 gives each byte 1/256. Order k gives a byte seen n times in a context c(n)/(total + distinct) and escapes
+    with distinct/(total + distinct) (method C); an escape shares what lower orders give to the bytes not seen in the
+    context, so every context's probabilities add up to one. A context that a language's tree lacks falls back to the
+    next lower order without a charge. Counts don't change while scoring, so a code length depends on four bytes alone.
+    Only strings that were seen, and their contexts, are held: memory follows what was learned, not languages times 256^3.
+    """
+
+    def __init__(self, rows: list[tuple[str, int, int]]):
+        """rows: language, four bytes as one number, count."""
+        self.langs = sorted({r[0] for r in rows})
+        place = {x: k for k, x in enumerate(self.langs)}
+        lang, gram = (np.fromiter(x, np.int64, len(rows)) for x in ((place[r[0]] for r in rows), (r[1] for r in rows)))
+        count = np.fromiter((r[2] for r in rows), np.float64, len(rows))
+        by = np.lexsort((gram, lang))
+        lang, gram, count = lang[by], gram[by], count[by]
+        used = np.unique(np.concatenate([gram >> s & 0xFF for s in (24, 16, 8, 0)]))
+        self.trees = []
+        for a in range(0, len(self.langs), TOGETHER):
+            here = (lang >= a) & (lang < a + TOGETHER)
+            self.trees.append(_Trees(min(TOGETHER, len(self.langs) - a), used, lang[here] - a, gram[here], count[here]))
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Code lengths [gram, language]."""
+        return np.hstack([t.bits(gram) for t in self.trees])
+
+    def code_lengths(self, texts: list[str]) -> np.ndarray:
+        """Bits of whole texts [text, language]. Strings of several texts are looked up at once, and long texts in pieces,
+        so memory doesn't follow their length."""
+        total = np.zeros((len(texts), len(self.langs)))
+        waiting: list[np.ndarray] = []
+        of: list[int] = []
+
+        def add() -> None:
+            gram, place = np.unique(np.concatenate(waiting), return_inverse=True)
+            starts = np.cumsum([0, *map(len, waiting[:-1])])
+            np.add.at(total, of, np.add.reduceat(self.bits(gram)[place], starts, axis=0, dtype=np.float64))
+            waiting.clear()
+            of.clear()
+
+        for k, text in enumerate(texts):
+            for piece in gram_pieces(text):
+                waiting.append(piece)
+                of.append(k)
+                if sum(map(len, waiting)) >= PIECE:
+                    add()
+        if waiting:
+            add()
+        return total
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> list[tuple[str, int, int]]:
@@ -158,24 +215,22 @@ def predict(
     learned: `und`, score 0. Ties go to the first language by name. A null id stays null; repeated rows get equal rows;
     other columns, the known language among them, are not read.
     """
-    counts = docs.sparkSession.sparkContext.broadcast(rows)  # distinct four-byte strings of a bounded sample
+    known = docs.sparkSession.sparkContext.broadcast(Ppm(rows) if rows else None)  # learned from a bounded sample
 
     def make():
-        model = _model(counts.value) if counts.value else None
+        model = known.value
 
         def run(batch) -> dict:
-            out: dict = {"id": batch.column("id").to_pylist(), "lang_pred": [], "score": [], "bits": []}
-            for text in batch.column("text").to_pylist():
-                if not text or model is None or not _letter.search(text):
-                    best, score, bits = UNKNOWN, 0.0, 0.0
-                else:
-                    total = model.code_lengths(text)
-                    k = int(np.argmin(total))
-                    best, bits = model.langs[k], float(total[k]) / max(len(text.encode()), 1)
-                    score = float(1 / np.exp2(np.maximum(total[k] - total, -1000)).sum())
-                out["lang_pred"].append(best)
-                out["score"].append(score)
-                out["bits"].append(bits)
+            texts = batch.column("text").to_pylist()
+            read = [k for k, t in enumerate(texts) if t and model is not None and _letter.search(t)]
+            out: dict = {"id": batch.column("id").to_pylist(), "lang_pred": [UNKNOWN] * len(texts), "score": [0.0] * len(texts), "bits": [0.0] * len(texts)}
+            if read:
+                totals = model.code_lengths([texts[k] for k in read])
+                best = totals.argmin(1)
+                for k, total, j in zip(read, totals, best.tolist(), strict=True):
+                    out["lang_pred"][k] = model.langs[j]
+                    out["bits"][k] = float(total[j]) / max(len(texts[k].encode()), 1)
+                    out["score"][k] = float(1 / np.exp2(np.maximum(total[j] - total, -1000)).sum())
             return out
 
         return run

@@ -1,6 +1,7 @@
 """Decontamination, token files, quality rules, quality scores and language ID against plain Python."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -79,6 +80,33 @@ def test_token_pieces_equal_the_library():
         assert own.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), text
 
 
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    """A file with another split, normalizer or model is not cut into pieces here."""
+    from tokenizers import Tokenizer
+
+    with open(token_store.tokenizer_path(), encoding="utf-8") as f:
+        said = json.load(f)
+    assert token_store.Encoder(token_store.tokenizer_path()).by_pieces
+    for k, change in enumerate(({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**said["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}})):
+        path = str(tmp_path / f"{k}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump({**said, **change}, f)
+        own, tok = token_store.Encoder(path), Tokenizer.from_file(path)
+        text = "Some WORDS  here, and\nOthers"
+        assert not own.by_pieces and own.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, own.dtype).tobytes()
+
+
+def test_one_id_is_dealt_to_many_parts(spark, tmp_path):
+    rows = [(None if k % 3 else k, f"text of number {k} " * 20) for k in range(600)]
+    out = str(tmp_path / "hot")
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), out, token_store.tokenizer_path(), partitions=6)
+    parts = {r.part: set(r.doc_ids) for r in spark.read.parquet(f"{out}/blocks").collect()}
+    assert sum(None in ids for ids in parts.values()) >= 3
+    got = sorted(token_store.read_tokens(spark, out).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()] and len(got) == 600
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+
+
 def plain_rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -148,9 +176,12 @@ def test_ppm_is_a_distribution():
         g, n = np.unique(language_id.grams(text * 3), return_counts=True)
         rows += [(lang, int(a), int(b)) for a, b in zip(g, n, strict=True)]
     model = language_id.Ppm(rows)
-    for table in (model.two, model.three):
-        p = np.exp2(-table.astype(float)).reshape(-1, model.size, 2).sum(1)
-        assert np.allclose(p, 1, atol=1e-5)
+    used = sorted({b for _, g, _ in rows for b in g.to_bytes(4, "big")})
+    symbols = [*used, next(b for b in range(256) if b not in used)]  # all bytes that were never seen are one symbol
+    contexts = {g >> 8 for _, g, _ in rows} | {0, 0x7A7A7A, 0x207468}
+    grams = np.array([[c << 8 | b for b in symbols] for c in sorted(contexts)], np.uint32)
+    p = np.exp2(-model.bits(grams.ravel()).astype(float)).reshape(*grams.shape, 2).sum(1)
+    assert np.allclose(p, 1, atol=1e-5)
 
 
 def plain_ppm(rows, langs, text):
@@ -186,14 +217,26 @@ def plain_ppm(rows, langs, text):
     return out
 
 
-def test_ppm_code_lengths():
+def test_ppm_code_lengths(monkeypatch):
     rows = []
     for text, lang in (("the thing with the other thing. the end of the thing", "en"), ("das ding mit dem anderen ding. das ende vom ding", "de")):
         g, n = np.unique(language_id.grams(text), return_counts=True)
         rows += [(lang, int(a), int(c)) for a, c in zip(g, n, strict=True)]
     model = language_id.Ppm(rows)
-    for text in ("the thing", "dem ding", "Zebra 99 the É", "x"):
-        assert np.allclose(model.code_lengths(text), plain_ppm(rows, model.langs, text), rtol=1e-5)
+    texts = ["the thing", "dem ding", "Zebra 99 the É", "x", "the thing " * 30]
+    plain = np.array([plain_ppm(rows, model.langs, text) for text in texts])
+    assert np.allclose(model.code_lengths(texts), plain, rtol=1e-5)
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    monkeypatch.setattr(language_id, "TOGETHER", 1)
+    assert np.allclose(language_id.Ppm(rows).code_lengths(texts), plain, rtol=1e-5)
+
+
+def test_many_languages_take_room_by_what_they_hold():
+    rng = np.random.default_rng(2)
+    rows = [(f"l{k:03}", int(g), int(n)) for k in range(120) for g, n in zip(np.unique(rng.integers(0, 1 << 32, 300)), rng.integers(1, 9, 300), strict=False)]
+    model = language_id.Ppm(rows)
+    held = sum(x.nbytes for t in model.trees for x in (t.one, t.keys3, t.seen3, t.nodes2, t.escape2, t.keys4, t.seen4, t.nodes3, t.escape3))
+    assert held < 100_000_000 and model.code_lengths(["some text"]).shape == (1, 120)
 
 
 def test_languages(spark, empty):
