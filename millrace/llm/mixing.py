@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from millrace.llm.common import stored, table
 
@@ -97,11 +98,12 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
     carry: list[str] | None = None,
+    whole_rows: bool = False,
     target_entropy: float = TARGET_ENTROPY,
     max_epochs: float = MAX_EPOCHS,
 ) -> DataFrame:
     """A row for each time a document is read: the columns `carry`, then mix_source, mix_weight, mix_epoch, mix_block,
-    mix_place and mix_at.
+    mix_place and mix_at. With `whole_rows`, the input's row as the struct `row` instead of `carry`.
 
     A source's documents are dealt to blocks by a hash of the row. In each epoch its blocks are permuted, and the
     documents within a block. Whole epochs read all; the last one reads blocks until the source's budget (its epochs
@@ -109,19 +111,22 @@ def mix_sources(
     the source's budget that was read before the block: ordering by it interleaves the sources at their weights from
     start to end.
 
-    Tokens are words. Totals are summed per source and block before they are shuffled; windows run over the blocks of a
+    Tokens are words here, not ids of a tokenizer: shares of words stand in for shares of ids. Totals are summed per source and block before they are shuffled; windows run over the blocks of a
     source (a row per some thousand documents) and over the documents of one block, never over those of a source, so a
     source with most of the rows is dealt like any other. Each document is read at least once.
 
-    Null text has no words; a null source is a source of its own; null ids and repeated rows are rows like others;
-    columns named mix_* in the input must not be in `carry`. An empty table gives no rows.
+    Null text has no words, very long ones are counted whole; a null source is a source of its own; null ids and repeated
+    rows are rows like others. Other columns of any name are ignored or, with `whole_rows`, carried; columns named mix_*
+    must not be in `carry`. An empty table gives no rows.
     """
     carry = ["doc_id"] if carry is None else carry
+    kept = [f.name for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))] if whole_rows else carry
+    quoted = lambda c: F.col(f"`{c.replace('`', '``')}`")
     rows = docs.select(
-        F.struct(*carry).alias("row"),
+        (F.struct("*") if whole_rows else F.struct(*carry)).alias("row"),
         F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("tokens"),
-        F.xxhash64(F.lit(SEED), *[F.col(c) for c in dict.fromkeys([*carry, text_col])]).alias("h"),
+        F.xxhash64(F.lit(SEED), *map(quoted, dict.fromkeys([*kept, text_col]))).alias("h"),
     )
     slim = stored(rows.select("source", "tokens", "h"))
     buckets = max(1, -(-slim.count() // BUCKET_DOCS))
@@ -153,7 +158,7 @@ def mix_sources(
         .where("take IS NULL OR upto <= take")
     )
     return read.select(
-        "row.*",
+        "row" if whole_rows else "row.*",
         F.nullif("source", F.lit(NO_SOURCE)).alias("mix_source"),
         F.col("weight").alias("mix_weight"),
         F.col("epoch").alias("mix_epoch"),
