@@ -14,34 +14,43 @@ from millrace.llm.common import shared_dir, stored, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null or without a letter, or with none ahead of the others."""
+    """Documents without a language go: null or without a letter, or with none ahead of the others (all, if no row of docs
+    says its language). Rows are judged by their text alone: null ids, repeated rows and other columns don't matter."""
     model = language_id.learn(docs)
     found = language_id.predict(docs, model, whole_rows=True)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") > 0.5)).select("row.*")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that of the least id stays. Rows with one id and text are one; other texts of a repeated id
-    stay unless they are near copies themselves. Rows without an id stay."""
-    first = near_dedup.first_texts(docs).withColumnRenamed("key", "__key")
-    keyed = docs.where("doc_id IS NOT NULL").withColumn("__key", near_dedup.text_key("text"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("__key"))
-    once = keyed.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return once.join(first, ["doc_id", "__key"], "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of texts that of the least id stays. Rows with one id and text are one, whatever else they hold; other
+    texts of a repeated id stay unless they are near copies themselves. Rows without an id stay. Null, empty and wordless
+    texts are near copies of none but equal ones."""
+    first = near_dedup.first_texts(docs).select(F.col("doc_id").alias("id"), "key")
+    rows = docs.select(F.col("doc_id").alias("id"), near_dedup.text_key("text").alias("key"), F.struct("*").alias("row"))
+    nth = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.to_json("row")))
+    once = rows.where("id IS NOT NULL").withColumn("nth", nth).where("nth = 1").join(first, ["id", "key"], "left_semi")
+    return once.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go if a twentieth of their words or more stand in windows of the benchmark. Null, empty and wordless texts
+    stay; rows are judged one by one."""
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), whole_rows=True)
     return found.where(f"NOT ({decontaminate.RULE})").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that a document is read, so that the sources reach their weights; each is read at least once."""
-    return mixing.mix_sources(docs, carry=docs.columns).select(*docs.columns)
+    """A row for each time that a document is read, so that the sources reach their weights; each is read at least once.
+
+    Of the mix, how often a document is read is what the next stage sees: its files are in ascending order of id, so the
+    order of blocks is not kept in them. mix_sources gives it to a reader that wants it. A null source is one source.
+    """
+    return mixing.mix_sources(docs, whole_rows=True).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files, and from them a row for each document in them: doc_id, start, n_tokens, ids_crc32."""
+    """The token files, and from them a row for each document in them: doc_id, start, n_tokens, ids_crc32. A null text is
+    empty, null ids come first, repeated rows are all written."""
     out = shared_dir(spark)
     token_store.write_tokens(docs, out, token_store.tokenizer_path())
     return token_store.read_tokens(spark, out, digest_only=True)
@@ -59,6 +68,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`, whole texts of any length. An empty table gives no rows; columns of any other name go
+    along untouched until the last stage."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
