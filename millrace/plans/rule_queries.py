@@ -67,7 +67,7 @@ def q46_repeated_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q47_first_overlap",
-    """WITH i AS (SELECT DISTINCT o_orderpriority AS grp, o_custkey AS site, CAST(o_orderdate AS DATE) AS item FROM orders WHERE o_custkey % 7 = 0),
+    """WITH i AS (SELECT DISTINCT o_orderpriority AS grp, o_custkey AS site, CAST(o_orderdate AS DATE) AS item FROM orders),
        z AS (SELECT grp, site, count(*) AS n FROM i GROUP BY ALL),
        p AS (SELECT a.grp, a.site, b.site AS other, count(*) / max(n) AS share FROM i a JOIN i b ON a.grp = b.grp AND a.item = b.item AND a.site <> b.site
              JOIN z ON z.grp = a.grp AND z.site = a.site GROUP BY ALL HAVING count(*) / max(n) >= 0.3)
