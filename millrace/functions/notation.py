@@ -6,11 +6,12 @@ All prices are dollars a bushel. Nothing raises: what can't be read is null.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import bound, first_match, no_notes, stripped
+from millrace.functions.columns import bound, no_notes, stripped
 from millrace.vocabulary import COMMODITY_ALIASES, MONTH_CODES, MONTH_WORD, MONTHS
 
 _EIGHTHS = r"^([+-]?)(\d{1,4})-([0-7])(s)?$"
@@ -26,12 +27,15 @@ def _bare(raw: Column) -> Column:
 
 def eighths(text: Column) -> Column:
     """423-4 is 423 and four eighths of a cent."""
-    value = (F.regexp_extract(text, _EIGHTHS, 2).try_cast("double") + F.regexp_extract(text, _EIGHTHS, 3).try_cast("double") / 8) / 100
-    return F.when(F.regexp_like(text, F.lit(_EIGHTHS)), F.when(F.regexp_extract(text, _EIGHTHS, 1) == "-", -value).otherwise(value))
+    part = lambda k: F.regexp_extract(text, _EIGHTHS, k)
+    value = (part(2).try_cast("double") + part(3).try_cast("double") / 8) / 100
+    return F.when(F.regexp_like(text, F.lit(_EIGHTHS)), F.when(part(1) == "-", -value).otherwise(value))
 
 
-def _number(text: Column) -> Column:
-    return first_match(text, _NUMBER).try_cast("double")
+def _read(text: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
+    """then(text, value in eighths, digits of the first number): each is looked for once; no number is the empty string."""
+    found = F.struct(text.alias("text"), eighths(text).alias("eighth"), F.regexp_extract(text, _NUMBER, 0).alias("digits"))
+    return bound(found, lambda x: then(x["text"], x["eighth"], x["digits"]))
 
 
 def _result(value: Column, note_list: Column) -> Column:
@@ -40,12 +44,12 @@ def _result(value: Column, note_list: Column) -> Column:
 
 def price(raw: Column) -> Column:
     """struct<value, notes>: dollars, cents above 50, or eighths; 'n/a', 'closed' and the like are null."""
-    return bound(_bare(raw), _price)
+    return bound(_bare(raw), lambda text: _read(text, _price))
 
 
-def _price(text: Column) -> Column:
+def _price(text: Column, eighth: Column, digits: Column) -> Column:
     none = (text == "") | F.lower(text).isin("n/a", "na", "-", "closed", "call")
-    eighth, number = eighths(text), _number(text)
+    number = digits.try_cast("double")
     cents = eighth.isNull() & (F.abs(number) > 50)
     value = F.when(none, None).when(eighth.isNotNull(), eighth).when(cents, number / 100).otherwise(number)
     return _result(F.round(value, 6), F.when(~none & cents, F.array(F.lit("unit_assumed_cents"))).otherwise(no_notes()))
@@ -53,32 +57,31 @@ def _price(text: Column) -> Column:
 
 def basis(raw: Column) -> Column:
     """struct<value, notes>: whole numbers from 3 on are cents; beyond five dollars either way it can't be a basis."""
-    return bound(_bare(raw), _basis)
+    return bound(_bare(raw), lambda text: _read(text, _basis))
 
 
-def _basis(text: Column) -> Column:
+def _basis(text: Column, eighth: Column, digits: Column) -> Column:
     none = (text == "") | F.lower(text).isin("n/a", "na", "-")
-    eighth, digits = eighths(text), first_match(text, _NUMBER)
     number = digits.try_cast("double")
     cents = eighth.isNull() & ~digits.contains(".") & (F.abs(number) >= 3)
     value = F.when(none, None).when(eighth.isNotNull(), eighth).when(cents, number / 100).otherwise(number)
-    far = eighth.isNull() & (F.abs(value) > 5)
-    listed = F.concat(
-        F.when(~none & cents, F.array(F.lit("unit_assumed_cents"))).otherwise(no_notes()),
-        F.when(far, F.array(F.lit("basis_out_of_range"))).otherwise(no_notes()),
-    )
-    return _result(F.round(F.when(~F.coalesce(far, F.lit(False)), value), 6), listed)
+
+    def checked(x: Column) -> Column:
+        far = F.coalesce(x["eighth"].isNull() & (F.abs(x["value"]) > 5), F.lit(False))
+        listed = F.concat(F.when(x["cents"], F.array(F.lit("unit_assumed_cents"))).otherwise(no_notes()), F.when(far, F.array(F.lit("basis_out_of_range"))).otherwise(no_notes()))
+        return _result(F.round(F.when(~far, x["value"]), 6), listed)
+
+    return bound(F.struct(eighth.alias("eighth"), value.alias("value"), F.coalesce(~none & cents, F.lit(False)).alias("cents")), checked)
 
 
 def change(raw: Column) -> Column:
     """Null if there is none, 0 if unchanged."""
-    return bound(stripped(raw), _change)
+    return bound(stripped(raw), lambda text: _read(text, _change))
 
 
-def _change(text: Column) -> Column:
+def _change(text: Column, eighth: Column, digits: Column) -> Column:
     still = F.lower(text).isin("unch", "uc", "nc", "-", "0", "0.00")
-    eighth = eighths(text)
-    value = F.when(text == "", None).when(still, 0.0).when(eighth.isNotNull(), eighth).otherwise(_number(text))
+    value = F.when(text == "", None).when(still, 0.0).when(eighth.isNotNull(), eighth).otherwise(digits.try_cast("double"))
     return F.round(value, 6) + F.lit(0.0)
 
 
@@ -97,16 +100,23 @@ def futures_month(raw: Column, ref: Column) -> Column:
 
 
 def _futures_month(text: Column, ref: Column) -> Column:
-    named_year = first_match(text, _NAMED_MONTH, 2).cast("int")
-    named = F.format_string(
-        "%04d-%02d", F.when(named_year > 100, named_year).otherwise(pivot_year(named_year)), month_number(first_match(text, _NAMED_MONTH, 1))
-    )
-    compact = F.upper(F.replace(text, F.lit(" "), F.lit("")))
-    yy = first_match(compact, _SYMBOL, 3).cast("int")
-    near = (F.floor(F.year(ref) / 10) * 10).cast("int") + yy
-    year = F.when(yy < 10, F.when(near < F.year(ref) - 1, near + 10).otherwise(near)).otherwise(pivot_year(yy))
-    month = F.instr(F.lit(MONTH_CODES), first_match(compact, _SYMBOL, 2))
-    return F.when(named_year.isNotNull(), named).when(yy.isNotNull(), F.format_string("%04d-%02d", year, month))
+    named = F.struct(F.regexp_extract(text, _NAMED_MONTH, 2).try_cast("int").alias("year"), F.regexp_extract(text, _NAMED_MONTH, 1).alias("month"))
+
+    def by_name(x: Column) -> Column:
+        full = F.when(x["year"] > 100, x["year"]).otherwise(pivot_year(x["year"]))
+        return F.when(x["year"].isNotNull(), F.format_string("%04d-%02d", full, month_number(x["month"])))
+
+    def by_symbol(compact: Column) -> Column:
+        parts = F.struct(F.regexp_extract(compact, _SYMBOL, 3).try_cast("int").alias("yy"), F.regexp_extract(compact, _SYMBOL, 2).alias("code"))
+
+        def told(x: Column) -> Column:
+            near = (F.floor(F.year(ref) / 10) * 10).cast("int") + x["yy"]
+            year = F.when(x["yy"] < 10, F.when(near < F.year(ref) - 1, near + 10).otherwise(near)).otherwise(pivot_year(x["yy"]))
+            return F.when(x["yy"].isNotNull(), F.format_string("%04d-%02d", year, F.instr(F.lit(MONTH_CODES), x["code"])))
+
+        return bound(parts, told)
+
+    return F.coalesce(bound(named, by_name), bound(F.upper(F.replace(text, F.lit(" "), F.lit(""))), by_symbol))
 
 
 def _by_length() -> list[tuple[str, str]]:
@@ -120,9 +130,10 @@ def grain(raw: Column) -> Column:
     pairs = [(rf"\b{re.escape(alias)}\b".replace("\\ ", " "), name) for alias, name in _by_length()]
 
     def named(t: Column) -> Column:
-        out = F.when(F.regexp_like(t, F.lit(pairs[0][0])), pairs[0][1])
-        for pattern, name in pairs[1:]:
-            out = out.when(F.regexp_like(t, F.lit(pattern)), name)
+        """The pattern is only tried where the alias stands in the text at all."""
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for (alias, _), (pattern, name) in zip(_by_length(), pairs, strict=True):
+            out = out.when(t.contains(alias) & F.regexp_like(t, F.lit(pattern)), name)
         return out
 
     return bound(text, named)
