@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from heapq import nlargest
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from millrace.vocabulary import HEADER_SYNONYMS
 
@@ -49,21 +50,19 @@ def partial_ratio(a: str, b: str) -> float:
     return max(indel(short, s) for s in stretches if s)
 
 
+#: All synonyms with their roles, in order.
+_SYNONYMS = [(synonym, role) for role, synonyms in HEADER_SYNONYMS.items() for synonym in synonyms]
+
+
 @lru_cache(maxsize=100_000)
 def header_role(header: str) -> str | None:
-    """The role of the synonym that is most alike: at 90 or more, or at 80 with a lead of 8. Of equals the first counts."""
-    text = re.sub(r"[^a-z0-9 /+.-]", "", (header or "").strip().lower()).strip()
-    if not text:
-        return None
-    best, second, role = 0.0, 0.0, None
-    for name, synonyms in HEADER_SYNONYMS.items():
-        for synonym in synonyms:
-            score = token_set_ratio(text, synonym)
-            if score > best:
-                best, second, role = score, best, name
-            else:
-                second = max(second, score)
-    return role if best >= 90 or (best >= 80 and best - second >= 8) else None
+    """The role of the synonym that is most alike: at 90 or more, or at 80 with a lead of 8 over the next synonym. Of equals
+    the first counts."""
+    text = re.sub(r"[^a-z0-9 /+.-]", "", header.strip().lower()).strip()
+    scores = [token_set_ratio(text, synonym) for synonym, _ in _SYNONYMS] if text else [0.0, 0.0]
+    best, second = nlargest(2, scores)
+    sure = best >= 90 or (best >= 80 and best - second >= 8)
+    return _SYNONYMS[scores.index(best)][1] if sure else None
 
 
 @F.pandas_udf(StringType())
@@ -71,6 +70,12 @@ def header_role_udf(headers: pd.Series) -> pd.Series:
     return headers.map(header_role, na_action="ignore").astype(object)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def header_roles_udf(headers: pd.Series) -> pd.Series:
+    """The roles of a grid's header texts; null without a header."""
+    return headers.map(lambda texts: [None if t is None else header_role(t) for t in texts], na_action="ignore")
+
+
 @F.pandas_udf(DoubleType())
 def token_set_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])

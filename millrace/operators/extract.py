@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace import vocabulary as V
 from millrace.functions import dates, hashing, notation
-from millrace.functions.columns import no_notes, stripped
-from millrace.functions.fuzzy import header_role_udf
+from millrace.functions.columns import bound, no_notes, stripped
+from millrace.functions.fuzzy import header_roles_udf
 from millrace.sources.html_grids import html_read
 
 LOW_SCORE, ACCEPT_SCORE = 4, 8
@@ -35,10 +37,11 @@ SHAPES = {
 }
 
 
-def cells_of(grids: DataFrame) -> DataFrame:
-    """One row per cell: grid key, row, col, cell (without blanks at its ends)."""
-    rows = grids.select(*GRID, F.posexplode("rows").alias("row", "cells"))
-    return rows.select(*GRID, "row", F.posexplode("cells").alias("col", "cell")).withColumn("cell", stripped(F.col("cell")))
+def column_shapes(cells: DataFrame) -> DataFrame:
+    """One row per column of a grid: the share of its non-empty cells with each shape. Partial sums before any shuffle."""
+    filled = F.col("cell") != ""
+    share = lambda p: F.coalesce(F.avg(F.when(filled, F.regexp_like("cell", F.lit(p)).cast("double"))), F.lit(0.0))
+    return cells.groupBy(*GRID, "col").agg(*(share(p).alias(n) for n, p in SHAPES.items()))
 
 
 def column_shapes(cells: DataFrame) -> DataFrame:
@@ -48,107 +51,105 @@ def column_shapes(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*GRID, "col").agg(*(share(p).alias(n) for n, p in SHAPES.items()))
 
 
-def headers_of(grids: DataFrame) -> DataFrame:
-    """One row per header cell with the role its text suggests. Each distinct text is compared once."""
-    cells = grids.where("header IS NOT NULL").select(*GRID, F.posexplode("header").alias("col", "text"))
-    known = cells.select("text").distinct().withColumn("header_role", header_role_udf("text"))
-    words = F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), r"\s+")
-    vague = F.arrays_overlap(words, F.array(*map(F.lit, V.AMBIGUOUS_HEADER_WORDS)))
-    return cells.join(known, "text").select(*GRID, "col", "header_role", vague.alias("vague"))
-
-
-def score_grids(grids: DataFrame, shapes: DataFrame, headers: DataFrame) -> DataFrame:
-    """Each grid's score: points for columns that look like prices, basis, deliveries and so on, for a grain's name
-    nearby and for two header roles or more."""
-    some = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
-    c = {n: F.col(n) for n in SHAPES}
-    by_columns = shapes.groupBy(*GRID).agg(
-        F.count("*").alias("n_cols"),
-        (
-            F.when(some((c["price"] >= 0.6) | (c["price_cents"] >= 0.6)), 4).otherwise(0)
-            + F.when(some(c["basis"] >= 0.6), 4).otherwise(0)
-            + F.when(some(c["eighths"] > 0), 3).otherwise(0)
-            + F.when(some((c["date_range"] >= 0.5) | (c["month"] >= 0.5)), 3).otherwise(0)
-            + F.when(some(c["fut_month"] >= 0.5), 3).otherwise(0)
-            + F.when(some(c["mdy"] >= 0.6), 1).otherwise(0)
-        ).alias("points"),
-    )
-    roles = headers.groupBy(*GRID).agg(F.count_distinct("header_role").alias("n_roles"))
-    near = F.regexp_like(F.concat_ws(" ", "context", "around"), F.lit(V.COMMODITY_WORD))
-    total = F.col("points") + F.when(near, 3).otherwise(0) + F.when(F.col("n_roles") >= 2, 4).otherwise(0)
-    return (
-        grids.join(by_columns, GRID).join(roles, GRID, "left")
-        .withColumn("score", F.when(F.col("n_cols") < 2, -99).otherwise(total).cast("double"))
-        .drop("points", "n_roles", "n_cols")
-    )
+def shape_shares(cells: Column) -> Column:
+    """struct with the share of a column's non-empty cells that have each shape; 0 if there are none."""
+    share = lambda p: F.coalesce(F.size(F.filter(cells, lambda x: F.regexp_like(x, F.lit(p)))) / F.nullif(F.size(cells), F.lit(0)), F.lit(0.0))
+    return F.struct(*(share(p).alias(n) for n, p in SHAPES.items()))
+
+
+def vague(header: Column) -> Column:
+    """Whether a header text has a word that could mean several things."""
+    words = F.split(F.regexp_replace(F.lower(header), "[^a-z ]", ""), r"\s+")
+    return F.arrays_overlap(words, F.array(*map(F.lit, V.AMBIGUOUS_HEADER_WORDS)))
+
 
+def grid_score(shapes: Column, header_roles: Column, near: Column) -> Column:
+    """Points for columns that look like prices, basis, deliveries and so on, for a grain's name nearby and for two header
+    roles or more; fewer than two columns are no grid of bids."""
 
-def accepted_grids(scored: DataFrame) -> DataFrame:
-    """Grids with enough points that lie in no other such grid of their page."""
-    good = scored.where(F.col("score") >= LOW_SCORE)
-    outer = good.select("page_id", F.col("anchor").alias("outer")).distinct()
-    inner = good.select(*GRID, F.explode("within").alias("outer")).join(outer, ["page_id", "outer"], "left_semi")
-    return good.join(inner.select(*GRID).distinct(), GRID, "left_anti")
+    def some(points: int, holds: Callable[[Column], Column]) -> Column:
+        return F.when(F.exists(shapes, holds), points).otherwise(0)
+
+    total = (
+        some(4, lambda c: (c["price"] >= 0.6) | (c["price_cents"] >= 0.6)) + some(4, lambda c: c["basis"] >= 0.6) + some(3, lambda c: c["eighths"] > 0)
+        + some(3, lambda c: (c["date_range"] >= 0.5) | (c["month"] >= 0.5)) + some(3, lambda c: c["fut_month"] >= 0.5) + some(1, lambda c: c["mdy"] >= 0.6)
+    )
+    roles = F.size(F.array_distinct(F.filter(F.coalesce(header_roles, no_notes()), lambda r: r.isNotNull())))
+    total = total + F.when(F.regexp_like(near, F.lit(V.COMMODITY_WORD)), 3).otherwise(0) + F.when(roles >= 2, 4).otherwise(0)
+    return F.when(F.size(shapes) < 2, -99).otherwise(total).cast("double")
 
 
-def assign_roles(shapes: DataFrame, headers: DataFrame, cells: DataFrame) -> DataFrame:
-    """One row per column that has a role: grid key, col, role. A role is given once in a grid, to the first column.
+def column_roles(shapes: Column, header: Column, header_roles: Column, cells: Column) -> Column:
+    """array<string>: the role of each column, or null. A role is given once in a grid, to the first column.
 
     Headers come first, unless a vague word in them is contradicted by the column's shape; then shapes. Of two signed
     columns the one that agrees with cash less futures is the basis and the next one the change; without such a one,
     that with the larger upper median.
     """
-    shaped = shapes.withColumn("s", shape_role({n: F.col(n) for n in SHAPES})).select(
-        *GRID, "col", F.col("s.role").alias("shape_role"), F.col("s.conf").alias("conf"),
-        ((F.col("basis") >= 0.7) | (F.col("change_8ths") >= 0.6)).alias("signed"),
-    )
-    every = shaped.join(headers, [*GRID, "col"], "left")
-    contradicted = F.col("vague") & (F.col("conf") >= 0.5) & (F.coalesce("shape_role", F.lit("")) != F.col("header_role"))
-    every = every.withColumn("by_header", F.when(~F.coalesce(contradicted, F.lit(False)), F.col("header_role")))
-    first = lambda role: F.row_number().over(Window.partitionBy(*GRID, role).orderBy("col")) == 1
-    every = every.withColumn("named", F.when(first("by_header"), F.col("by_header")))
-    taken = F.collect_set("named").over(Window.partitionBy(*GRID))
-    open_ = F.when(F.col("named").isNull() & ~F.array_contains(taken, F.coalesce("shape_role", F.lit(""))), F.col("shape_role"))
-    every = every.withColumn("by_shape", open_)
-    roles = every.withColumn("role", F.coalesce("named", F.when(first("by_shape"), F.col("by_shape"))))
-    grid = Window.partitionBy(*GRID)
-    roles = roles.withColumn("n_signed", F.sum(F.col("signed").cast("int")).over(grid)).withColumn(
-        "settled", F.size(F.array_intersect(F.collect_set("role").over(grid), F.array(F.lit("basis"), F.lit("change")))) == 2
-    )
-    unsure = roles.where("n_signed >= 2 AND NOT settled")
-    ranked = _signed_columns(unsure, cells)
-    changed = (
-        unsure.join(ranked, [*GRID, "col"], "left")
-        .withColumn("role", F.when(F.col("rank") == 1, "basis").when(F.col("rank") == 2, "change").when(~F.col("role").isin("basis", "change"), F.col("role")))
-        .select(*GRID, "col", "role")
-    )
-    fixed = roles.where("NOT (n_signed >= 2 AND NOT settled)").select(*GRID, "col", "role")
-    return fixed.unionByName(changed).where("role IS NOT NULL")
-
-
-def _signed_columns(roles: DataFrame, cells: DataFrame) -> DataFrame:
-    """Signed columns of the grids in `roles`, ranked: 1 is the basis, 2 the change."""
-    signed = roles.where("signed").select(*GRID, "col")
-    value = cells.join(signed, [*GRID, "col"]).select(*GRID, "row", "col", notation.basis(F.col("cell"))["value"].alias("v"))
-    sides = (
-        cells.join(roles.where(F.col("role").isin("cash_price", "futures_price")).select(*GRID, "col", "role"), [*GRID, "col"])
-        .withColumn("p", notation.price(F.col("cell"))["value"])
-        .groupBy(*GRID, "row")
-        .agg(F.max(F.when(F.col("role") == "cash_price", F.col("p"))).alias("cash"), F.max(F.when(F.col("role") == "futures_price", F.col("p"))).alias("fut"))
-    )
-    fits = (F.abs(F.col("cash") - F.col("fut") - F.col("v")) <= 0.02).cast("double")
-    sizes = F.array_sort(F.collect_list(F.abs("v")))
-    judged = (
-        value.join(sides, [*GRID, "row"], "left")
-        .groupBy(*GRID, "col")
-        .agg((F.coalesce(F.avg(fits), F.lit(0.0)) >= 0.7).alias("agrees"), F.coalesce(F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")), F.lit(0.0)).alias("median"))
+    first_of = lambda xs, i: F.array_position(xs, F.get(xs, i)) == i + 1  # noqa: E731  its first place among equals
+    shaped = F.transform(shapes, lambda c: shape_role({n: c[n] for n in SHAPES}))
+
+    def by_header(guess: Column) -> Column:
+        def of(g: Column, i: Column) -> Column:
+            said = F.get(header_roles, i)
+            contradicted = vague(F.get(header, i)) & (g["conf"] >= 0.5) & (F.coalesce(g["role"], F.lit("")) != said)
+            return F.when(~F.coalesce(contradicted, F.lit(False)), said)
+
+        return F.transform(guess, of)
+
+    def settled(guess: Column, said: Column) -> Column:
+        named = F.transform(said, lambda r, i: F.when(first_of(said, i), r))
+
+        def with_shapes(named: Column) -> Column:
+            taken = F.filter(named, lambda r: r.isNotNull())
+            open_ = F.transform(guess, lambda g, i: F.when(F.get(named, i).isNull() & ~F.array_contains(taken, F.coalesce(g["role"], F.lit(""))), g["role"]))
+            return bound(open_, lambda xs: F.transform(named, lambda r, i: F.coalesce(r, F.when(first_of(xs, i), F.get(xs, i)))))
+
+        return bound(named, with_shapes)
+
+    roles = bound(shaped, lambda guess: bound(by_header(guess), lambda said: settled(guess, said)))
+    signed = F.filter(
+        F.transform(shapes, lambda c, i: F.when((c["basis"] >= 0.7) | (c["change_8ths"] >= 0.6), i)), lambda i: i.isNotNull()
     )
-    grid = Window.partitionBy(*GRID)
-    best = F.min(F.when(F.col("agrees"), F.col("col"))).over(grid)
-    judged = judged.withColumn("best", best)
-    by_fit = Window.partitionBy(*GRID).orderBy((F.col("col") != F.col("best")).cast("int"), "col")
-    by_size = Window.partitionBy(*GRID).orderBy(F.desc("median"), "col")
-    return judged.select(*GRID, "col", F.when(F.col("best").isNotNull(), F.row_number().over(by_fit)).otherwise(F.row_number().over(by_size)).alias("rank"))
+    both = F.array(F.lit("basis"), F.lit("change"))
+
+    def told_apart(roles: Column, signed: Column) -> Column:
+        clear = (F.size(signed) < 2) | (F.size(F.array_intersect(roles, both)) == 2)
+        ranked = bound(
+            _signed_columns(roles, signed, cells),
+            lambda ranks: F.transform(
+                roles, lambda r, i: F.when(i == F.get(ranks, F.lit(0)), "basis").when(i == F.get(ranks, F.lit(1)), "change").when(~r.isin("basis", "change"), r)
+            ),
+        )
+        return F.when(clear, roles).otherwise(ranked)
+
+    return bound(roles, lambda r: bound(signed, lambda s: told_apart(r, s)))
+
+
+def _signed_columns(roles: Column, signed: Column, cells: Column) -> Column:
+    """Places of signed columns: that of the basis, that of the change, then others."""
+    price_at = lambda row, role: notation.price(F.get(row, (F.array_position(roles, role) - 1).cast("int")))["value"]
+    sides = F.transform(cells, lambda row: (price_at(row, "cash_price") - price_at(row, "futures_price")))
+
+    def judged(side: Column, i: Column) -> Column:
+        values = F.transform(cells, lambda row: notation.basis(F.get(row, i))["value"])
+
+        def of(v: Column) -> Column:
+            fits = F.filter(F.zip_with(side, v, lambda s, x: F.abs(s - x) <= 0.02), lambda f: f.isNotNull())
+            sizes = F.array_sort(F.transform(F.filter(v, lambda x: x.isNotNull()), lambda x: F.abs(x)))
+            agrees = F.size(F.filter(fits, lambda f: f)) >= 0.7 * F.size(fits)
+            median = F.coalesce(F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")), F.lit(0.0))
+            return F.struct((~(agrees & (F.size(fits) > 0))).alias("apart"), median.alias("median"), i.alias("i"))
+
+        return bound(values, of)
+
+    def ordered(found: Column) -> Column:
+        best = F.array_min(F.transform(F.filter(found, lambda x: ~x["apart"]), lambda x: x["i"]))
+        by_fit = F.transform(found, lambda x: F.struct((x["i"] != best).cast("double").alias("k"), x["i"].alias("i")))
+        by_size = F.transform(found, lambda x: F.struct((-x["median"]).alias("k"), x["i"].alias("i")))
+        return F.transform(F.array_sort(F.when(best.isNotNull(), by_fit).otherwise(by_size)), lambda x: x["i"])
+
+    return bound(sides, lambda side: bound(F.transform(signed, lambda i: judged(side, i)), ordered))
 
 
 def typed_rows(rows: DataFrame) -> DataFrame:
@@ -199,46 +200,68 @@ def with_hashes(bids: DataFrame, *, page: list[str], ordinal: list[str]) -> Data
     ).drop("base", "nth")
 
 
+def graded(read: DataFrame) -> DataFrame:
+    """One row per grid of a page (one with a null grid for a page without any): its cells without blanks at their ends,
+    column roles, score, and whether it is `chosen`: it has enough points and lies in no other such grid of its page.
+
+    A grid is one row of arrays, so all but the last is worked out in place; rows move once, to meet those of their page.
+    """
+    rows = read.select("page_id", "as_of_text", "crashed", F.inline_outer("grids")).withColumn("header_roles", header_roles_udf("header"))
+    cells = F.transform("rows", lambda row: F.transform(row, stripped))
+    filled = lambda cells: F.transform(  # noqa: E731  the non-empty cells of each column
+        F.sequence(F.lit(0), F.array_max(F.transform(cells, lambda row: F.size(row))) - 1),
+        lambda i: F.filter(F.transform(cells, lambda row: F.get(row, i)), lambda x: x != ""),
+    )
+    columns = lambda cells: F.struct(cells.alias("cells"), F.transform(filled(cells), shape_shares).alias("shapes"))
+    near = F.concat_ws(" ", "context", "around")
+
+    def measured(g: Column) -> Column:
+        score = grid_score(g["shapes"], F.col("header_roles"), near)
+        roles = F.when(score >= LOW_SCORE, column_roles(g["shapes"], F.col("header"), F.col("header_roles"), g["cells"]))
+        return F.struct(g["cells"].alias("cells"), score.alias("score"), roles.alias("roles"))
+
+    found = rows.withColumn("g", F.when(F.col("grid").isNotNull(), bound(bound(cells, columns), measured)))
+    found = found.select("page_id", "as_of_text", "crashed", "grid", "context", "anchor", "within", "g.*")
+    good = F.col("score") >= LOW_SCORE
+    page = F.collect_set(F.when(good, F.col("anchor"))).over(Window.partitionBy("page_id"))
+    return found.withColumn("chosen", F.coalesce(good & ~F.arrays_overlap("within", page), F.lit(False))).drop("anchor", "within")
+
+
 def extract_bids(pages: DataFrame, ref_date: Column, *, id_col: str = "page_id", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
     """(bids, page results) of pages. `ref_date` stands in for a page's date where the page doesn't say one.
 
-    Bids keep page_id, grid and row. Page results: page_id, as_of_text, as_of_date, score, n_rows, confidence, flags
-    (NO_BID_DATA, PARTIAL_COLUMNS or LOW_CONFIDENCE_EXTRACTION).
+    Bids keep page_id, grid and row. Page results: page_id, as_of_text, as_of_date, score, n_rows, confidence, crashed, flags
+    (SCAN_INTERNAL_ERROR, NO_BID_DATA, PARTIAL_COLUMNS or LOW_CONFIDENCE_EXTRACTION).
     """
-    # parsing pages is the dear part and several plans below start from it: kept, on disk where memory is short
-    read = html_read(pages, id_col=id_col, html_col=html_col).persist()
-    grids = read.where("grid IS NOT NULL").drop("as_of_text")
-    texts = read.select("page_id", "as_of_text").distinct().withColumn("as_of_date", dates.as_of(F.col("as_of_text")))
-    cells = cells_of(grids)
-    shapes, headers = column_shapes(cells).persist(), headers_of(grids)
-    scored = score_grids(grids, shapes, headers)
-    chosen = accepted_grids(scored).select(*GRID, "score", "context")
-    roles = assign_roles(shapes.join(chosen.select(*GRID), GRID, "left_semi"), headers, cells).persist()
-    priced = roles.where(F.col("role").isin("cash_price", "basis")).select(*GRID).distinct()
-    by_role = (
-        cells.join(roles, [*GRID, "col"])
-        .groupBy(*GRID, "row")
-        .agg(*(F.max(F.when(F.col("role") == r, F.col("cell"))).alias(r) for r in V.ROLES if r != "notes"))
-    )
-    rows = by_role.join(priced, GRID, "left_semi").join(chosen, GRID).join(texts, "page_id")
+    return bids_of(html_read(pages, id_col=id_col, html_col=html_col), ref_date)
+
+
+def bids_of(read: DataFrame, ref_date: Column) -> tuple[DataFrame, DataFrame]:
+    """As extract_bids, from what html_read gives; both results start from it, so keep it if both are wanted."""
+    grids = graded(read)
+    priced = F.arrays_overlap("roles", F.array(F.lit("cash_price"), F.lit("basis")))
+    cell = lambda role: F.get("cells", (F.array_position("roles", role) - 1).cast("int"))
+    rows = grids.where("chosen").where(priced).select("page_id", "grid", "score", "context", "as_of_text", "roles", F.posexplode("cells").alias("row", "cells"))
+    rows = rows.select("page_id", "grid", "row", "score", "context", "as_of_text", *(cell(r).alias(r) for r in V.ROLES if r not in ("notes", "location")))
+    rows = rows.withColumn("as_of_date", dates.as_of(F.col("as_of_text")))
     named = F.when(F.regexp_like("context", F.lit(V.COMMODITY_WORD)), F.col("context"))
-    rows = rows.withColumns({"commodity_ctx": named, "ref_date": F.coalesce("as_of_date", ref_date)}).drop("location")
-    bids = typed_rows(rows)
+    bids = typed_rows(rows.withColumns({"commodity_ctx": named, "ref_date": F.coalesce("as_of_date", ref_date)}))
     bids = bids.withColumn("confidence", F.when(F.col("score") < ACCEPT_SCORE, F.least("confidence", F.lit(0.5))).otherwise(F.col("confidence")))
-    best = scored.groupBy("page_id").agg(F.max("score").alias("score"))
     found = bids.groupBy("page_id").agg(
         F.count("*").alias("n_rows"), F.least(F.lit(1.0), F.avg("confidence")).alias("confidence"), F.bool_or(F.col("score") < ACCEPT_SCORE).alias("unsure")
     )
-    some = chosen.select("page_id").distinct().withColumn("chosen", F.lit(True))
     flag = (
-        F.when(F.col("chosen").isNull(), F.array(F.lit("NO_BID_DATA")))
+        F.when(F.col("crashed"), F.array(F.lit("SCAN_INTERNAL_ERROR")))
+        .when(~F.col("chosen"), F.array(F.lit("NO_BID_DATA")))
         .when(F.coalesce("n_rows", F.lit(0)) == 0, F.array(F.lit("PARTIAL_COLUMNS")))
         .when(F.col("unsure"), F.array(F.lit("LOW_CONFIDENCE_EXTRACTION")))
         .otherwise(no_notes())
     )
-    results = (
-        texts.join(best, "page_id", "left").join(found, "page_id", "left").join(some, "page_id", "left")
-        .select("page_id", "as_of_text", "as_of_date", "score", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-                F.coalesce("confidence", F.lit(0.0)).alias("confidence"), flag.alias("flags"))
+    of_page = grids.groupBy("page_id").agg(
+        F.first("as_of_text").alias("as_of_text"), F.max("score").alias("score"), F.bool_or("chosen").alias("chosen"), F.first("crashed").alias("crashed")
+    )
+    results = of_page.join(found, "page_id", "left").select(
+        "page_id", "as_of_text", dates.as_of(F.col("as_of_text")).alias("as_of_date"), "score", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "crashed", flag.alias("flags"),
     )
     return bids.drop("context", "commodity_ctx", "ref_date", "as_of_text"), results

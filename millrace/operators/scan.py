@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing
+from millrace.functions.text import needs_render
 from millrace.operators import quality
-from millrace.operators.extract import ACCEPT_SCORE, extract_bids, with_hashes
+from millrace.operators.extract import ACCEPT_SCORE, bids_of, with_hashes
 from millrace.operators.flags import described
 from millrace.operators.store import Store, newest
 from millrace.sources.fetch import status_flag
+from millrace.sources.html_grids import html_read
 
 #: Order in which a page's flags are told.
 _ORDER = ["fetch", "extraction", "stale", "overlap"]
@@ -23,17 +26,27 @@ class Scan:
     bids: DataFrame
     page_scans: DataFrame
     flags: DataFrame
+    kept: list[DataFrame] = field(default_factory=list)  # what stays in memory until the scan is stored
 
 
-def read_pages(pages: DataFrame, sites: DataFrame, run_id: int, today: Column) -> Scan:
+#: From pages that need a browser (site_id, url, html, ..) to site_id, html and error (a flag's code, or null).
+Renderer = Callable[[DataFrame], DataFrame]
+
+
+def read_pages(pages: DataFrame, sites: DataFrame, run_id: int, today: Column, renderer: Renderer | None = None) -> Scan:
     """From pages(site_id, status, html, error, fetched_at) and sites(site_id, company_id, url, label): what a scan stores.
 
-    Ids follow from the run and the site, so that a repeated scan writes the same ones.
+    Ids follow from the run and the site, so that a repeated scan writes the same ones. A page whose bids only a browser
+    would show is read again from what `renderer` makes of it; a page that can't be worked on is that page's outcome.
     """
     known = pages.join(sites, "site_id").withColumn("page_scan_id", F.lit(run_id).cast("long") * (1 << 32) + F.col("site_id"))
     known = known.withColumn("fetch_flag", F.coalesce("error", status_flag(F.col("status"))))
     readable = known.where("fetch_flag IS NULL")
-    bids, results = extract_bids(readable, today, id_col="site_id")
+    read, rendered = _rendered(readable, html_read(readable, id_col="site_id").persist(), today, renderer)
+    bids, results = bids_of(read, today)
+    # a page that could not be rendered has that flag and not the one of what its shell held
+    results = results.join(rendered.select(F.col("site_id").alias("page_id"), "render_flag"), "page_id", "left")
+    results = results.withColumn("flags", F.when(F.col("render_flag").isNotNull(), F.array_except("flags", F.array(F.lit("NO_BID_DATA")))).otherwise(F.col("flags")))
     own = sites.select(F.col("site_id").alias("page_id"), "site_id", "company_id", F.col("label").alias("location_label"))
     bids = with_hashes(bids.join(own, "page_id"), page=["site_id"], ordinal=["grid", "row"])
     nth = F.row_number().over(Window.partitionBy("site_id").orderBy("grid", "row")).cast("long")
@@ -43,7 +56,7 @@ def read_pages(pages: DataFrame, sites: DataFrame, run_id: int, today: Column) -
     read = known.join(results.withColumnRenamed("page_id", "site_id"), "site_id", "left").join(signed, "site_id", "left")
     outcome = (
         F.when(F.col("fetch_flag") == "ROBOTS_BLOCKED", "robots_blocked").when(F.col("fetch_flag").isNotNull(), "fetch_failed")
-        .when(F.coalesce("n_rows", F.lit(0)) == 0, "no_data").when(F.col("score") < ACCEPT_SCORE, "low_confidence").otherwise("ok")
+        .when(F.col("crashed"), "crashed").when(F.coalesce("n_rows", F.lit(0)) == 0, "no_data").when(F.col("score") < ACCEPT_SCORE, "low_confidence").otherwise("ok")
     )
     flags = _coded(known.where("fetch_flag IS NOT NULL").select("site_id", F.col("fetch_flag").alias("code")), "fetch").unionByName(
         _coded(results.select(F.col("page_id").alias("site_id"), F.explode("flags").alias("code")), "extraction")
@@ -52,7 +65,23 @@ def read_pages(pages: DataFrame, sites: DataFrame, run_id: int, today: Column) -
         F.lit(run_id).cast("long").alias("run_id"), "page_scan_id", "site_id", "company_id", "fetched_at", F.col("status").alias("http_status"), outcome.alias("outcome"),
         "as_of_text", "as_of_date", F.coalesce("n_rows", F.lit(0)).cast("long").alias("rows_extracted"), F.col("confidence").alias("extraction_confidence"), "content_signature",
     )
-    return Scan(bids, scans, flags)
+    flags = flags.unionByName(_coded(rendered.select("site_id", F.col("render_flag").alias("code")), "fetch"))
+    return Scan(bids, scans, flags, [read, rendered, bids])
+
+
+def _rendered(pages: DataFrame, read: DataFrame, today: Column, renderer: Renderer | None) -> tuple[DataFrame, DataFrame]:
+    """What was read of pages, with those that need a browser read again from what `renderer` gives; and (site_id,
+    render_flag) of those that it failed for, or all that need it if there is none. Their first reading stays."""
+    _, results = bids_of(read, today)
+    need = pages.join(results.select(F.col("page_id").alias("site_id"), "score", "n_rows"), "site_id").where(needs_render(F.col("html"), F.coalesce("score", F.lit(0.0)), F.col("n_rows")))
+    need = need.drop("score", "n_rows").persist()
+    if renderer is None:
+        return read, need.select("site_id", F.lit("PLAYWRIGHT_MISSING").alias("render_flag")).persist()
+    done = renderer(need).select("site_id", F.col("html").alias("rendered"), "error").persist()
+    failed = F.coalesce("error", F.when(F.col("rendered").isNull(), "RENDER_TIMEOUT"))
+    again = html_read(done.where(failed.isNull()), id_col="site_id", html_col="rendered")
+    both = read.join(again.select("page_id"), "page_id", "left_anti").unionByName(again).persist()
+    return both, done.where(failed.isNotNull()).select("site_id", failed.alias("render_flag"))
 
 
 def _coded(flags: DataFrame, kind: str) -> DataFrame:
@@ -77,17 +106,18 @@ def history_flags(scan: Scan, past: DataFrame | None, today: Column, now: Column
     return _coded(dated, "stale").unionByName(_coded(repeated, "stale")).unionByName(_coded(shared, "overlap"))
 
 
-def scan(store: Store, pages: DataFrame, sites: DataFrame, run_id: int, today: Column, now: Column, thresholds: dict | None = None, *, first: bool = False) -> DataFrame:
+def scan(store: Store, pages: DataFrame, sites: DataFrame, run_id: int, today: Column, now: Column, thresholds: dict | None = None, *, first: bool = False,
+         renderer: Renderer | None = None) -> DataFrame:
     """Reads pages, appends bids, page_scans and flags to the store, and returns the run's totals and status.
 
     `first`: the store has no page scans yet.
     """
-    found = read_pages(pages, sites, run_id, today)
+    found = read_pages(pages, sites, run_id, today, renderer)
     store.append("bids", found.bids, by="run_id")
     store.append("scanned", found.page_scans.drop("n_flags"), by="run_id")
     of_run = lambda name: store.table(name).where(F.col("run_id") == run_id)
     # from here on what was stored is read: the plan of parsing and typing ends there
-    found = Scan(of_run("bids"), of_run("scanned"), found.flags)
+    found = Scan(of_run("bids"), of_run("scanned"), found.flags, found.kept)
     told = found.flags.unionByName(history_flags(found, None if first else store.table("page_scans"), today, now, thresholds or {}))
     page = F.coalesce(F.nullif("label", F.lit("")), F.col("url"))
     told = described(told.join(sites.select("site_id", "company_id", "label", "url"), "site_id"), page)
@@ -95,6 +125,8 @@ def scan(store: Store, pages: DataFrame, sites: DataFrame, run_id: int, today: C
     told = told.select(F.lit(run_id).cast("long").alias("run_id"), "site_id", "company_id", nth.alias("nth"), "code", "severity", "message", "suggestion", F.lit(False).alias("resolved"))
     store.append("flags", told, by="run_id")
     store.append("page_scans", found.page_scans, by="run_id")
+    for df in found.kept:
+        df.unpersist()
     flags = store.table("flags").where(F.col("run_id") == run_id).groupBy("site_id").agg(F.count("*").alias("n_flags"))
     scans = store.table("page_scans").where(F.col("run_id") == run_id).join(flags, "site_id", "left").withColumn("n_flags", F.coalesce("n_flags", F.lit(0)))
     return quality.run_status(scans)

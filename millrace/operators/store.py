@@ -52,8 +52,13 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
 
     def append(self, name: str, rows: DataFrame, by: str | None = None) -> None:
-        writer = rows.write.mode("append")
-        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
+        """Adds rows; with `by`, the rows of the values of `by` that are among them take the place of what was there, so
+        that a run which is repeated isn't stored twice."""
+        if by:
+            writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by)
+        else:
+            writer = rows.write.mode("append")
+        writer.parquet(f"{self.path}/{name}")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")

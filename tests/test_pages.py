@@ -91,6 +91,37 @@ def test_grids_texts_and_links(spark, pages):
     assert html_texts(pages).where("page_id = 1").first().title == "Coop bids"
 
 
+ODD = ["<p><![foo]>a<![if x]><table><tr><td colspan='²'>a<td colspan=99999999>b<td>c<tr><td>1.25<td>2.50<td>-0.10</table>", "<![CDATA[ x ]]>", "<!DOCTYPE", "<table><tr><td colspan='-3'>x", "&#xFFFFFFFF; &#0;", "<" * 5000, "<div>" * 3000]
+
+
+def test_odd_pages_do_not_stop_the_others(spark):
+    df = spark.createDataFrame([(k, "https://a.test/", h) for k, h in enumerate([*ODD, TABLE])], "page_id long, url string, html string")
+    bids, results = extract_bids(df, F.lit(date(2026, 3, 2)))
+    got = {r.page_id: r for r in results.collect()}
+    assert len(got) == len(ODD) + 1 and not any(r.crashed for r in got.values()) and got[len(ODD)].n_rows == 2
+    assert max(len(row) for g in html_grids(df).collect() for row in g.rows) <= 1003
+    assert html_texts(df).count() == len(ODD) + 1 and html_links(df).count() == 0
+
+
+def test_a_page_that_cannot_be_worked_on_is_its_own_outcome(spark):
+    """The parser meets what it can't take: a text that is no text."""
+    df = spark.createDataFrame([(1, bytearray(b"<table><tr><td>x")), (2, bytearray(b""))], "page_id long, html binary")
+    _, results = extract_bids(df, F.lit(date(2026, 3, 2)))
+    assert {r.page_id: (r.crashed, r.flags) for r in results.collect()} == {1: (True, ["SCAN_INTERNAL_ERROR"]), 2: (False, ["NO_BID_DATA"])}
+
+
+def test_trees_of_many_open_elements_take_time_by_their_size():
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        began = time.perf_counter()
+        root = parsed("<div><b>" * n + "<p>x" * n + "</i>" * n)
+        took.append(time.perf_counter() - began)
+        assert sum(x.tag == "p" for x in root.walk()) == n
+    assert took[1] < 12 * took[0] + 1
+
+
 def test_discovery(spark):
     html = """<a href="/cashbidssingle-12/">Cash Bids</a><a href="/cashbidssingle-11">here</a><a href="mailto:a@b.c">x</a><a href="https://elsewhere.test/cashbids">y</a>
     <a href="/news/cashbids">News</a><a href="/about">About</a><a href="/grain#top">Grain</a><a href="/markets/grain/bids">Bids</a>"""
