@@ -23,8 +23,8 @@ def q12_href_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q13_pattern_hits",
-    r"""SELECT doc_id, len(regexp_extract_all(substr(text, 1, 200000), '\b\d{1,2}\.\d{2,4}\b')) AS prices,
-        len(regexp_extract_all(substr(text, 1, 200000), '[+-]\s?\d{0,2}\.\d{2,4}\b')) AS bases FROM documents""",
+    r"""SELECT doc_id, len(regexp_extract_all(text, '\b\d{1,2}\.\d{2,4}\b')) AS prices,
+        len(regexp_extract_all(text, '[+-]\s?\d{0,2}\.\d{2,4}\b')) AS bases FROM documents""",
 )
 def q13_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

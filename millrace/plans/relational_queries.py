@@ -287,22 +287,24 @@ def q39_query_bids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q40_page_health",
-    """WITH p AS (SELECT o_custkey AS site_id, max(CAST(o_orderdate AS DATE)) AS as_of, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey),
+    """WITH p AS (SELECT o_custkey AS site_id, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey),
        f AS (SELECT o_custkey AS site_id, min(o_orderkey) AS nth FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey)
-       SELECT c_name AS location, CASE WHEN p.site_id IS NULL THEN 'FAILED' WHEN date_diff('day', as_of, DATE '2001-08-01') >= 400 THEN 'STALE'
-              WHEN date_diff('day', as_of, DATE '2001-08-01') > 100 THEN 'AGING' ELSE 'FRESH' END AS status, coalesce(n, 0) AS n_rows,
-              CASE WHEN p.site_id IS NULL THEN 'message ' || nth END AS failure
-       FROM customer LEFT JOIN p ON p.site_id = c_custkey LEFT JOIN f ON f.site_id = c_custkey WHERE p.site_id IS NOT NULL OR f.site_id IS NOT NULL""",
+       SELECT c_name AS location, CASE WHEN p.site_id IS NULL THEN 'FAILED' WHEN c_custkey % 9 >= 5 THEN 'STALE' WHEN c_custkey % 9 > 2 OR c_custkey % 11 = 0 THEN 'AGING' ELSE 'FRESH' END AS status,
+              coalesce(n, 0) AS n_rows, CASE WHEN p.site_id IS NULL THEN 'message ' || nth END AS failure,
+              CASE WHEN p.site_id IS NULL THEN '' WHEN c_custkey % 4 >= 2 THEN 'Yes ×' || c_custkey % 4 ELSE 'No' END AS same_as_last
+       FROM customer LEFT JOIN p ON p.site_id = c_custkey LEFT JOIN f ON f.site_id = c_custkey WHERE (p.site_id IS NOT NULL OR f.site_id IS NOT NULL) AND NOT (c_custkey % 11 = 0 AND c_custkey % 9 >= 5)""",
 )
 def q40_page_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as pages whose bids are none to eight days old, or of unknown age; customers with flags alone have failed."""
     orders, today = table(spark, sf_dir, "orders"), F.to_date(F.lit("2001-08-01"))
-    sites = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("site_id"), F.lit("one").alias("company"), F.col("c_name").alias("location"), F.lit("").alias("url"))
-    live = orders.where("o_orderkey % 3 <> 0").groupBy(F.col("o_custkey").alias("site_id")).agg(F.max(F.to_date("o_orderdate")).alias("as_of"), F.count("*").alias("rows"))
+    k = F.col("site_id")
+    sites = table(spark, sf_dir, "customer").where("NOT (c_custkey % 11 = 0 AND c_custkey % 9 >= 5)").select(F.col("c_custkey").alias("site_id"), F.lit("one").alias("company"), F.col("c_name").alias("location"), F.lit("").alias("url"))
+    live = orders.where("o_orderkey % 3 <> 0").groupBy(F.col("o_custkey").alias("site_id")).agg(F.count("*").alias("rows"))
+    live = live.withColumn("as_of", F.when(k % 11 != 0, F.date_sub(today, (k % 9).cast("int"))))
     flags = orders.where("o_orderkey % 3 = 0").select(
         F.col("o_custkey").alias("site_id"), F.col("o_orderkey").alias("nth"), F.lit("TIMEOUT").alias("code"),
         F.concat(F.lit("message "), F.col("o_orderkey").cast("string")).alias("message"), F.lit("").alias("suggestion"),
     )
-    # ages of these pages are years: freshness with wider bounds, after the view
-    health = quality.page_health(live.join(sites, "site_id"), live.select("site_id", F.lit(1).cast("long").alias("streak")), flags, sites, today)
-    wide = F.when(F.col("status") == "FAILED", "FAILED").otherwise(quality.freshness(F.col("as_of"), today, aging=100, stale=400))
-    return health.select("location", wide.alias("status"), F.col("rows").alias("n_rows"), F.when(F.col("status") == "FAILED", F.col("notices")).alias("failure"))
+    health = quality.page_health(live.join(sites, "site_id"), live.select("site_id", (k % 4).alias("streak")), flags.join(sites.select("site_id"), "site_id"), sites, today)
+    failed = F.when(F.col("status") == "FAILED", F.col("notices"))
+    return health.select("location", "status", F.col("rows").alias("n_rows"), failed.alias("failure"), "same_as_last")
