@@ -45,17 +45,37 @@ def stale_dates(pages: DataFrame, bids: DataFrame, today: Column, stale: int = S
     return old.unionByName(past.select("site_id", F.lit("STALE_DELIVERY").alias("code")))
 
 
+def upper_median(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """key and median: the upper one of the two middle values of an even number. Equal values are counted first, so no task
+    holds a key's rows in memory; nulls don't count."""
+    counted = rows.select(key, value.alias("median")).where("median IS NOT NULL").groupBy(key, "median").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(key)
+    upto = counted.withColumns({"upto": F.sum("n").over(w.orderBy("median")), "total": F.sum("n").over(w)})
+    return upto.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(key).agg(F.min("median").alias("median"))
+
+
 def overlaps(rows: DataFrame, *, group: str, member: str, item: str, least: float = 0.8) -> DataFrame:
     """Pairs of members of one group that share items: member, other, share of the member's items that the other has.
 
-    Items are made distinct first; the join is on group and item, so only members that share something meet.
+    Items are made distinct first. If a member must share most of its n items, another one has at least one of its
+    n - least * n + 1 rarest items: only there they meet, and an item that many have brings few together. With a small
+    share all items can bring members together, and the join is on all of them.
     """
-    items = rows.select(group, member, item).where(F.col(item).isNotNull()).distinct()
-    sizes = items.groupBy(group, member).agg(F.count("*").alias("size"))
-    other = items.select(group, item, F.col(member).alias("other"))
-    shared = items.join(other, [group, item]).where(F.col(member) != F.col("other")).groupBy(group, member, "other").agg(F.count("*").alias("shared"))
-    out = shared.join(sizes, [group, member]).withColumn("share", F.col("shared") / F.col("size"))
-    return out.where(F.col("share") >= least).select(group, member, "other", "share")
+    items = rows.select(F.col(group).alias("g"), F.col(member).alias("m"), F.col(item).alias("i")).where("i IS NOT NULL").distinct()
+    sizes = items.groupBy("g", "m").agg(F.count("*").alias("size"))
+    other = items.select("g", "i", F.col("m").alias("other"))
+    if least > 0.5:
+        held = items.groupBy("g", "i").agg(F.count("*").alias("df")).where("df > 1")
+        rank = F.row_number().over(Window.partitionBy("g", "m").orderBy("df", "i"))
+        ranked = items.join(held, ["g", "i"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", rank)
+        rare = ranked.join(sizes, ["g", "m"]).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).where("df > 1")
+        pairs = rare.select("g", "m", "i").join(other, ["g", "i"]).where(F.col("m") != F.col("other")).select("g", "m", "other").distinct()
+        met = pairs.join(items, ["g", "m"]).join(other, ["g", "i", "other"])
+    else:
+        met = items.join(other, ["g", "i"]).where(F.col("m") != F.col("other"))
+    shared = met.groupBy("g", "m", "other").agg(F.count("*").alias("shared"))
+    out = shared.join(sizes, ["g", "m"]).withColumn("share", F.col("shared") / F.col("size"))
+    return out.where(F.col("share") >= least).select(F.col("g").alias(group), F.col("m").alias(member), "other", "share")
 
 
 def first_overlap(pairs: DataFrame, *, member: str) -> DataFrame:

@@ -29,7 +29,7 @@ def order_keys(group_by: str, sort_by: str) -> list[Column]:
         "delivery_start": F.coalesce("delivery_start", F.to_date(F.lit("2100-01-01"))), "commodity": filled("commodity"), "location": filled("site_label"),
         "cash_desc": F.when(F.coalesce("cash_price", F.lit(0.0)) == 0, 999.0).otherwise(-F.col("cash_price")),
     }
-    base = [F.asc_nulls_first(c) for c in ("company_name", "commodity", "delivery_start")]
+    base = [F.col(c) for c in ("company_name", "commodity", "delivery_start")]  # nulls come first
     return [groups.get(group_by, F.lit("")), keys.get(sort_by, keys["delivery_start"]), *base]
 
 
@@ -42,11 +42,33 @@ def report_rows(bids: DataFrame, effective: dict, today: Column) -> DataFrame:
         rows = rows.where(F.coalesce("site_label", F.lit("")).isin(effective["locations"]))
     rows = rows.where(in_horizon(F.col("delivery_start"), today, int(effective.get("horizon_months", 0))))
     group_by = effective.get("group_by", "commodity")
-    w = Window.orderBy(*order_keys(group_by, effective.get("sort_by", "delivery_start")), "bid_id")  # a report is a sheet: its rows have one order
+    keys = [*order_keys(group_by, effective.get("sort_by", "delivery_start")), F.col("bid_id")]
     group = {"commodity": "commodity", "location": "site_label", "company": "company_name"}.get(group_by)
-    rows = rows.withColumn("place", F.row_number().over(w))
-    changed = ~F.col(group).eqNullSafe(F.lag(group).over(w)) & (F.col("place") > 1) if group else F.lit(False)
-    return rows.withColumns({"breaks": changed, "shaded": F.col("place") % 2 == 0})
+    return numbered(rows, keys, group, lead=0 if group else 1)
+
+
+def numbered(rows: DataFrame, keys: list[Column], group: str | None, *, lead: int = 0) -> DataFrame:
+    """Adds place (from 1, in the order of `keys`), breaks (the column `group` differs from the row before) and shaded.
+
+    Rows are dealt by the key number `lead`, which is never null, and numbered there; where each of its values begins
+    follows from their counts. So a task has the rows of a value, and only the values, a row for each, meet in one.
+    """
+    rows = rows.withColumns({f"__k{i}": k for i, k in enumerate(keys)})
+    order = [F.col(f"__k{i}").asc_nulls_first() for i in range(lead, len(keys))]
+    name = F.col(group) if group else F.lit(None).cast("string")
+    value = f"__k{lead}"
+    here = Window.partitionBy(value).orderBy(*order)
+    before = Window.orderBy(F.col(value).asc_nulls_first())
+    last = F.max_by(F.struct(name.alias("name")), F.struct(*(f"__k{i}" for i in range(lead, len(keys)))))
+    values = rows.groupBy(value).agg(F.count("*").alias("__n"), last.alias("__last"))
+    values = values.withColumns({"__before": F.sum("__n").over(before) - F.col("__n"), "__name": F.lag("__last").over(before)["name"]})
+    rows = rows.withColumns({"__nth": F.row_number().over(here), "__above": F.lag(name).over(here)})
+    rows = rows.join(values.select(value, "__before", "__name"), value)
+    place = (F.col("__before") + F.col("__nth")).cast("int")
+    above = F.when(F.col("__nth") > 1, F.col("__above")).otherwise(F.col("__name"))
+    breaks = ~name.eqNullSafe(above) & (place > 1) if group else F.lit(False)
+    out = rows.withColumns({"place": place, "breaks": breaks})
+    return out.withColumn("shaded", F.col("place") % 2 == 0).drop("__nth", "__above", "__before", "__name", *(f"__k{i}" for i in range(len(keys))))
 
 
 def column_keys(effective: dict, *, company: bool, location: bool) -> list[str]:

@@ -87,8 +87,8 @@ def q06_repeat_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT l_suppkey, round(list_sort(list(abs(l_discount - 0.05)))[CAST(floor(count(*) / 2) AS INT) + 1], 6) AS median FROM lineitem GROUP BY l_suppkey",
 )
 def q08_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = F.array_sort(F.collect_list(F.abs(F.col("l_discount") - 0.05)))
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")), 6).alias("median"))
+    found = quality.upper_median(table(spark, sf_dir, "lineitem"), "l_suppkey", F.abs(F.col("l_discount") - 0.05))
+    return found.select("l_suppkey", F.round("median", 6).alias("median"))
 
 
 @query(

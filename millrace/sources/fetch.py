@@ -10,11 +10,14 @@ from __future__ import annotations
 import importlib
 import json
 import random
+import socket
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from urllib.parse import urlparse
 from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -35,22 +38,76 @@ def status_flag(status: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=1000)
+def _rules(body: str) -> RobotFileParser:
+    rules = RobotFileParser()
+    rules.parse(body[:ROBOTS_CHARS].splitlines())
+    return rules
+
+
+def _domain(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]*)", 1))
+
+
 def allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """urls(url) less those that their domain's robots text, robots(domain, body), forbids to `agent` or to everyone.
 
-    No text for a domain allows everything.
+    No text for a domain allows everything. A worker parses a text once for all the URLs that it meets it with.
     """
 
-    @F.udf("boolean")
-    def may(url: str, body: str | None) -> bool:
-        if body is None:
-            return True
-        rules = RobotFileParser()
-        rules.parse(body[:ROBOTS_CHARS].splitlines())
-        return rules.can_fetch(agent, url) and rules.can_fetch("*", url)
+    def may(urls: pd.Series, bodies: pd.Series) -> pd.Series:
+        said = (None if body is None else _rules(body) for body in bodies)
+        return pd.Series([r is None or (r.can_fetch(agent, url) and r.can_fetch("*", url)) for url, r in zip(urls, said, strict=True)], dtype=bool)
+
+    judge = F.pandas_udf(may, "boolean")
+    return urls.withColumn("domain", _domain(F.col("url"))).join(robots, "domain", "left").where(judge("url", "body")).select("url")
+
+
+def one(get: Callable[[str], tuple], url: str, pauses: list[float] | tuple[float, ...] = BACKOFF) -> tuple:
+    """(url, status, html, error) of one page. Faults of the server are tried again after a pause, and 429 after what it
+    asks for, if the transport gives that as a third value (seconds)."""
+    status, text, error, asked = None, None, None, None
+    for attempt in range(RETRIES + 1):
+        if attempt:
+            pause = pauses[min(attempt, len(pauses)) - 1]
+            time.sleep(min(LONGEST_WAIT, pause if asked is None else asked))
+        asked = None
+        try:
+            status, text, *more = get(url)
+            error = None
+            if status == 429 and more:
+                asked = more[0]
+        except TimeoutError:
+            error = "TIMEOUT"
+        except socket.gaierror:
+            error = "DNS_FAIL"
+        except OSError:
+            error = "NETWORK_FAIL"
+        if error == "DNS_FAIL" or (error is None and status not in RETRIED and status != 429):
+            break
+    return url, status, text, error
+
+
+def fetch_pages(urls: DataFrame, transport: str, *, politeness: tuple[float, float] = (2.0, 5.0), pauses: tuple[float, ...] = BACKOFF) -> DataFrame:
+    """As fetch, for any number of urls(url): they are dealt by domain, and a domain's pages are read one after the other,
+    with a pause between them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        module, _, name = transport.partition(":")
+        get = getattr(importlib.import_module(module), name)
+        before = None
+        for batch in batches:
+            rows = []
+            for url, domain in zip(batch["url"], batch["domain"], strict=True):
+                if domain == before:
+                    time.sleep(random.uniform(*politeness))
+                before = domain
+                rows.append(one(get, url, pauses))
+            frame = pd.DataFrame(rows, columns=["url", "status", "html", "error"])
+            yield frame.astype({"status": "Int32"})
 
-    domain = F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1))
-    return urls.withColumn("domain", domain).join(robots, "domain", "left").where(may("url", "body")).select("url")
+    dealt = urls.select("url", _domain(F.col("url")).alias("domain")).repartition("domain").sortWithinPartitions("domain", "url")
+    return dealt.mapInPandas(run, SCHEMA)
 
 
 class _Domain(InputPartition):
@@ -80,20 +137,7 @@ class PageReader(DataSourceReader):
             yield self._one(get, url)
 
     def _one(self, get, url: str) -> tuple:
-        status, text, error = None, None, None
-        for attempt in range(RETRIES + 1):
-            if attempt:
-                time.sleep(min(LONGEST_WAIT, self.pauses[min(attempt, len(self.pauses)) - 1]))
-            try:
-                status, text = get(url)
-                error = None
-            except TimeoutError:
-                error = "TIMEOUT"
-            except OSError:
-                error = "NETWORK_FAIL"
-            if error is None and status not in RETRIED and status != 429:
-                break
-        return url, status, text, error
+        return one(get, url, self.pauses)
 
 
 class PageSource(DataSource):

@@ -99,6 +99,26 @@ def test_workbook(spark, tmp_path):
     assert "46204" in body  # 1 July 2026
 
 
+def test_pauses_that_a_server_asks_for_and_unknown_domains(monkeypatch):
+    import socket
+
+    slept: list[float] = []
+    monkeypatch.setattr(fetch.time, "sleep", slept.append)
+    answers = iter([(429, "", 7), (429, "", 900), (200, "<p>ok</p>")])
+    assert fetch.one(lambda url: next(answers), "https://a.test/") == ("https://a.test/", 200, "<p>ok</p>", None) and slept == [7, fetch.LONGEST_WAIT]
+
+    def unknown(url):
+        raise socket.gaierror
+
+    assert fetch.one(unknown, "https://no.test/") == ("https://no.test/", None, None, "DNS_FAIL") and len(slept) == 2
+
+
+def test_pages_dealt_by_domain(spark):
+    urls = spark.createDataFrame([(f"https://d{k % 5}.test/{k}{'none' if k % 7 == 0 else ''}",) for k in range(40)], "url string")
+    got = {r.url: (r.status, r.error) for r in fetch.fetch_pages(urls, "tests.test_documents:transport", politeness=(0, 0)).collect()}
+    assert len(got) == 40 and all(status == (404 if "none" in url else 200) and error is None for url, (status, error) in got.items())
+
+
 def test_fetch(spark):
     urls = [f"https://{d}.test/{p}" for d, p in (("a", "1"), ("a", "2"), ("slow", ""), ("dead", ""), ("none", ""), ("busy", ""))]
     df = fetch.fetch(spark, urls, "tests.test_documents:transport", politeness_min_s=0, politeness_max_s=0, backoff=json.dumps([0, 0]))

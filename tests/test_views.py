@@ -124,3 +124,45 @@ def test_queries_equal_their_sql(spark, name):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns and len(got)
     assert sorted(map(tuple, got[columns].astype(str).values)) == sorted(map(tuple, want[columns].astype(str).values))
+
+
+def plain_overlaps(rows, least):
+    held = {}
+    for g, m, i in rows:
+        if i is not None:
+            held.setdefault((g, m), set()).add(i)
+    return {(g, a, b, len(x & y) / len(x)) for (g, a), x in held.items() for (h, b), y in held.items() if g == h and a != b and x & y and len(x & y) / len(x) >= least}
+
+
+def test_overlaps_by_rare_items_and_by_all(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(g, m, rng.choice([0, 0, 1, 2, 3, None, 10 + m, 20 + rng.randrange(4)])) for g in range(2) for m in range(12) for _ in range(rng.randrange(1, 9))]
+    rows += [(0, 50, i) for i in range(5)] + [(0, 51, i) for i in range(4)] + [(1, 50, 7), (1, 51, 7)]
+    df = spark.createDataFrame(rows, "g int, m int, i int")
+    for least in (0.3, 0.6, 0.8, 1.0):
+        got = {tuple(r) for r in quality.overlaps(df, group="g", member="m", item="i", least=least).collect()}
+        assert got == plain_overlaps(rows, least), least
+
+
+def test_places_by_group_and_without(spark):
+    """Places, breaks and shades as one pass over sorted rows gives them; names that are sorted as one still break."""
+    import random
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from millrace.operators import report
+
+    rng = random.Random(5)
+    rows = [(k, rng.choice(["corn", "milo", None, "", "zzz"]), rng.choice(["A", "B", None]), "one", rng.choice([None, 0.0, 4.1, 4.2]), rng.choice([None, date(2026, 3, 1), date(2026, 4, 1)])) for k in range(60)]
+    df = spark.createDataFrame(rows, "bid_id int, commodity string, site_label string, company_name string, cash_price double, delivery_start date").repartition(4)
+    first = lambda x: (x is not None, x if x is not None else 0)
+    for group_by, sort_by in (("commodity", "cash_desc"), ("location", "delivery_start"), ("none", "commodity")):
+        name = {"commodity": 1, "location": 2}.get(group_by)
+        key = {"cash_desc": lambda r: -r[4] if r[4] else 999.0, "delivery_start": lambda r: r[5] or date(2100, 1, 1), "commodity": lambda r: r[1] or "zzz"}[sort_by]
+        order = sorted(rows, key=lambda r: (r[name] or "zzz" if name else "", key(r), first(r[3]), first(r[1]) if r[1] is not None else (False, ""), (r[5] is not None, r[5] or date.min), r[0]))
+        want = [(r[0], k + 1, bool(name and k and r[name] != order[k - 1][name]), k % 2 == 1) for k, r in enumerate(order)]
+        got = report.report_rows(df, {"group_by": group_by, "sort_by": sort_by}, F.lit(date(2026, 1, 1)))
+        assert [(r.bid_id, r.place, r.breaks, r.shaded) for r in got.orderBy("place").collect()] == want, group_by
