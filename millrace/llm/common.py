@@ -34,9 +34,12 @@ def id_remainder(col: Column, k: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share. Only where none is set (tests), one is made here."""
+    """A new path in the folder that driver and executors share. Where none is set, one is made here for a local master
+    (tests); on a cluster that would be a folder of one machine, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

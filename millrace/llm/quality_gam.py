@@ -164,7 +164,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Gam:
-    """From at most TRAIN_DOCS labelled documents whose id's remainder is not 1: their features alone come to the driver."""
+    """From at most TRAIN_DOCS labelled documents whose id's remainder is not 1: their features alone come to the driver.
+
+    Labels that are null or have no id don't count; of several labels of one id the largest does, and of several texts the
+    least, so an id is one row whatever repeats. Without a label of each kind all texts get the share of label 1.
+    """
     rows = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (id_remainder(F.col(id_col), 3) != 1))
         .groupBy(F.col(id_col).alias("id"))
@@ -174,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col:
     )
     # bounded by TRAIN_DOCS rows of an id and a label, so it can go to every executor
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id")
+    texts = texts.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
     def make():
         def run(batch) -> dict:

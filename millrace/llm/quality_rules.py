@@ -17,8 +17,8 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = bytes(range(0x41, 0x5B))
 REPEAT_WINDOW = 5
-#: Documents on which the rules are measured, and the share of ids from which they come.
-SAMPLE_DOCS, SAMPLE_SHARE = 1000, 64
+#: Documents on which the rules are measured, in the mean.
+SAMPLE_DOCS = 1000
 
 
 def repeated_words(words: list[bytes], width: int = REPEAT_WINDOW) -> int:
@@ -47,7 +47,8 @@ def repeated_words(words: list[bytes], width: int = REPEAT_WINDOW) -> int:
 
 
 class Measured:
-    """A text and what the rules ask of it; each value is worked out when first asked for."""
+    """A text and what rules ask of it. What every document's row holds is worked out at once; what a rule alone asks for,
+    when that rule is tried."""
 
     def __init__(self, text: str | None):
         self.text = text or ""
@@ -109,8 +110,9 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str =
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[Rule, ...]:
-    """The rules in the order of rejections per second."""
-    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE_SHARE)) == 0).limit(SAMPLE_DOCS)
+    """The rules in the order of rejections per second, from a sample of all rows that a hash of id and text draws."""
+    share = -(-SAMPLE_DOCS * 1_000_000 // max(docs.count(), 1))
+    sample = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)) < share)
     gain = {name: rejected / max(seconds, 1e-9) for name, rejected, seconds in measure(sample, rules, text_col=text_col)}
     return tuple(sorted(rules, key=lambda r: -gain[r.name]))
 
@@ -129,7 +131,7 @@ def apply_rules(
     The base counts are for every document; the cascade then stops at the first rule that rejects. `rules` fixes an
     order; else a sample gives it. Every text is read whole, in place, without a shuffle.
 
-    Null or empty text: no words, so base_failed. A null id stays null, repeated rows get equal rows, other columns are
+    Null or empty text: no words, so base_failed; very long texts are read whole. A null id stays null, repeated rows get equal rows, other columns are
     ignored; an empty table gives no rows.
     """
     order = cascade(docs, id_col=id_col, text_col=text_col) if rules is None else rules

@@ -153,6 +153,99 @@ def test_gam_learns_pairs():
     assert quality_gam.fit(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
 
 
+def plain_features(text):
+    text = text or ""
+    data = text.encode()
+    words = re.findall(rb"[^\t\n\x0b\x0c\r ]+", data)
+    lines = text.split("\n")
+    n, nw = max(len(data), 1), max(len(words), 1)
+    among = lambda chars: sum(b in chars.encode() for b in data)
+    upper, lower = sum(65 <= b <= 90 for b in data), sum(97 <= b <= 122 for b in data)
+    bits = -sum(c / n * np.log2(c / n) for c in Counter(data).values())
+    pairs = list(zip(words, words[1:]))
+    return [
+        np.log(1 + len(data)), (n - sum(b in b"\t\n\x0b\x0c\r " for b in data)) / nw, max(map(len, words), default=0), upper / max(upper + lower, 1), among("0123456789") / n,
+        among("!") / nw, among("#*$%&|<>") / nw, among(".") / nw, among(",") / nw, sum(b >= 128 for b in data) / n, bits, len(words) / len(lines), len(set(words)) / nw,
+        len(set(pairs)) / nw, sum(a == b for a, b in pairs) / nw, 1 - len(set(lines)) / len(lines),
+    ]
+
+
+def plain_score(model, x):
+    total = model.base
+    for value, edges, table in zip(x, model.edges, model.tables):
+        total += table[sum(e <= value for e in edges)]
+    for i, j, table in model.pairs:
+        total += table[sum(e <= x[i] for e in model.coarse[i])][sum(e <= x[j] for e in model.coarse[j])]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_quality_query_against_plain_loops(spark, corpus, tmp_path):
+    """op1 itself: features counted byte by byte, table values added one by one, labels of held-out rows without effect."""
+    rows = [*corpus, (None, "no id", "en", "s"), (7, "an id again", "en", "s")]
+    labels = [(r[0], int(len(r[1] or "") % 2), 0) for r in corpus[:60]] + [(7, None, 0), (None, 1, 0), (9999, 1, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, table = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    for text in {r[1] for r in rows}:
+        assert np.allclose(quality_gam.features(text), plain_features(text)), text
+    model = quality_gam.train(docs, table)
+    first = {}
+    for i, t, *_ in rows:
+        if i is not None and t is not None:
+            first[i] = min(t, first.get(i, t))
+    learned = sorted((i, y) for i, y, _ in labels if i is not None and y is not None and i in first and zlib.crc32(str(i).encode()) % 3 != 1)
+    again = quality_gam.fit(np.array([quality_gam.features(first[i]) for i, _ in learned]), np.array([float(y) for _, y in learned]))
+    assert [t.tolist() for t in again.tables] == [t.tolist() for t in model.tables] and again.base == model.base
+    got = quality_gam.op1_quality(spark, str(tmp_path))
+    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and got.count() == len(rows)
+    scores = sorted(((r.doc_id or -1), round(r.score, 9), r.predicted) for r in got.collect())
+    plain = sorted(((i or -1), round(plain_score(model, plain_features(t)), 9), int(plain_score(model, plain_features(t)) >= 0.5)) for i, t, *_ in rows)
+    assert scores == plain
+
+
+def test_best_cuts_by_trying_all():
+    rng = np.random.default_rng(8)
+    worth = lambda g, h: g.sum() ** 2 / (h.sum() + quality_gam.RIDGE)
+    for _ in range(30):
+        g, h = rng.normal(size=9), rng.random(9)
+        best = max(range(1, 9), key=lambda m: worth(g[:m], h[:m]) + worth(g[m:], h[m:]))
+        want = np.concatenate([np.full(best, g[:best].sum() / (h[:best].sum() + quality_gam.RIDGE)), np.full(9 - best, g[best:].sum() / (h[best:].sum() + quality_gam.RIDGE))])
+        assert np.allclose(quality_gam._shallow_tree(g, h, 2), want) or worth(g[:best], h[:best]) + worth(g[best:], h[best:]) <= worth(g, h) + 1e-9
+        g, h = rng.normal(size=(5, 4)), rng.random((5, 4))
+        gain = lambda i, j: sum(worth(g[a, b], h[a, b]) for a in (slice(0, i), slice(i, 5)) for b in (slice(0, j), slice(j, 4))) - worth(g, h)
+        assert np.isclose(quality_gam._quadrants(g, h)[0], max(gain(i, j) for i in range(1, 5) for j in range(1, 4)))
+
+
+def test_queries_of_rows_against_plain(spark, corpus, tmp_path):
+    """op2, op3 and op9 as they are registered: digests, nulls, column names and types."""
+    from tokenizers import Tokenizer
+
+    rows = [*corpus, (None, "the grain of the field", "en", None)]
+    items = [(10, corpus[3][1]), (9, corpus[3][1]), (None, corpus[4][1]), (11, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {r[0]: r[1] for r in rows}
+    got = decontaminate.op2_decontaminate(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, _, named = plain_contamination(texts[r.doc_id], [x for x in items if x[0] is not None])
+        _, hit, _ = plain_contamination(texts[r.doc_id], items)
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), hit > 0 and 20 * hit >= n)
+    tok = Tokenizer.from_file(token_store.tokenizer_path())
+    tokens = token_store.op3_token_store(spark, str(tmp_path))
+    assert tokens.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and {t for _, t in tokens.dtypes} == {"bigint"}
+    at = 0
+    for r, (i, text, *_) in zip(sorted(tokens.collect(), key=lambda r: r.start), sorted(rows, key=lambda r: -1 if r[0] is None else r[0]), strict=True):
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    found = {r.doc_id: r for r in language_id.op9_language_id(spark, str(tmp_path)).collect()}
+    assert set(found) == set(texts)
+    for i, r in found.items():
+        assert r.held_out == (zlib.crc32(str("" if i is None else i).encode()) % 5 == 0) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not re.search(r"[^\W\d_]", texts[i] or "")) and r.lang_pred in ("und", "en", "de")
+
+
 def test_quality_scores(spark, docs, corpus, empty):
     labels = spark.createDataFrame([(r[0], int(r[0] % 2), 0) for r in corpus[:60]] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     model = quality_gam.train(docs, labels)
@@ -175,7 +268,7 @@ def test_ppm_is_a_distribution():
     for text, lang in (("the thing with the other thing", "en"), ("das ding mit dem anderen ding", "de")):
         g, n = np.unique(language_id.grams(text * 3), return_counts=True)
         rows += [(lang, int(a), int(b)) for a, b in zip(g, n, strict=True)]
-    model = language_id.Ppm(rows)
+    model = language_id.Ppm(language_id.counts_of(rows))
     used = sorted({b for _, g, _ in rows for b in g.to_bytes(4, "big")})
     symbols = [*used, next(b for b in range(256) if b not in used)]  # all bytes that were never seen are one symbol
     contexts = {g >> 8 for _, g, _ in rows} | {0, 0x7A7A7A, 0x207468}
@@ -222,19 +315,19 @@ def test_ppm_code_lengths(monkeypatch):
     for text, lang in (("the thing with the other thing. the end of the thing", "en"), ("das ding mit dem anderen ding. das ende vom ding", "de")):
         g, n = np.unique(language_id.grams(text), return_counts=True)
         rows += [(lang, int(a), int(c)) for a, c in zip(g, n, strict=True)]
-    model = language_id.Ppm(rows)
+    model = language_id.Ppm(language_id.counts_of(rows))
     texts = ["the thing", "dem ding", "Zebra 99 the É", "x", "the thing " * 30]
     plain = np.array([plain_ppm(rows, model.langs, text) for text in texts])
     assert np.allclose(model.code_lengths(texts), plain, rtol=1e-5)
     monkeypatch.setattr(language_id, "PIECE", 7)
     monkeypatch.setattr(language_id, "TOGETHER", 1)
-    assert np.allclose(language_id.Ppm(rows).code_lengths(texts), plain, rtol=1e-5)
+    assert np.allclose(language_id.Ppm(language_id.counts_of(rows)).code_lengths(texts), plain, rtol=1e-5)
 
 
 def test_many_languages_take_room_by_what_they_hold():
     rng = np.random.default_rng(2)
     rows = [(f"l{k:03}", int(g), int(n)) for k in range(120) for g, n in zip(np.unique(rng.integers(0, 1 << 32, 300)), rng.integers(1, 9, 300), strict=False)]
-    model = language_id.Ppm(rows)
+    model = language_id.Ppm(language_id.counts_of(rows))
     held = sum(x.nbytes for t in model.trees for x in (t.one, t.keys3, t.seen3, t.nodes2, t.escape2, t.keys4, t.seen4, t.nodes3, t.escape3))
     assert held < 100_000_000 and model.code_lengths(["some text"]).shape == (1, 120)
 
@@ -254,8 +347,8 @@ def test_languages(spark, empty):
     # held-out rows teach nothing
     other = spark.createDataFrame([(i, t, "xx" if zlib.crc32(str(i).encode()) % 5 == 0 else lang) for i, t, lang in rows], df.schema)
     assert language_id.learn(other) == model
-    assert language_id.learn(empty) == [] and language_id.predict(empty, model).count() == 0
-    assert {r.lang_pred for r in language_id.predict(df, []).collect()} == {"und"}
+    assert language_id.learn(empty).num_rows == 0 and language_id.predict(empty, model).count() == 0
+    assert {r.lang_pred for r in language_id.predict(df, language_id.counts_of([])).collect()} == {"und"}
     assert language_id.predict(df, model, whole_rows=True).select("row.*").columns == df.columns
 
 
