@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_remainder, map_arrow, table
+from millrace.llm.common import held, id_remainder, map_arrow, table
 
 #: Documents of a language to learn from, in the mean: ids are drawn by a hash against this share of the language's rows.
 TRAIN_DOCS = 1500
@@ -115,6 +118,14 @@ class _Trees:
         return out
 
 
+COUNTS = pa.schema({"lang": pa.string(), "gram": pa.int64(), "n": pa.int64()}.items())
+
+
+def counts_of(rows: list[tuple[str, int, int]]) -> pa.Table:
+    """Counts as learn() gives them, from language, string and count."""
+    return pa.table(dict(zip(COUNTS.names, zip(*rows), strict=True)) if rows else {n: [] for n in COUNTS.names}, schema=COUNTS)
+
+
 class Ppm:
     """Code lengths of a byte after its three predecessors, for all languages at once.
 
@@ -125,12 +136,12 @@ class Ppm:
     Only strings that were seen, and their contexts, are held: memory follows what was learned, not languages times 256^3.
     """
 
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        """rows: language, four bytes as one number, count."""
-        self.langs = sorted({r[0] for r in rows})
-        place = {x: k for k, x in enumerate(self.langs)}
-        lang, gram = (np.fromiter(x, np.int64, len(rows)) for x in ((place[r[0]] for r in rows), (r[1] for r in rows)))
-        count = np.fromiter((r[2] for r in rows), np.float64, len(rows))
+    def __init__(self, counts: pa.Table):
+        """counts: as learn() gives them."""
+        self.langs = sorted(set(counts.column("lang").to_pylist()))
+        lang = pc.index_in(counts.column("lang"), pa.array(self.langs, pa.string())).to_numpy().astype(np.int64)
+        gram = counts.column("gram").to_numpy().astype(np.int64)
+        count = counts.column("n").to_numpy().astype(np.float64)
         by = np.lexsort((gram, lang))
         lang, gram, count = lang[by], gram[by], count[by]
         used = np.unique(np.concatenate([gram >> s & 0xFF for s in (24, 16, 8, 0)]))
@@ -149,6 +160,7 @@ class Ppm:
         total = np.zeros((len(texts), len(self.langs)))
         waiting: list[np.ndarray] = []
         of: list[int] = []
+        size = 0
 
         def add() -> None:
             gram, place = np.unique(np.concatenate(waiting), return_inverse=True)
@@ -161,15 +173,17 @@ class Ppm:
             for piece in gram_pieces(text):
                 waiting.append(piece)
                 of.append(k)
-                if sum(map(len, waiting)) >= PIECE:
+                size += len(piece)
+                if size >= PIECE:
                     add()
+                    size = 0
         if waiting:
             add()
         return total
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> list[tuple[str, int, int]]:
-    """Counts of four bytes by language, from rows whose id's remainder by 5 is not 0.
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> pa.Table:
+    """lang, gram (four bytes as one number) and n, how often it was seen, from rows whose id's remainder by 5 is not 0.
 
     A sample bounded in the mean by `train_docs` documents for each language, drawn by a hash of the id, whatever the
     language's share; whole texts. What comes to the driver are the distinct four-byte strings of that sample.
@@ -179,7 +193,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     )
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return []
+        return counts_of([])
     share = F.lit(0)
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1_000_000, train_docs * 1_000_000 // n + 1))).otherwise(share)
@@ -201,11 +215,11 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         return run
 
     counted = map_arrow(drawn.select("lang", "text"), make, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return sorted((r.lang, r.gram, r.n) for r in counted.collect())
+    return counted.toArrow().cast(COUNTS).sort_by([("lang", "ascending"), ("gram", "ascending")])
 
 
 def predict(
-    docs: DataFrame, rows: list[tuple[str, int, int]], *, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False
+    docs: DataFrame, counts: pa.Table, *, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False
 ) -> DataFrame:
     """One row per input row: id, lang_pred, score, bits (per byte, in the predicted language). With `whole_rows`, the
     input's row as the struct `row` instead of the id.
@@ -215,10 +229,11 @@ def predict(
     learned: `und`, score 0. Ties go to the first language by name. A null id stays null; repeated rows get equal rows;
     other columns, the known language among them, are not read.
     """
-    known = docs.sparkSession.sparkContext.broadcast(Ppm(rows) if rows else None)  # learned from a bounded sample
+    known = docs.sparkSession.sparkContext.broadcast(counts)  # learned from a bounded sample
+    key = f"ppm {uuid.uuid4().hex}"
 
     def make():
-        model = known.value
+        model = held(key, lambda: Ppm(known.value)) if known.value.num_rows else None
 
         def run(batch) -> dict:
             texts = batch.column("text").to_pylist()
