@@ -17,9 +17,9 @@ from millrace.llm.components import components
 SIMILARITY = 0.8
 SLICES = 256
 #: Turns at most in which a text is compared with one text of another component.
-TURNS = 3
+TURNS = 2
 #: After that, with one of so many texts of other components; at last with all.
-SHARES = (64, 8, 1)
+SHARES = (16, 1)
 #: Distinct shingles that a task counts before it hands on what it has.
 HELD_SHINGLES = 1 << 20
 
@@ -222,14 +222,13 @@ def _sides(meetings: DataFrame, labels: DataFrame, similarity: float) -> tuple[D
 
 
 def _one_each(meetings: DataFrame, labels: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """For each text that is not of the major component where it meets it, one pair (a, b) with a text that is."""
+    """For each text that is not of the major component where it meets it, one pair (a, b) with a text b that is."""
     here, side, may = _sides(meetings, labels, similarity)
     lot = lambda *c: F.xxhash64(*c, F.lit(turn))
     leads = here.where("major").groupBy("shingle").agg(F.min_by(F.struct("doc", "label", "total", "rest"), lot("doc")).alias("y"))
     lead = leads.select("shingle", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("doc", "label", "total", "rest")))
     met = side("x", here.where("NOT major")).join(lead, "shingle").where(may)
-    chosen = met.groupBy("x_doc").agg(F.min_by("y_doc", lot("shingle")).alias("y_doc"))
-    return chosen.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
+    return met.groupBy(F.col("x_doc").alias("a")).agg(F.min_by("y_doc", lot("shingle")).alias("b"))
 
 
 def _all_apart(meetings: DataFrame, labels: DataFrame, similarity: float, one_in: int = 1) -> DataFrame:
@@ -245,10 +244,12 @@ def _all_apart(meetings: DataFrame, labels: DataFrame, similarity: float, one_in
     return minor.unionByName(major).select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct()
 
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels of texts after links between some of them; components meet as one."""
+def _relabelled(labels: DataFrame, links: DataFrame, *, towards_b: bool) -> DataFrame:
+    """Labels of texts after links between some of them: components meet as one or, `towards_b`, that of a takes the label of
+    that of b. What the latter leaves apart is compared once more and linked in the end."""
     of = lambda x: labels.select(F.col("doc").alias(x), F.col("label").alias(f"label_{x}"))
-    joined = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    joined = between.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")) if towards_b else components(between)
     renamed = joined.select(F.col("id").alias("label"), F.col("label").alias("renamed"))
     return stored(labels.join(renamed, "label", "left").select("doc", F.coalesce("renamed", "label").alias("label")))
 
@@ -257,7 +258,7 @@ def _crowd_links(crowd: DataFrame, texts: DataFrame, idf, similarity: float) ->
     """Links (a, b) between texts (doc, label) of different components, enough that those that are alike become one.
 
     In a family of near copies, most pairs of components would be found alike many times over. So there are some turns
-    first, in each of which a text is compared with one of another component, then two with a share of the other texts;
+    first, in each of which a text is compared with one of another component, then one with a share of the other texts;
     what is then still apart is compared in full. The turns change the cost and not the components.
     """
     meetings = _meetings(crowd, texts, idf, similarity)
@@ -268,7 +269,7 @@ def _crowd_links(crowd: DataFrame, texts: DataFrame, idf, similarity: float) ->
         n = links.count()
         if n:
             found = links if found is None else found.unionByName(links)
-            labels = _relabelled(labels, links)
+            labels = _relabelled(labels, links, towards_b=True)
         if n < pairs.count() / 8:
             break
     for one_in in SHARES:
@@ -276,7 +277,7 @@ def _crowd_links(crowd: DataFrame, texts: DataFrame, idf, similarity: float) ->
         links = stored(_verified(pairs, texts, idf, similarity).select("a", "b"))
         if not links.isEmpty():
             found = links if found is None else found.unionByName(links)
-            labels = _relabelled(labels, links) if one_in > 1 else labels
+            labels = _relabelled(labels, links, towards_b=False) if one_in > 1 else labels
     return found
 
 
