@@ -15,8 +15,12 @@ from millrace.streaming import bids
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; a local one only where no shared one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
+    """A new folder that all executors share; a local one only for a local master that has no shared one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="millrace-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
