@@ -165,17 +165,18 @@ def typed_rows(rows: DataFrame) -> DataFrame:
             "futures_month_raw": raw("futures_month"), "change_raw": raw("change"), "last_update_raw": raw("last_updated"),
         }
     ).drop("commodity", "delivery_period", "cash_price", "basis", "futures_price", "futures_month", "change", "last_updated")
-    out = out.withColumns(
-        {
-            "commodity": notation.grain(F.col("commodity_raw")), "p": notation.price(F.col("cash_price_raw")), "b": notation.basis(F.col("basis_raw")),
-            "f": notation.price(F.col("futures_raw")), "change": notation.change(F.col("change_raw")),
-            "futures_month": notation.futures_month(F.col("futures_month_raw"), F.col("ref_date")), "last_update": dates.last_update(F.col("last_update_raw")),
-        }
-    ).withColumn("d", dates.delivery(F.col("delivery_raw"), F.col("ref_date"), F.col("commodity")))
+    read = F.struct(
+        notation.grain(F.col("commodity_raw")).alias("commodity"), notation.price(F.col("cash_price_raw")).alias("p"), notation.basis(F.col("basis_raw")).alias("b"),
+        notation.price(F.col("futures_raw")).alias("f"), notation.change(F.col("change_raw")).alias("change"),
+        notation.futures_month(F.col("futures_month_raw"), F.col("ref_date")).alias("futures_month"), dates.last_update(F.col("last_update_raw")).alias("last_update"),
+    )
+    # a row is read and dropped in one generator: a filter above it would be pushed below, and read each row again
+    some = lambda x: F.coalesce(x["p"]["value"], x["b"]["value"], x["f"]["value"], x["change"]).isNotNull()
+    out = out.select("*", F.inline(F.filter(F.array(read), some))).withColumn("d", dates.delivery(F.col("delivery_raw"), F.col("ref_date"), F.col("commodity")))
     out = out.withColumns(
         {"cash_price": F.col("p.value"), "basis": F.col("b.value"), "futures_price": F.col("f.value"), "delivery_start": F.col("d.start"), "delivery_end": F.col("d.end"),
          "notes": F.concat("p.notes", "b.notes", "f.notes", "d.notes")}
-    ).where("coalesce(cash_price, basis, futures_price, change) IS NOT NULL")
+    )
     odd = F.size(F.array_distinct(F.filter("notes", lambda n: n.endswith("_inferred") | n.endswith("_assumed") | n.endswith("_cents"))))
     start = F.when(F.col("cash_price").isNull() & F.col("basis").isNull(), 0.4).otherwise(1.0) - odd * 0.1
     adds_up = F.abs(F.col("cash_price") - (F.col("futures_price") + F.col("basis"))) <= 0.03
