@@ -12,6 +12,7 @@ import heapq
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,8 +24,11 @@ from millrace.llm.common import held, map_arrow, table
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-#: Stretches that a worker remembers, and the longest of them in characters.
+#: Stretches that a worker remembers, and the longest of them in characters; stretches merged, and characters encoded, at once.
 CACHE_STRETCHES, LONGEST = 500_000, 64
+TOGETHER, CHARS = 4096, 1 << 20
+#: A symbol that was joined to the one before it, or none.
+_GONE = -2
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -148,6 +152,74 @@ class PieceModel:
         within = any(mark in p.lstrip(mark) for p in self.ids)  # a piece that goes on after a word: no place to part texts
         self.stretches = re.compile("(?s).+" if within else f"{mark}*[^{mark}]+|{mark}+")
         self.known: dict[str, tuple[tuple[int, ...], tuple[int, ...], str]] = {}
+        self._tables(len(model.pieces))
+
+    def _tables(self, n: int) -> None:
+        """Symbols are pieces by their ids, and characters of pieces that are none themselves; pairs make a piece together."""
+        symbols = dict(self.ids)
+        for char in sorted({c for p in self.ids for c in p} - self.ids.keys()):
+            symbols[char] = n + len(symbols) - len(self.ids)
+        self.base = n + len(symbols)
+        self.of_char = np.full(0x110000, -1, np.int64)
+        for symbol, k in symbols.items():
+            if len(symbol) == 1:
+                self.of_char[ord(symbol)] = k
+        pairs = {symbols[p[:c]] * self.base + symbols[p[c:]]: k for p, k in self.ids.items() for c in range(1, len(p)) if p[:c] in symbols and p[c:] in symbols}
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.made = np.array([pairs[int(k)] for k in self.keys], np.int64)
+        self.ranks, self.sizes = np.full(n + 1, np.inf), np.zeros(n, np.int64)  # the last rank is that of no piece, -1
+        for p, k in self.ids.items():
+            self.ranks[k], self.sizes[k] = self.rank[p], len(p.encode())
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make together, -1 if none."""
+        key = np.where((a < 0) | (b < 0), -1, a * self.base + b)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], -1)
+
+    def _merge(self, symbol: np.ndarray) -> None:
+        """As merged(), for a stretch in each line; the last column is no symbol and stands before the first as well."""
+        n, wide = symbol.shape
+        after = np.tile(np.arange(1, wide + 1), (n, 1))
+        before = after - 2
+        made = np.full((n, wide), -1)
+        made[:, :-1] = self._joined(symbol[:, :-1], symbol[:, 1:])
+        rank, rows = self.ranks[made], np.arange(n)
+        while True:
+            i = rank[rows].argmin(axis=1)
+            live = rank[rows, i] < np.inf
+            rows, i = rows[live], i[live]
+            if not len(rows):
+                return
+            j, h, new = after[rows, i], before[rows, i], made[rows, i]
+            k = after[rows, j]
+            symbol[rows, i], symbol[rows, j], rank[rows, j] = new, _GONE, np.inf
+            after[rows, i], before[rows, k] = k, i
+            made[rows, i], made[rows, h] = self._joined(new, symbol[rows, k]), self._joined(symbol[rows, h], new)
+            rank[rows, i], rank[rows, h] = self.ranks[made[rows, i]], self.ranks[made[rows, h]]
+
+    def learn(self, stretches: list[str]) -> None:
+        """Merges short stretches that are new, many at once."""
+        stretches.sort(key=len)
+        for t in range(0, len(stretches), TOGETHER):
+            some = stretches[t : t + TOGETHER]
+            sizes = np.fromiter(map(len, some), np.int64, len(some))
+            inside = np.arange(int(sizes[-1]) + 1) < sizes[:, None]
+            codes = np.frombuffer("".join(some).encode("utf-32-le"), "<u4")
+            symbol = np.full(inside.shape, _GONE)
+            symbol[inside] = self.of_char[codes]
+            self._merge(symbol)
+            there = symbol != _GONE
+            odd = (there & ((symbol < 0) | (symbol >= len(self.sizes)))).any(axis=1)
+            flat, ends = symbol[there], np.cumsum(there.sum(axis=1)).tolist()
+            ids, lengths, begin = flat.tolist(), self.sizes[np.where((flat < 0) | (flat >= len(self.sizes)), 0, flat)].tolist(), 0
+            for text, end, strange in zip(some, ends, odd.tolist(), strict=True):
+                if strange:
+                    self.known[text] = self.stretch(text)
+                else:
+                    own = tuple(ids[begin:end])
+                    self.known[text] = own, tuple(lengths[begin:end]), " ".join(map(str, own))
+                begin = end
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a stretch: of all neighbours that make a piece together, those of the best score are joined, the
@@ -182,18 +254,24 @@ class PieceModel:
             else:  # bytes of one character: the last stands for it
                 ids += [self.bytes[b] for b in raw]
                 sizes += [0] * (len(raw) - 1) + [len(raw)]
-        found = tuple(ids), tuple(sizes), " ".join(map(str, ids))
-        if len(text) <= LONGEST:
-            if len(self.known) >= CACHE_STRETCHES:
-                self.known.clear()
-            self.known[text] = found
-        return found
-
-    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray, str]:
-        """Ids with the end id, where in the text's bytes each begins and ends, and the ids joined by blanks."""
-        plain, steps, skipped = self.normalise(text)
+        return tuple(ids), tuple(sizes), " ".join(map(str, ids))
+
+    def encode_all(self, texts: list[str]) -> list[tuple[list[int], np.ndarray, np.ndarray, str]]:
+        """For each text its ids with the end id, where in the text's bytes each begins and ends, and the ids joined by blanks."""
+        plain = [self.normalise(text) for text in texts]
+        parted = [self.stretches.findall(p[0]) for p in plain]
+        every = set(chain.from_iterable(parted))
+        new = [s for s in every if s not in self.known]
+        if len(self.known) + len(new) > CACHE_STRETCHES:
+            self.known.clear()
+            new = list(every)
+        self.learn([s for s in new if len(s) <= LONGEST])
+        return [self._told(p, s) for p, s in zip(plain, parted, strict=True)]
+
+    def _told(self, plain: tuple[str, list[Changes], int], parts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, str]:
+        _, steps, skipped = plain
         known, stretch = self.known, self.stretch
-        found = [known.get(s) or stretch(s) for s in self.stretches.findall(plain)]
+        found = [known.get(s) or stretch(s) for s in parts]
         ids = list(chain.from_iterable([f[0] for f in found]))
         bounds = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(np.fromiter(chain.from_iterable([f[1] for f in found]), np.int64, len(ids)), out=bounds[1:])
@@ -201,8 +279,19 @@ class PieceModel:
         for changes in steps[1:]:
             bounds = changes.back(bounds)
         ids.append(self.end)
-        ends = np.concatenate((bounds[1:], bounds[-1:]))
-        return ids, bounds, ends, " ".join([*(f[2] for f in found), str(self.end)])
+        return ids, bounds, np.concatenate((bounds[1:], bounds[-1:])), " ".join([*(f[2] for f in found), str(self.end)])
+
+    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray, str]:
+        return self.encode_all([text])[0]
+
+    def in_groups(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, str]]:
+        """As encode_all, some texts at a time."""
+        begin = size = 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= CHARS or k + 1 == len(texts):
+                yield from self.encode_all(texts[begin : k + 1])
+                begin, size = k + 1, 0
 
 
 def model_path() -> str:
@@ -227,8 +316,7 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id", tex
             coder = held(f"pieces:{model}", lambda: PieceModel(model))
             names = ["n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"] if digest_only else ["n_tokens", "ids", "starts", "ends", "decoded"]
             out: dict[str, list] = {name: [] for name in names}
-            for text in batch.column("text"):
-                ids, starts, ends, printed = coder.encode(text.as_py() or "")
+            for ids, starts, ends, printed in coder.in_groups([text or "" for text in batch.column("text").to_pylist()]):
                 decoded = coder.library.decode(ids)
                 if digest_only:
                     row = len(ids), hashlib.sha256(printed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), zlib.crc32(ends.tobytes(), zlib.crc32(starts.tobytes()))
