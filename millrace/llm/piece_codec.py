@@ -12,8 +12,8 @@ import heapq
 import re
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from millrace.llm.common import held, map_arrow, table
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Stretches that a worker remembers, and the longest of them in characters; stretches merged, and characters encoded, at once.
-CACHE_STRETCHES, LONGEST = 500_000, 64
+CACHE_STRETCHES, LONGEST = 800_000, 64
 TOGETHER, CHARS = 4096, 1 << 20
 #: A symbol that was joined to the one before it, or none.
 _GONE = -2
@@ -130,6 +130,21 @@ class Normaliser:
         return (self.mark + text if head else text), [Changes(new_start, new_end, old_start, old_end), first], skipped
 
 
+#: Letters with which words are told from what stands around them.
+_LETTERS = "A-Za-z\u00c0-\u024f"
+
+
+def _stretches(pieces: Iterable[str], mark: str) -> str:
+    """A pattern of stretches that no piece reaches beyond: marks and what follows up to the next mark; if no piece has one
+    of _LETTERS next to another character than a mark, marks and such letters, or marks and other characters, alone."""
+    if any(mark in p.lstrip(mark) for p in pieces):
+        return "(?s).+"
+    letter = re.compile(f"[{_LETTERS}]").match
+    if any(bool(letter(a)) != bool(letter(b)) for p in pieces for a, b in pairwise(p.lstrip(mark))):
+        return f"{mark}*[^{mark}]+|{mark}+"
+    return f"{mark}*(?:[{_LETTERS}]+|[^{mark}{_LETTERS}]+)|{mark}+"
+
+
 class PieceModel:
     """A byte-pair piece model with bytes for what it doesn't know."""
 
@@ -149,8 +164,7 @@ class PieceModel:
         self.bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == _BYTE}
         self.end = self.library.eos_id()
         mark = self.normalise.mark
-        within = any(mark in p.lstrip(mark) for p in self.ids)  # a piece that goes on after a word: no place to part texts
-        self.stretches = re.compile("(?s).+" if within else f"{mark}*[^{mark}]+|{mark}+")
+        self.stretches = re.compile(_stretches(self.ids, mark))
         self.known: dict[str, tuple[tuple[int, ...], tuple[int, ...], str]] = {}
         self._tables(len(model.pieces))
 
