@@ -222,10 +222,12 @@ def graded(read: DataFrame) -> DataFrame:
         return F.struct(g["cells"].alias("cells"), score.alias("score"), roles.alias("roles"))
 
     found = rows.withColumn("g", F.when(F.col("grid").isNotNull(), bound(bound(cells, columns), measured)))
-    found = found.select("page_id", "as_of_text", "crashed", "grid", "context", "anchor", "within", "g.*")
+    found = found.select("page_id", "as_of_text", "crashed", "grid", "context", "anchor", "last", "g.*")
     good = F.col("score") >= LOW_SCORE
-    page = F.collect_set(F.when(good, F.col("anchor"))).over(Window.partitionBy("page_id"))
-    return found.withColumn("chosen", F.coalesce(good & ~F.arrays_overlap("within", page), F.lit(False))).drop("anchor", "within")
+    # elements lie in each other or apart: what began before and ends after this one's place holds it
+    before = Window.partitionBy("page_id").orderBy("anchor").rangeBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.max(F.when(good, F.col("last"))).over(before) >= F.col("anchor"), F.lit(False))
+    return found.withColumn("chosen", F.coalesce(good & ~held, F.lit(False))).drop("anchor", "last")
 
 
 def extract_bids(pages: DataFrame, ref_date: Column, *, id_col: str = "page_id", html_col: str = "html") -> tuple[DataFrame, DataFrame]:

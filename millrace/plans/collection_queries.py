@@ -23,13 +23,13 @@ def _of(values: list[str], k: str) -> str:
 @query(
     "q53_kept_grid",
     """SELECT l_orderkey AS page_id, count(*) AS n_rows, CAST(sum(CAST(round(l_quantity / 10, 4) AS DECIMAL(18,4))) AS DOUBLE) AS cash, 'SORGHUM' AS commodity
-       FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY l_orderkey HAVING count(*) >= 3""",
+       FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3""",
 )
 def q53_kept_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of alike elements without a table: each line of an order is one of them."""
     span = lambda c: F.concat(F.lit("<span>"), c, F.lit("</span>"))
     line = F.concat(F.lit("<div class='r'>"), span(F.date_format("l_shipdate", "MMMM yyyy")), span(F.format_number(F.col("l_quantity") / 10, 4)), span(F.lit("-0.4500")), F.lit("</div>"))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.collect_list(line), "").alias("rows"), F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.collect_list(line), "").alias("rows"), F.count("*").alias("n"))
     pages = rows.where("n >= 3").select("page_id", F.concat(F.lit("<section><h4>Milo prices</h4><div>"), "rows", F.lit("</div></section>")).alias("html"))
     bids, _ = extract.extract_bids(pages, F.to_date(F.lit("1998-06-15")))
     return bids.groupBy("page_id").agg(F.count("*").alias("n_rows"), F.sum(F.col("cash_price").cast("decimal(18,4)")).cast("double").alias("cash"), F.max("commodity").alias("commodity"))
@@ -241,9 +241,19 @@ def q68_status_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOLD = ["NO_BID_DATA", "HTTP_404", "STALE_ASOF", "SCAN_INTERNAL_ERROR", "DNS_FAIL"]
 
 
+#: What the texts of these codes shall be, said once more, so that a change of them is seen.
+_TEXTS = [
+    ("error", "No cash-bid table was found on {page}."),
+    ("error", "{page} is gone."),
+    ("warn", "{page} says that its bids are some days old."),
+    ("error", "{page} could not be worked on."),
+    ("error", "The domain of {page} does not exist."),
+]
+
+
 @query(
     "q69_flag_texts",
-    f"SELECT p_partkey, {_of([flags.TEXTS[c][0] for c in _TOLD], 'p_partkey')} AS severity, replace({_of([flags.TEXTS[c][1] for c in _TOLD], 'p_partkey')}, '{{page}}', p_name) AS message FROM part",
+    f"SELECT p_partkey, {_of([x for x, _ in _TEXTS], 'p_partkey')} AS severity, replace({_of([x for _, x in _TEXTS], 'p_partkey')}, '{{page}}', p_name) AS message FROM part",
 )
 def q69_flag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", _pick(F.col("p_partkey"), _TOLD).alias("code"))

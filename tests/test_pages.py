@@ -1,5 +1,6 @@
 """Extraction, links and names over small pages of our own."""
 
+import time
 from datetime import date
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import links
 from millrace.operators.extract import extract_bids, with_hashes
-from millrace.sources.html_grids import html_grids, html_links, html_texts, parsed
+from millrace.sources import html_grids as html_grids_module
+from millrace.sources.html_grids import _page, html_grids, html_links, html_texts, parsed
 
 TABLE = """<html><head><title>Coop bids</title></head><body><p>Cash bids for Monday, March 02, 2026</p><h3>Soybeans</h3><table>
 <tr><th>Delivery</th><th>Cash</th><th>Basis</th><th>Futures</th></tr>
@@ -146,3 +148,40 @@ def test_names(spark):
     ]
     got = links.resolve_names(spark.createDataFrame(rows, "name string, nth int, url string, title string, snippet string")).collect()
     assert [(r.domain, r.rank, r.ambiguous) for r in got] == [("prairie-coop.test", 1, False)] and got[0].score >= 9
+
+
+def _timed(html):
+    began = time.perf_counter()
+    grids = _page(html)[1]
+    return time.perf_counter() - began, grids
+
+
+def test_pages_of_very_many_tables_take_time_by_their_size():
+    for html in (
+        "<table><tr><td>x" * 1000, "<table><tr><td>x " * 1000 + "</table>" * 1000, "<table><tr>" + "<td colspan=1000>" + "word " * 1000 * 20 + "<td colspan=1000>y" * 2000,
+        "<h2>Corn</h2><table><tr><th>a<th>b<tr><td>1<td>2</table>" * 1000,
+    ):
+        took, grids = _timed(html)
+        assert took < 2 and sum(len(r) for g in grids for r in g["rows"]) <= html_grids_module.MAX_CELLS
+    assert len(grids) == 1000 and all(g["context"] == "Corn" and g["rows"] == [["1", "2"]] for g in grids)
+
+
+def test_tables_in_tables(monkeypatch):
+    """A layout table has the lines of what it holds, unless that would be too much: then each table has its own."""
+    inner = "<table><tr><th>Delivery</th><th>Cash</th></tr><tr><td>Mar</td><td>4.10</td></tr></table>"
+    html = f"<table><tr><td>left</td><td>right {inner}</td></tr><tr><td colspan=2>1 below</td></tr></table>"
+    outer, own = _page(html)[1]
+    assert outer["header"] == ["left", "right Delivery Cash Mar 4.10", "Delivery", "Cash", "Mar", "4.10"]
+    assert outer["rows"] == [["Delivery", "Cash"], ["Mar", "4.10"], ["1 below", "1 below"]]
+    assert (own["header"], own["rows"]) == (["Delivery", "Cash"], [["Mar", "4.10"]]) and outer["anchor"] < own["anchor"] <= outer["last"]
+    for name, most in (("MAX_CELLS", 5), ("MAX_CHARS", 20)):
+        with monkeypatch.context() as m:
+            m.setattr(html_grids_module, name, most)
+            outer, own = _page(html)[1]
+        assert (outer["header"], outer["rows"]) == (["left", "right"], [["1 below"]]) and (own["header"], own["rows"]) == (["Delivery", "Cash"], [["Mar", "4.10"]])
+
+
+def test_groups_that_hold_too_much_are_the_page_s_outcome(spark, monkeypatch):
+    monkeypatch.setattr(html_grids_module, "MAX_CHARS", 200)
+    with pytest.raises(ValueError):
+        _page("<div>" + "<p><b>one</b><b>two</b><b>three</b></p>" * 30 + "</div>")
