@@ -234,7 +234,8 @@ def extract_bids(pages: DataFrame, ref_date: Column, *, id_col: str = "page_id",
     """(bids, page results) of pages. `ref_date` stands in for a page's date where the page doesn't say one.
 
     Bids keep page_id, grid and row. Page results: page_id, as_of_text, as_of_date, score, n_rows, confidence, crashed, flags
-    (SCAN_INTERNAL_ERROR, NO_BID_DATA, PARTIAL_COLUMNS or LOW_CONFIDENCE_EXTRACTION).
+    (SCAN_INTERNAL_ERROR, NO_BID_DATA, PARTIAL_COLUMNS or LOW_CONFIDENCE_EXTRACTION), roles (the columns' roles in its best
+    grid, as JSON).
     """
     return bids_of(html_read(pages, id_col=id_col, html_col=html_col), ref_date)
 
@@ -261,10 +262,11 @@ def bids_of(read: DataFrame, ref_date: Column) -> tuple[DataFrame, DataFrame]:
         .otherwise(no_notes())
     )
     of_page = grids.groupBy("page_id").agg(
-        F.first("as_of_text").alias("as_of_text"), F.max("score").alias("score"), F.bool_or("chosen").alias("chosen"), F.first("crashed").alias("crashed")
-    )
+        F.first("as_of_text").alias("as_of_text"), F.max("score").alias("score"), F.bool_or("chosen").alias("chosen"), F.first("crashed").alias("crashed"),
+        F.to_json(F.max_by(F.when(F.col("chosen"), F.col("roles")), F.when(F.col("chosen"), F.struct("score", -F.col("grid"))))).alias("roles"),
+    )
     results = of_page.join(found, "page_id", "left").select(
         "page_id", "as_of_text", dates.as_of(F.col("as_of_text")).alias("as_of_date"), "score", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "crashed", flag.alias("flags"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "crashed", flag.alias("flags"), "roles",
     )
     return bids.drop("context", "commodity_ctx", "ref_date", "as_of_text"), results

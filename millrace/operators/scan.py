@@ -1,4 +1,4 @@
-"""One scan: fetched pages become bids, page scans and flags, appended to the store. All pages are one plan."""
+"""One scan: fetched pages become bids, page scans, flags and links of a run in the store. All pages are one plan."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import hashing
-from millrace.functions.text import needs_render
+from millrace.functions.text import needs_render, vendor
 from millrace.operators import quality
 from millrace.operators.extract import ACCEPT_SCORE, bids_of, with_hashes
 from millrace.operators.flags import described
-from millrace.operators.store import Store, newest
+from millrace.operators.links import discover
+from millrace.operators.store import Run, Store, newest
 from millrace.sources.fetch import status_flag
 from millrace.sources.html_grids import html_read
 
@@ -42,7 +43,7 @@ def read_pages(pages: DataFrame, sites: DataFrame, run_id: int, today: Column, r
     known = pages.join(sites, "site_id").withColumn("page_scan_id", F.lit(run_id).cast("long") * (1 << 32) + F.col("site_id"))
     known = known.withColumn("fetch_flag", F.coalesce("error", status_flag(F.col("status"))))
     readable = known.where("fetch_flag IS NULL")
-    read, rendered = _rendered(readable, html_read(readable, id_col="site_id").persist(), today, renderer)
+    read, rendered, again = _rendered(readable, html_read(readable, id_col="site_id").persist(), today, renderer)
     bids, results = bids_of(read, today)
     # a page that could not be rendered has that flag and not the one of what its shell held
     results = results.join(rendered.select(F.col("site_id").alias("page_id"), "render_flag"), "page_id", "left")
@@ -53,7 +54,7 @@ def read_pages(pages: DataFrame, sites: DataFrame, run_id: int, today: Column, r
     bids = bids.withColumns({"bid_id": nth, "run_id": F.lit(run_id).cast("long"), "page_scan_id": F.lit(run_id).cast("long") * (1 << 32) + F.col("site_id")})
     bids = bids.drop("page_id", "grid", "row", "score", "as_of_date").persist()  # written, signed and compared below
     signed = bids.groupBy("site_id").agg(hashing.content_signature(F.col("row_hash"), F.col("value_hash")).alias("content_signature"))
-    read = known.join(results.withColumnRenamed("page_id", "site_id"), "site_id", "left").join(signed, "site_id", "left")
+    read = known.join(results.withColumnRenamed("page_id", "site_id"), "site_id", "left").join(signed, "site_id", "left").join(again, "site_id", "left")
     outcome = (
         F.when(F.col("fetch_flag") == "ROBOTS_BLOCKED", "robots_blocked").when(F.col("fetch_flag").isNotNull(), "fetch_failed")
         .when(F.col("crashed"), "crashed").when(F.coalesce("n_rows", F.lit(0)) == 0, "no_data").when(F.col("score") < ACCEPT_SCORE, "low_confidence").otherwise("ok")
@@ -64,24 +65,26 @@ def read_pages(pages: DataFrame, sites: DataFrame, run_id: int, today: Column, r
     scans = read.select(
         F.lit(run_id).cast("long").alias("run_id"), "page_scan_id", "site_id", "company_id", "fetched_at", F.col("status").alias("http_status"), outcome.alias("outcome"),
         "as_of_text", "as_of_date", F.coalesce("n_rows", F.lit(0)).cast("long").alias("rows_extracted"), F.col("confidence").alias("extraction_confidence"), "content_signature",
+        F.when(F.col("fetch_flag").isNull(), F.coalesce("tier", F.lit(1))).alias("tier"), F.when(F.col("fetch_flag").isNull(), F.nullif(vendor(F.col("html")), F.lit("unknown"))).alias("vendor"), "roles",
     )
     flags = flags.unionByName(_coded(rendered.select("site_id", F.col("render_flag").alias("code")), "fetch"))
     return Scan(bids, scans, flags, [read, rendered, bids])
 
 
-def _rendered(pages: DataFrame, read: DataFrame, today: Column, renderer: Renderer | None) -> tuple[DataFrame, DataFrame]:
-    """What was read of pages, with those that need a browser read again from what `renderer` gives; and (site_id,
-    render_flag) of those that it failed for, or all that need it if there is none. Their first reading stays."""
+def _rendered(pages: DataFrame, read: DataFrame, today: Column, renderer: Renderer | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What was read of pages, with those that need a browser read again from what `renderer` gives; (site_id, render_flag)
+    of those that it failed for, or all that need it if there is none: their first reading stays; and (site_id, tier) of
+    those that were read again."""
     _, results = bids_of(read, today)
     need = pages.join(results.select(F.col("page_id").alias("site_id"), "score", "n_rows"), "site_id").where(needs_render(F.col("html"), F.coalesce("score", F.lit(0.0)), F.col("n_rows")))
     need = need.drop("score", "n_rows").persist()
     if renderer is None:
-        return read, need.select("site_id", F.lit("PLAYWRIGHT_MISSING").alias("render_flag")).persist()
+        return read, need.select("site_id", F.lit("PLAYWRIGHT_MISSING").alias("render_flag")).persist(), need.where("false").select("site_id", F.lit(2).alias("tier"))
     done = renderer(need).select("site_id", F.col("html").alias("rendered"), "error").persist()
     failed = F.coalesce("error", F.when(F.col("rendered").isNull(), "RENDER_TIMEOUT"))
     again = html_read(done.where(failed.isNull()), id_col="site_id", html_col="rendered")
     both = read.join(again.select("page_id"), "page_id", "left_anti").unionByName(again).persist()
-    return both, done.where(failed.isNotNull()).select("site_id", failed.alias("render_flag"))
+    return both, done.where(failed.isNotNull()).select("site_id", failed.alias("render_flag")), done.where(failed.isNull()).select("site_id", F.lit(2).alias("tier"))
 
 
 def _coded(flags: DataFrame, kind: str) -> DataFrame:
@@ -106,33 +109,52 @@ def history_flags(scan: Scan, past: DataFrame | None, today: Column, now: Column
     return _coded(dated, "stale").unionByName(_coded(repeated, "stale")).unionByName(_coded(shared, "overlap"))
 
 
-def scan(store: Store, pages: DataFrame, sites: DataFrame, run_id: int, today: Column, now: Column, thresholds: dict | None = None, *, first: bool = False,
-         renderer: Renderer | None = None) -> DataFrame:
-    """Reads pages, appends bids, page_scans and flags to the store, and returns the run's totals and status.
+def write_part(run: Run, pages: DataFrame, sites: DataFrame, today: Column, now: Column, thresholds: dict | None = None, *, renderer: Renderer | None = None) -> DataFrame:
+    """Puts what is read of pages into the present part of the run, and gives its page scans with n_flags.
 
-    `first`: the store has no page scans yet.
+    Pages are stored first and read from there, so that each is fetched once whatever is made of it. Overlaps are looked
+    for among the pages of the part: keep a company's sites together.
     """
+    store, run_id = run.store, run.run_id
+    pages = run.put("fetched", pages).drop("run_id")
     found = read_pages(pages, sites, run_id, today, renderer)
-    store.append("bids", found.bids, by="run_id")
-    store.append("scanned", found.page_scans.drop("n_flags"), by="run_id")
-    of_run = lambda name: store.table(name).where(F.col("run_id") == run_id)
+    bids, scans = run.put("bids", found.bids), run.put("page_scans", found.page_scans)
     # from here on what was stored is read: the plan of parsing and typing ends there
-    found = Scan(of_run("bids"), of_run("scanned"), found.flags, found.kept)
-    told = found.flags.unionByName(history_flags(found, None if first else store.table("page_scans"), today, now, thresholds or {}))
+    found = Scan(bids, scans, found.flags, found.kept)
+    past = store.table("page_scans").where(F.col("run_id") != run_id)
+    told = found.flags.unionByName(history_flags(found, past, today, now, thresholds or {}))
     page = F.coalesce(F.nullif("label", F.lit("")), F.col("url"))
     told = described(told.join(sites.select("site_id", "company_id", "label", "url"), "site_id"), page)
     nth = F.row_number().over(Window.partitionBy("site_id").orderBy("kind", "code")).cast("long")
-    told = told.select(F.lit(run_id).cast("long").alias("run_id"), "site_id", "company_id", nth.alias("nth"), "code", "severity", "message", "suggestion", F.lit(False).alias("resolved"))
-    store.append("flags", told, by="run_id")
-    store.append("page_scans", found.page_scans, by="run_id")
+    told = told.select("site_id", "company_id", nth.alias("nth"), "code", "severity", "message", "suggestion", F.lit(False).alias("resolved"))
+    flags = run.put("flags", told).groupBy("site_id").agg(F.count("*").alias("n_flags"))
+    run.put("links", _links(pages, scans, sites, now))
     for df in found.kept:
         df.unpersist()
-    flags = store.table("flags").where(F.col("run_id") == run_id).groupBy("site_id").agg(F.count("*").alias("n_flags"))
-    scans = store.table("page_scans").where(F.col("run_id") == run_id).join(flags, "site_id", "left").withColumn("n_flags", F.coalesce("n_flags", F.lit(0)))
-    return quality.run_status(scans)
+    return scans.join(flags, "site_id", "left").withColumn("n_flags", F.coalesce("n_flags", F.lit(0)))
 
 
-def site_memory(page_scans: DataFrame) -> DataFrame:
+def _links(pages: DataFrame, scans: DataFrame, sites: DataFrame, now: Column) -> DataFrame:
+    """Links to other bid pages on those that had bids: site_id, url, anchor_text, score, at."""
+    good = pages.join(scans.where("rows_extracted > 0").select("site_id"), "site_id", "left_semi").join(sites.select("site_id", "url", "company_id"), "site_id")
+    known = good.select(F.col("site_id").alias("page_id"), "company_id").join(sites.select("company_id", F.col("url").alias("known_url")), "company_id").drop("company_id")
+    found = discover(good.select(F.col("site_id").alias("page_id"), "url", "html"), known)
+    return found.select(F.col("page_id").alias("site_id"), "url", "anchor_text", F.col("score").cast("double").alias("score"), now.alias("at"))
+
+
+def scan(store: Store, pages: DataFrame, sites: DataFrame, run_id: int, today: Column, now: Column, thresholds: dict | None = None, *, renderer: Renderer | None = None) -> DataFrame:
+    """Reads pages, writes the run's bids, page_scans, flags and links, and returns its totals and status.
+
+    A run of the same number that is in the store is replaced when all of this one is written, and stays if it isn't.
+    """
+    run = store.begin(run_id)
+    status = quality.run_status(write_part(run, pages, sites, today, now, thresholds, renderer=renderer))
+    done = status.first()
+    run.commit(done.status if done else "complete")
+    return status
+
+
+def last_successes(page_scans: DataFrame) -> DataFrame:
     """What is known of each site from its newest scan with bids: when it was, and how many there were so far."""
     good = page_scans.where("rows_extracted > 0")
     last = newest(good, ["site_id"], [F.desc("page_scan_id")]).select("site_id", F.col("fetched_at").alias("last_success_at"), "rows_extracted")

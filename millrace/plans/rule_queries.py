@@ -36,7 +36,7 @@ def q44_site_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("site_id"), F.col("o_orderkey").alias("page_scan_id"), F.col("o_orderdate").alias("fetched_at"), (F.col("o_orderkey") % 4).alias("rows_extracted")
     )
-    found = scan.site_memory(scans)
+    found = scan.last_successes(scans)
     return found.select("site_id", F.col("last_success_at").cast("string").alias("last_success_at"), "rows_extracted", "successes")
 
 

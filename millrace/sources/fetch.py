@@ -18,14 +18,14 @@ from urllib.parse import urlparse
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RETRIES, BACKOFF = 2, (5.0, 15.0)
 RETRIED = (500, 502, 503, 504)
 LONGEST_WAIT = 120.0
-ROBOTS_CHARS = 100_000
+ROBOTS_CHARS, ROBOTS_HOURS = 100_000, 24
 
 SCHEMA = "url string, status int, html string, error string"
 
@@ -63,6 +63,34 @@ def allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     return urls.withColumn("domain", _domain(F.col("url"))).join(robots, "domain", "left").where(judge("url", "body")).select("url")
 
 
+def robots_as_of(asked: DataFrame, cache: DataFrame, hours: int = ROBOTS_HOURS) -> DataFrame:
+    """For each (domain, at) that is asked for: body, the newest text in cache(domain, body, fetched_at) that is not later than
+    that and less than `hours` old, and known, whether there is one (a domain may have none, which is known as well).
+
+    An as-of join by one window: texts and times of a domain stand in one order, and each time takes the last text before
+    it. As no text lasts longer, a domain's order is cut into stretches of `hours`, and a text stands in its own and the
+    next one: neither a domain that most pages are of nor a long history meets in one task.
+    """
+    width = hours * 3600
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    times = asked.select("domain", "at").distinct().withColumn("stretch", F.floor(seconds(F.col("at")) / width))
+    own = F.floor(seconds(F.col("fetched_at")) / width)
+    texts = cache.select("domain", F.col("fetched_at").alias("at"), F.explode(F.array(own, own + 1)).alias("stretch"), F.struct("fetched_at", "body").alias("text"))
+    both = times.withColumn("text", F.lit(None).cast(texts.schema["text"].dataType)).unionByName(texts)
+    order = Window.partitionBy("domain", "stretch").orderBy("at", F.col("text").isNull(), "text.body").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("last", F.last("text", ignorenulls=True).over(order)).where("text IS NULL")
+    fresh = F.coalesce(seconds(F.col("at")) - seconds(F.col("last.fetched_at")) < width, F.lit(False))
+    return found.select("domain", "at", F.when(fresh, F.col("last.body")).alias("body"), fresh.alias("known"))
+
+
+def fetch_robots(domains: DataFrame, transport: str, at: Column, **options: object) -> DataFrame:
+    """domain, body, fetched_at of the robots texts of domains(domain, scheme): null where there is none or it can't be read."""
+    urls = domains.select("domain", F.concat(F.coalesce("scheme", F.lit("https")), F.lit("://"), "domain", F.lit("/robots.txt")).alias("url"))
+    got = fetch_pages(urls.select("url"), transport, **options)
+    body = F.when(F.col("status") == 200, F.substring("html", 1, ROBOTS_CHARS))
+    return urls.join(got, "url").select("domain", body.alias("body"), at.alias("fetched_at"))
+
+
 def one(get: Callable[[str], tuple], url: str, pauses: list[float] | tuple[float, ...] = BACKOFF) -> tuple:
     """(url, status, html, error) of one page. Faults of the server are tried again after a pause, and 429 after what it
     asks for, if the transport gives that as a third value (seconds)."""
