@@ -44,31 +44,32 @@ def report_rows(bids: DataFrame, effective: dict, today: Column) -> DataFrame:
     group_by = effective.get("group_by", "commodity")
     keys = [*order_keys(group_by, effective.get("sort_by", "delivery_start")), F.col("bid_id")]
     group = {"commodity": "commodity", "location": "site_label", "company": "company_name"}.get(group_by)
-    return numbered(rows, keys, group, lead=0 if group else 1)
+    return numbered(rows, keys, group)
 
 
-def numbered(rows: DataFrame, keys: list[Column], group: str | None, *, lead: int = 0) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[Column], group: str | None) -> DataFrame:
     """Adds place (from 1, in the order of `keys`), breaks (the column `group` differs from the row before) and shaded.
 
-    Rows are dealt by the key number `lead`, which is never null, and numbered there; where each of its values begins
-    follows from their counts. So a task has the rows of a value, and only the values, a row for each, meet in one.
+    Rows are dealt by ranges of all keys, which spreads a group or a sort value that most rows have over all tasks, and
+    sorted there. A partition's rows and its last name, a row each, tell where the next one's places begin and what stood
+    above its first row. The ranges are kept until the session's cache is cleared: they come from a sample, and places hold
+    for one and the same dealing only (a lost block is dealt by the same ranges).
     """
-    rows = rows.withColumns({f"__k{i}": k for i, k in enumerate(keys)})
-    order = [F.col(f"__k{i}").asc_nulls_first() for i in range(lead, len(keys))]
+    order = [F.col(f"__k{i}").asc_nulls_first() for i in range(len(keys))]
+    dealt = rows.withColumns({f"__k{i}": k for i, k in enumerate(keys)}).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = dealt.drop(*(f"__k{i}" for i in range(len(keys)))).withColumn("__id", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("__part", F.shiftright("__id", 33)).persist()  # the id's upper bits are the partition, the lower ones the row
     name = F.col(group) if group else F.lit(None).cast("string")
-    value = f"__k{lead}"
-    here = Window.partitionBy(value).orderBy(*order)
-    before = Window.orderBy(F.col(value).asc_nulls_first())
-    last = F.max_by(F.struct(name.alias("name")), F.struct(*(f"__k{i}" for i in range(lead, len(keys)))))
-    values = rows.groupBy(value).agg(F.count("*").alias("__n"), last.alias("__last"))
-    values = values.withColumns({"__before": F.sum("__n").over(before) - F.col("__n"), "__name": F.lag("__last").over(before)["name"]})
-    rows = rows.withColumns({"__nth": F.row_number().over(here), "__above": F.lag(name).over(here)})
-    rows = rows.join(values.select(value, "__before", "__name"), value)
-    place = (F.col("__before") + F.col("__nth")).cast("int")
-    above = F.when(F.col("__nth") > 1, F.col("__above")).otherwise(F.col("__name"))
-    breaks = ~name.eqNullSafe(above) & (place > 1) if group else F.lit(False)
-    out = rows.withColumns({"place": place, "breaks": breaks})
-    return out.withColumn("shaded", F.col("place") % 2 == 0).drop("__nth", "__above", "__before", "__name", *(f"__k{i}" for i in range(len(keys))))
+    parts = dealt.groupBy("__part").agg(F.count("*").alias("__n"), F.max_by(F.struct(name.alias("name")), "__id").alias("__last"))
+    before = Window.orderBy("__part")  # over a row for each partition
+    parts = parts.select("__part", (F.sum("__n").over(before) - F.col("__n")).alias("__before"), F.lag("__last").over(before)["name"].alias("__name"))
+    above = F.lag(F.struct(name.alias("name"))).over(Window.partitionBy("__part").orderBy("__id"))
+    out = dealt.withColumn("__above", above).join(F.broadcast(parts), "__part")
+    place = (F.col("__before") + F.col("__id") - F.shiftleft("__part", 33) + 1).cast("int")
+    last = F.when(F.col("__above").isNotNull(), F.col("__above.name")).otherwise(F.col("__name"))
+    breaks = ~name.eqNullSafe(last) & (place > 1) if group else F.lit(False)
+    out = out.withColumns({"place": place, "breaks": breaks})
+    return out.withColumn("shaded", F.col("place") % 2 == 0).drop("__id", "__part", "__above", "__before", "__name")
 
 
 def column_keys(effective: dict, *, company: bool, location: bool) -> list[str]:
