@@ -57,12 +57,13 @@ def build_reports(bids: DataFrame, health: DataFrame, doc: dict, folder: Path, r
     base = {"date": f"{now:%Y-%m-%d}", "time": f"{now:%H%M}", "scan_id": str(run_id)}
     when = f"Scanned {now:%b %d, %Y %I:%M %p}"
     all_rows = report.report_rows(bids, common, today).persist()  # several sheets read it
+    own = bids.sparkSession.createDataFrame(S.overrides(doc), S.OVERRIDES)
+    of_all = report.company_rows(bids, own, common, today).persist()  # the rows of all companies' sheets, by one plan
     companies = [(r.company_id, r.company_name) for r in bids.groupBy("company_id", "company_name").count().orderBy("company_name", "company_id").collect()]
     written: list[Path] = []
 
     def of_company(company: int) -> tuple[DataFrame, dict]:
-        own = S.effective(doc, company)
-        return report.report_rows(bids.where(F.col("company_id") == company), own, today), own
+        return of_all.where(F.col("company_id") == company), S.effective(doc, company)
 
     def write(name: str, sheets: list[Sheet], **tokens: str) -> None:
         path = free_path(folder, file_name(doc["output"]["filename_patterns"][name], **base, **tokens))
@@ -106,4 +107,5 @@ def build_reports(bids: DataFrame, health: DataFrame, doc: dict, folder: Path, r
     if doc["output"]["archive"]["enabled"]:
         archive_old(folder, doc["output"]["archive"]["keep_latest"], f"{now:%Y-%m}")
     all_rows.unpersist()
+    of_all.unpersist()
     return written

@@ -99,16 +99,28 @@ def probe(pages: DataFrame) -> DataFrame:
     )
 
 
-def resolve_names(results: DataFrame) -> DataFrame:
+def on_list(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """rows(domain, ..) with `listed`: whether the domain, or one that it is part of, is among listed(domain).
+
+    Each distinct domain stands under its suffixes, one for each label, and meets the list by equality, so that a list of
+    any length costs a join.
+    """
+    labels = F.split("domain", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parts = rows.select("domain").where("domain IS NOT NULL").distinct().select("domain", F.explode(suffixes).alias("suffix"))
+    hit = parts.join(listed.select(F.lower("domain").alias("suffix")), "suffix", "left_semi").select("domain").distinct().withColumn("hit", F.lit(True))
+    return rows.join(hit, "domain", "left").withColumn("listed", F.coalesce("hit", F.lit(False))).drop("hit")
+
+
+def resolve_names(results: DataFrame, directories: DataFrame | None = None) -> DataFrame:
     """Candidates for a company's site from search results(name, nth, url, title, snippet): the best five with points, one
-    for each domain; ambiguous if the best has less than three."""
+    for each domain; ambiguous if the best has less than three. directories(domain): sites that are no company's own."""
     domain = T.registered_domain(T.host(F.col("url")), strip_letters=False)
-    rows = results.where("nth <= 10").withColumn("domain", domain)
-    listed = F.lit(False)
-    for d in DIRECTORY_DOMAINS:
-        listed = listed | (F.col("domain") == d) | F.col("domain").endswith("." + d)
+    if directories is None:
+        directories = results.sparkSession.createDataFrame([(d,) for d in DIRECTORY_DOMAINS], "domain string")
+    rows = on_list(results.where("nth <= 10").withColumn("domain", domain), directories)
     words = F.regexp_replace(F.regexp_replace("domain", r"\.[^.]*$", ""), "[^a-z0-9]+", " ")
-    rows = rows.withColumns({"listed": listed, "alike": token_set_udf(words, F.lower("name")), "titled": partial_udf(F.lower("name"), F.lower("title"))})
+    rows = rows.withColumns({"alike": token_set_udf(words, F.lower("name")), "titled": partial_udf(F.lower("name"), F.lower("title"))})
     bid = F.regexp_like(F.concat_ws("\n", "title", "snippet"), F.lit(r"(?i)cash\s*bids?|grain\s*prices?|cash\s*grain"))
     straight = contains_any(T.path(F.col("url")), ["cashbid", "cash-bid", "bids", "grain"])
     score = (

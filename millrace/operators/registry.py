@@ -88,3 +88,32 @@ def site_memory(scans: DataFrame, repointed: DataFrame) -> DataFrame:
 def history(bids: DataFrame, scans: DataFrame, *, key: list[str], order: list[Column], n: int = 30) -> DataFrame:
     """The last n values of each key with the date of the page scan that they come from."""
     return newest(bids, key, order, n).join(scans.select("page_scan_id", "fetched_at", F.col("as_of_date").alias("page_as_of")), "page_scan_id")
+
+
+def gone(log: DataFrame, key: str) -> DataFrame:
+    """When each key was last deleted: (key, gone_at) of a log(key, at, deleted). What is written later starts afresh."""
+    return log.where("deleted").groupBy(key).agg(F.max("at").alias("gone_at"))
+
+
+def gone_with(parents: DataFrame, parent: str, children: DataFrame, child: str, own: DataFrame | None = None) -> DataFrame:
+    """Deletions spread from parents(parent, gone_at) to their children(child, parent): (child, gone_at), the later of both
+    where a child also has one of its own."""
+    spread = children.select(child, parent).distinct().join(parents, parent).select(child, "gone_at")
+    every = spread if own is None else spread.unionByName(own.select(child, "gone_at"))
+    return every.groupBy(child).agg(F.max("gone_at").alias("gone_at"))
+
+
+def remaining(rows: DataFrame, gone: DataFrame, key: str, at: str = "at") -> DataFrame:
+    """Rows that were written after their key was last deleted, or whose key never was; rows without a key stay."""
+    return rows.join(gone, key, "left").where(F.coalesce(F.col(at) > F.col("gone_at"), F.lit(True))).drop("gone_at")
+
+
+def cascade(companies: DataFrame, sites: DataFrame, of_sites: dict[str, DataFrame], *, at: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """What deletions leave: companies(company_id, at, deleted) and sites(site_id, company_id, at, deleted) are logs of writes
+    and deletions, of_sites are tables with a site_id and a time (`at`, or as the argument names it), such as scans, bids,
+    flags and links. Deleting a company deletes its sites, and deleting a site what hangs on it, as far as it was written
+    before; a company or site that is written again is a new one without a past."""
+    of_company = gone(companies, "company_id")
+    of_site = gone_with(of_company, "company_id", sites, "site_id", gone(sites, "site_id"))
+    left = {"companies": remaining(companies.where("NOT deleted"), of_company, "company_id"), "sites": remaining(sites.where("NOT deleted"), of_site, "site_id")}
+    return left | {name: remaining(rows, of_site, "site_id", (at or {}).get(name, "at")) for name, rows in of_sites.items()}

@@ -47,6 +47,38 @@ def report_rows(bids: DataFrame, effective: dict, today: Column) -> DataFrame:
     return numbered(rows, keys, group)
 
 
+def company_rows(bids: DataFrame, own: DataFrame, common: dict, today: Column) -> DataFrame:
+    """As report_rows, for the sheets of all companies in one plan: place, breaks and shaded are those within a company.
+
+    own(company_id, commodities, locations, horizon_months, group_by, sort_by): what holds for companies that have settings
+    of their own (see settings.overrides); `common` holds for others. What rows are kept and sorted by is chosen row by row.
+    """
+    of = ("commodities", "locations", "horizon_months", "group_by", "sort_by")
+    said = {
+        "commodities": F.array(*map(F.lit, common.get("commodities") or [])).cast("array<string>"), "locations": F.array(*map(F.lit, common.get("locations") or [])).cast("array<string>"),
+        "horizon_months": F.lit(int(common.get("horizon_months", 0))), "group_by": F.lit(common.get("group_by", "commodity")), "sort_by": F.lit(common.get("sort_by", "delivery_start")),
+    }
+    theirs = own.select(F.col("company_id").cast("string").alias("__company"), F.struct(*of).alias("__own"))
+    rows = bids.withColumn("__company", F.coalesce(F.col("company_id").cast("string"), F.lit(""))).join(theirs, "__company", "left")
+    rows = rows.withColumn("__s", F.struct(*(F.when(F.col("__own").isNotNull(), F.col("__own")[k]).otherwise(said[k]).alias(k) for k in of)))
+    s = F.col("__s")
+    within = lambda chosen, value: (F.size(chosen) == 0) | F.array_contains(chosen, value)
+    rows = rows.where(within(s["commodities"], F.coalesce("commodity", F.lit(""))) & within(s["locations"], F.coalesce("site_label", F.lit(""))))
+    rows = rows.where((s["horizon_months"] == 0) | F.col("delivery_start").isNull() | (F.col("delivery_start") <= F.date_add(today, s["horizon_months"] * 31)))
+    name = F.when(s["group_by"] == "commodity", F.col("commodity")).when(s["group_by"] == "location", F.col("site_label")).when(s["group_by"] == "company", F.col("company_name"))
+    filled = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("zzz"))
+    by = lambda *kinds: s["sort_by"].isin(*kinds)  # noqa: E731  keys of other kinds are null in all rows of a company
+    keys = [
+        F.col("__company"), F.when(s["group_by"] != "none", filled(name)), F.when(by("commodity"), filled(F.col("commodity"))).when(by("location"), filled(F.col("site_label"))),
+        F.when(by("cash_desc"), F.when(F.coalesce("cash_price", F.lit(0.0)) == 0, 999.0).otherwise(-F.col("cash_price"))),
+        F.when(by("delivery_start"), F.coalesce("delivery_start", F.to_date(F.lit("2100-01-01")))), *(F.col(c) for c in ("company_name", "commodity", "delivery_start", "bid_id")),
+    ]
+    placed = numbered(rows.withColumn("__name", F.struct("__company", name.alias("name"))).drop("__own"), keys, "__name")
+    first = placed.groupBy("__company").agg((F.min("place") - 1).alias("__first"))
+    out = placed.join(first, "__company").withColumn("place", F.col("place") - F.col("__first"))
+    return out.withColumns({"breaks": F.col("breaks") & (F.col("place") > 1), "shaded": F.col("place") % 2 == 0}).drop("__company", "__first", "__name", "__s")
+
+
 def numbered(rows: DataFrame, keys: list[Column], group: str | None) -> DataFrame:
     """Adds place (from 1, in the order of `keys`), breaks (the column `group` differs from the row before) and shaded.
 
@@ -60,16 +92,17 @@ def numbered(rows: DataFrame, keys: list[Column], group: str | None) -> DataFram
     dealt = dealt.drop(*(f"__k{i}" for i in range(len(keys)))).withColumn("__id", F.monotonically_increasing_id())
     dealt = dealt.withColumn("__part", F.shiftright("__id", 33)).persist()  # the id's upper bits are the partition, the lower ones the row
     name = F.col(group) if group else F.lit(None).cast("string")
-    parts = dealt.groupBy("__part").agg(F.count("*").alias("__n"), F.max_by(F.struct(name.alias("name")), "__id").alias("__last"))
+    said = lambda: F.struct(name.alias("name"))
+    parts = dealt.groupBy("__part").agg(F.count("*").alias("__n"), F.max_by(said(), "__id").alias("__last"))
     before = Window.orderBy("__part")  # over a row for each partition
-    parts = parts.select("__part", (F.sum("__n").over(before) - F.col("__n")).alias("__before"), F.lag("__last").over(before)["name"].alias("__name"))
-    above = F.lag(F.struct(name.alias("name"))).over(Window.partitionBy("__part").orderBy("__id"))
+    parts = parts.select("__part", (F.sum("__n").over(before) - F.col("__n")).alias("__before"), F.lag("__last").over(before)["name"].alias("__over"))
+    above = F.lag(said()).over(Window.partitionBy("__part").orderBy("__id"))
     out = dealt.withColumn("__above", above).join(F.broadcast(parts), "__part")
     place = (F.col("__before") + F.col("__id") - F.shiftleft("__part", 33) + 1).cast("int")
-    last = F.when(F.col("__above").isNotNull(), F.col("__above.name")).otherwise(F.col("__name"))
+    last = F.when(F.col("__above").isNotNull(), F.col("__above.name")).otherwise(F.col("__over"))
     breaks = ~name.eqNullSafe(last) & (place > 1) if group else F.lit(False)
     out = out.withColumns({"place": place, "breaks": breaks})
-    return out.withColumn("shaded", F.col("place") % 2 == 0).drop("__id", "__part", "__above", "__before", "__name")
+    return out.withColumn("shaded", F.col("place") % 2 == 0).drop("__id", "__part", "__above", "__before", "__over")
 
 
 def column_keys(effective: dict, *, company: bool, location: bool) -> list[str]:

@@ -173,3 +173,12 @@ def effective(doc: dict, company: int | str | None = None) -> dict:
     for key, value in own.items():
         out[key] = merged(out.get(key, {}), value) if key in ("decimals", "columns") else copy.deepcopy(value)
     return out
+
+
+def overrides(doc: dict) -> list[tuple]:
+    """Rows (company_id, commodities, locations, horizon_months, group_by, sort_by) of the companies with settings of their own."""
+    found = {company: effective(doc, company) for company in doc.get("company_overrides", {})}
+    return [(str(c), x["commodities"], x["locations"], int(x["horizon_months"]), x["group_by"], x["sort_by"]) for c, x in found.items()]
+
+
+OVERRIDES = "company_id string, commodities array<string>, locations array<string>, horizon_months int, group_by string, sort_by string"

@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import quality, report, store
+from millrace.operators import aliases, links, quality, registry, report, store
 from millrace.plans import catalog
 from millrace.streaming import bids as stream
 
@@ -166,3 +166,48 @@ def test_places_by_group_and_without(spark):
         want = [(r[0], k + 1, bool(name and k and r[name] != order[k - 1][name]), k % 2 == 1) for k, r in enumerate(order)]
         got = report.report_rows(df, {"group_by": group_by, "sort_by": sort_by}, F.lit(date(2026, 1, 1)))
         assert [(r.bid_id, r.place, r.breaks, r.shaded) for r in got.orderBy("place").collect()] == want, group_by
+
+
+def test_deletions_spread(spark):
+    """A company that is deleted twice and made again, a site of it with a new start, and one of another company."""
+    at = lambda d: datetime(2026, 3, d)
+    companies = spark.createDataFrame([(1, at(1), False), (1, at(4), True), (1, at(5), False), (1, at(8), True), (1, at(9), False), (2, at(1), False)], "company_id long, at timestamp, deleted boolean")
+    sites = spark.createDataFrame(
+        [(10, 1, at(1), False), (10, 1, at(5), False), (10, 1, at(9), False), (11, 1, at(2), False), (20, 2, at(1), False), (21, 2, at(1), False), (21, 2, at(3), True)],
+        "site_id long, company_id long, at timestamp, deleted boolean",
+    )
+    bids = spark.createDataFrame([(k, s, at(d)) for k, (s, d) in enumerate([(10, 2), (10, 6), (10, 10), (11, 3), (20, 2), (21, 2), (21, 3), (21, 4), (None, 1)])], "bid_id long, site_id long, at timestamp")
+    left = registry.cascade(companies, sites, {"bids": bids, "flags": bids.withColumnRenamed("at", "told")}, at={"flags": "told"})
+    assert {(r.company_id, r.at.day) for r in left["companies"].collect()} == {(1, 9), (2, 1)}
+    assert {(r.site_id, r.at.day) for r in left["sites"].collect()} == {(10, 9), (20, 1)}
+    assert {r.bid_id for r in left["bids"].collect()} == {r.bid_id for r in left["flags"].collect()} == {2, 4, 7, 8}
+
+
+def test_lists_of_domains(spark):
+    rows = spark.createDataFrame([("a.b.example",), ("b.example",), ("xb.example",), (None,), ("",), ("c.test",)], "domain string")
+    listed = spark.createDataFrame([("B.example",), ("d.c.test",), ("b.example",)], "domain string")
+    assert sorted((str(r.domain), r.listed) for r in links.on_list(rows, listed).collect()) == [("", False), ("None", False), ("a.b.example", True), ("b.example", True), ("c.test", False), ("xb.example", False)]
+
+
+def test_names_by_a_table_of_aliases(spark):
+    known = spark.createDataFrame([("corn", "CORN"), ("yellow corn", "YC"), ("Winter  Wheat", "WW"), ("hard red winter wheat", "HRW"), ("", "none")], "alias string, name string")
+    rows = spark.createDataFrame([("#2 Yellow Corn",), ("popcorn",), ("HARD RED WINTER WHEAT, corn",), ("winter-wheat",), (None,), ("",), ("corn corn",)], "text string")
+    got = sorted((str(r.text), r.commodity) for r in aliases.named(rows, "text", known).collect())
+    assert got == [("", None), ("#2 Yellow Corn", "YC"), ("HARD RED WINTER WHEAT, corn", "HRW"), ("None", None), ("corn corn", "CORN"), ("popcorn", None), ("winter-wheat", "WW")]
+
+
+def test_rows_are_numbered_over_many_tasks(spark):
+    """One group for all rows, some without a name: its rows are in all partitions, their places without a gap."""
+    many = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in many}
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(5000).select(F.lit("CORN").alias("c"), (F.col("id") * 7919 % 5003).alias("v"), F.when(F.col("id") % 3 == 0, "a").alias("g"))
+        rows = report.numbered(df, [F.col("c"), F.col("v")], "g").withColumn("task", F.spark_partition_id()).orderBy("place").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.place for r in rows] == list(range(1, 5001)) and not rows[0].breaks and [r.shaded for r in rows[:3]] == [False, True, False]
+    assert all(a.v < b.v and b.breaks == (a.g != b.g) for a, b in zip(rows, rows[1:], strict=False)) and len({r.task for r in rows}) >= 3
+    assert report.numbered(df.limit(0), [F.col("c")], None).count() == 0
