@@ -20,6 +20,8 @@ SLICES = 256
 TURNS = 2
 #: After that, with one of so many texts of other components; at last with all.
 SHARES = (16, 1)
+#: Pairs, of all texts that meet, that are compared at once without these turns.
+FEW_PAIRS = 50_000
 #: Distinct shingles that a task counts before it hands on what it has.
 HELD_SHINGLES = 1 << 20
 
@@ -259,10 +261,15 @@ def _crowd_links(crowd: DataFrame, texts: DataFrame, idf, similarity: float) ->
 
     In a family of near copies, most pairs of components would be found alike many times over. So there are some turns
     first, in each of which a text is compared with one of another component, then one with a share of the other texts;
-    what is then still apart is compared in full. The turns change the cost and not the components.
+    what is then still apart is compared in full. The turns change the cost and not the components, so where all pairs that
+    meet are few, these are compared at once.
     """
     meetings = _meetings(crowd, texts, idf, similarity)
     labels, found = crowd, None
+    held = meetings.groupBy("shingle").agg(F.count("*").alias("n"))
+    if (held.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first().pairs or 0) <= FEW_PAIRS:
+        links = stored(_verified(stored(_all_apart(meetings, labels, similarity)), texts, idf, similarity).select("a", "b"))
+        return None if links.isEmpty() else links
     for turn in range(TURNS):
         pairs = stored(_one_each(meetings, labels, similarity, turn))
         links = stored(_verified(pairs, texts, idf, similarity).select("a", "b"))
@@ -312,8 +319,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> t
         own = lambda x: F.coalesce(f"label_{x}", x)
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(own("a") != own("b")).select("a", "b")
 
-    links = links.unionByName(stored(_verified(apart(star.join(first, ["a", "b"], "left_anti"), labels), read, idf, similarity).select("a", "b")))
-    labels = components(links)
+    more = stored(_verified(apart(star.join(first, ["a", "b"], "left_anti"), labels), read, idf, similarity).select("a", "b"))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
     # members of buckets in which more than one component is left
     mine = met.join(labels.select(F.col("id").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     open_ = mine.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
@@ -361,18 +370,22 @@ def near_duplicates(
 
 
 def first_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The texts that stay if of each group of linked texts one does, that of the least id: id and key, as in text_key.
+    """The texts that stay if of each group of linked texts one does: id and key, as in text_key. It is that of the least id,
+    and one without an id only where no text of the group has one.
 
     Unlike in near_duplicates, texts are not linked by their id: what is no near copy stays under a repeated id as well.
     Null and empty texts stay under each id.
     """
-    base, _, nodes, _, labels = _linked(docs, id_col, text_col, similarity)
-    linked = nodes.join(labels.withColumnRenamed("id", "node"), "node")
-    least = linked.groupBy("label").agg(F.min(F.struct("first", "same")).alias("least"))
-    later = linked.join(least, "label").where(F.struct("first", "same") != F.col("least")).select("node")
-    kept = nodes.join(later, "node", "left_anti").select(F.col("first").alias("doc"), "same")
-    silent = base.where("text IS NULL OR text = ''").select("doc", "same").distinct()
-    return kept.unionByName(silent).select(F.nullif("doc", F.lit(NO_ID)).alias(id_col), F.col("same").alias("key"))
+    base, every, nodes, _, labels = _linked(docs, id_col, text_col, similarity)
+    named = every.groupBy("same").agg(F.min(F.when(F.col("doc") != NO_ID, F.col("doc"))).alias("id"))
+    texts = nodes.select("same", "node").join(named, "same")
+    linked = texts.join(labels.withColumnRenamed("id", "node"), "node")
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "same")
+    least = linked.groupBy("label").agg(F.min(order).alias("least"))
+    later = linked.join(least, "label").where(order != F.col("least")).select("node")
+    kept = texts.join(later, "node", "left_anti").select("id", "same")
+    silent = base.where("text IS NULL OR text = ''").select(F.nullif("doc", F.lit(NO_ID)).alias("id"), "same").distinct()
+    return kept.unionByName(silent).select(F.col("id").alias(id_col), F.col("same").alias("key"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

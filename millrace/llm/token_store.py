@@ -4,12 +4,13 @@ File format, written by Spark so that task retries leave whole files, below one
 
     dictionary   one row: dict_sha256, dict (bytes of the trained dictionary; empty if there was too little to train on),
                  width (bytes per id)
-    blocks       rows of about BLOCK_BYTES, dealt by ranges of doc_id: part, block, dict_sha256, start (ids before the
-                 block within its part), doc_ids, n_tokens, offsets (of each document's frame in payload, and the end),
+    blocks       rows of about BLOCK_BYTES, dealt by ranges of doc_id: part, block, dict_sha256, lo and hi (the least and
+                 largest id in it), start (ids before the block within its part), doc_ids, n_tokens, offsets (of each document's frame in payload, and the end),
                  payload (frames, each a document's little-endian ids)
     parts        part, base (ids in all parts before it)
 
-A document is read alone: its block by doc_id statistics, its frame by the offsets, decompressed with the dictionary.
+A document is read alone: its block by lo and hi, which Parquet keeps statistics of, its frame by the offsets, decompressed
+with the dictionary.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ import re
 import sys
 import zlib
 from array import array
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import held, map_arrow, shared_dir, small_batches, table
@@ -144,7 +146,7 @@ def train_dictionary(docs: DataFrame, path: str, *, id_col: str, text_col: str)
 
 
 BLOCK_SCHEMA = (
-    "part int, block int, dict_sha256 string, start bigint, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, payload binary"
+    "part int, block int, dict_sha256 string, lo bigint, hi bigint, start bigint, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, payload binary"
 )
 
 
@@ -153,8 +155,8 @@ def write_tokens(
 ) -> None:
     """Encode each text, append `end_id`, and write the ids in ascending order of id below `out` (see the module).
 
-    One shuffle: texts are dealt by ranges of the id, and rows of one id by a hash of the text, so that an id with very many
-    rows is no hot spot; they are sorted within each range. A worker holds one block and one Arrow batch at a time. Only
+    One shuffle: texts are dealt by ranges of the id, rows of one id by a hash of the text, and rows that are equal in both by
+    a number, so that an id or a row that is very often there is no hot spot; they are sorted within each range. A worker holds one block and one Arrow batch at a time. Only
     the parts' totals come to the driver: a row per partition.
 
     Null text counts as empty (the end id alone); very long ones are encoded whole. Null ids come first. Rows with one id
@@ -165,7 +167,8 @@ def write_tokens(
     trained = train_dictionary(words, tokenizer_path, id_col="id", text_col="text")
     digest = hashlib.sha256(trained).hexdigest()
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = words.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
+    dealt = words.withColumns({"h": F.xxhash64("text"), "nth": F.monotonically_increasing_id()}).repartitionByRange(n, "id", "h", "nth")
+    ordered = dealt.sortWithinPartitions("id", "h", "text").drop("h", "nth")
 
     def run(batches):
         coder = encoder(tokenizer_path)
@@ -179,8 +182,9 @@ def write_tokens(
 
         def flush():
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in frames]))).tolist()
-            row = [part], [block], [digest], [start], [ids], [counts], [offsets], [b"".join(frames)]
-            types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            known = [i for i in ids if i is not None]
+            row = [part], [block], [digest], [min(known, default=None)], [max(known, default=None)], [start], [ids], [counts], [offsets], [b"".join(frames)]
+            types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=names)
 
@@ -248,14 +252,26 @@ def _unpacked(spark: SparkSession, blocks: DataFrame, out: str, made, schema: st
     return map_arrow(blocks, make, schema)
 
 
+#: Ranges that a lookup of many documents is put into.
+RANGES = 64
+
+
+def _may_hold(ids: list[int]) -> Column:
+    """Whether a block's range meets that of some of the ids, as comparisons that Parquet can be asked."""
+    size = max(1, -(-len(ids) // RANGES))
+    parts = [ids[k : k + size] for k in range(0, len(ids), size)]
+    return reduce(lambda a, b: a | b, ((F.col("lo") <= p[-1]) & (F.col("hi") >= p[0]) for p in parts), F.lit(False))
+
+
 def read_tokens(spark: SparkSession, out: str, *, digest_only: bool = False, doc_ids: list[int] | None = None) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, and ids (little-endian u32) or, with digest_only, ids_crc32.
 
-    `doc_ids` reads these documents only: the blocks that hold none are skipped before any payload is decompressed.
+    `doc_ids` reads these documents only: of blocks that can't hold one, Parquet's statistics of lo and hi tell that their
+    payload need not be read. A null in it finds nothing; null ids are read with the rest. Empty files give no rows.
     """
     blocks = spark.read.parquet(f"{out}/blocks")
     if doc_ids is not None:
-        blocks = blocks.where(F.arrays_overlap("doc_ids", F.array(*map(F.lit, doc_ids)).cast("array<bigint>")))
+        blocks = blocks.where(_may_hold(sorted({i for i in doc_ids if i is not None})))
     if digest_only:
         rows = _unpacked(spark, blocks, out, lambda a: zlib.crc32(a.astype("<u4").tobytes()), ROW_SCHEMA.replace("ids binary", "ids_crc32 bigint"))
     else:

@@ -90,8 +90,10 @@ def test_groups(spark, docs, corpus, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_crowded_buckets(spark):
+@pytest.mark.parametrize("few", [near_dedup.FEW_PAIRS, 0])
+def test_crowded_buckets(spark, monkeypatch, few):
     """A large group of near copies, most of them alike to few others."""
+    monkeypatch.setattr(near_dedup, "FEW_PAIRS", few)
     rng = random.Random(9)
     base = prose(rng, 150).split()
     rows = []
@@ -105,8 +107,10 @@ def test_crowded_buckets(spark):
     assert got == plain_groups(rows)
 
 
-def test_two_families_that_are_no_one(spark):
+@pytest.mark.parametrize("few", [near_dedup.FEW_PAIRS, 0])
+def test_two_families_that_are_no_one(spark, monkeypatch, few):
     """Near copies of two texts that share most of their words: each family is a group, and strangers stay alone."""
+    monkeypatch.setattr(near_dedup, "FEW_PAIRS", few)
     rng = random.Random(12)
     shared, own = prose(rng, 150), [prose(rng, 25), prose(rng, 25)]
     rows = []

@@ -40,5 +40,12 @@ def test_the_stage_keeps_other_texts_of_a_repeated_id(spark):
     df = spark.createDataFrame([*rows, (None, c), (None, c)], "doc_id long, text string")
     kept = corpus_pipeline.keep_one_of_near_duplicates(spark, df, "")
     key = lambda r: (r[0] or -1, r[1] or "", r[1] is None)
-    want = [(5, a), (5, b), (21, d), (3, e), (21, None), (21, ""), (None, c), (None, c)]
+    want = [(5, a), (5, b), (20, c), (21, d), (3, e), (21, None), (21, "")]  # rows without an id only stay where no row of the group has one
     assert kept.columns == ["doc_id", "text"] and sorted(map(tuple, kept.collect()), key=key) == sorted(want, key=key)
+
+
+def test_copies_without_an_id(spark):
+    """One row stays of texts that no row with an id has; of a row that is repeated with other columns the least as JSON."""
+    rows = [(None, "only without an id", "y"), (None, "only without an id", "x"), (None, None, "p"), (None, None, "p"), (4, "with one", "b"), (4, "with one", "a"), (None, "with one", "c")]
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, other string"), "")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(None, "only without an id", "x"), (None, None, "p"), (4, "with one", "a")], kept.schema).collect()))

@@ -63,7 +63,11 @@ def test_token_files(spark, docs, corpus, empty, tmp_path):
         assert (got[i].start, got[i].n_tokens, bytes(got[i].ids)) == (at, len(ids), ids.tobytes())
         assert short[i].ids_crc32 == zlib.crc32(ids.tobytes())
         at += len(ids)
-    one = token_store.read_tokens(spark, out, doc_ids=[403]).collect()
+    asked = token_store.read_tokens(spark, out, doc_ids=[403, None])
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "LessThanOrEqual(lo,403)" in plan and "GreaterThanOrEqual(hi,403)" in plan
+    assert token_store.read_tokens(spark, out, doc_ids=[]).count() == 0
+    one = asked.collect()
     assert [r.doc_id for r in one] == [403] and one[0].ids == got[403].ids
     token_store.write_tokens(empty, str(tmp_path / "none"), token_store.tokenizer_path())
     assert token_store.read_tokens(spark, str(tmp_path / "none")).count() == 0
@@ -350,7 +354,3 @@ def test_languages(spark, empty):
     assert language_id.learn(empty).num_rows == 0 and language_id.predict(empty, model).count() == 0
     assert {r.lang_pred for r in language_id.predict(df, language_id.counts_of([])).collect()} == {"und"}
     assert language_id.predict(df, model, whole_rows=True).select("row.*").columns == df.columns
-
-
-def test_digest_columns():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
