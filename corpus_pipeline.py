@@ -6,11 +6,11 @@ stage's docs. All but the last return the columns of docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language_id, mixing, near_dedup, token_store
-from millrace.llm.common import shared_dir, stored, table
+from millrace.llm.common import NO_ID, shared_dir, stored, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +22,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that of the least id stays. Rows with one id and text are one, whatever else they hold; other
-    texts of a repeated id stay unless they are near copies themselves. Rows without an id stay. Null, empty and wordless
-    texts are near copies of none but equal ones."""
-    first = near_dedup.first_texts(docs).select(F.col("doc_id").alias("id"), "key")
-    rows = docs.select(F.col("doc_id").alias("id"), near_dedup.text_key("text").alias("key"), F.struct("*").alias("row"))
-    nth = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.to_json("row")))
-    once = rows.where("id IS NOT NULL").withColumn("nth", nth).where("nth = 1").join(first, ["id", "key"], "left_semi")
-    return once.select("row.*").unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of texts that of the least id stays, or one without an id where no row of the group has one. Rows with
+    one id and text are one, whatever else they hold; other texts of a repeated id stay unless they are near copies
+    themselves. Null, empty and wordless texts are near copies of none but equal ones: they stay once under each id."""
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)).alias("id")
+    first = near_dedup.first_texts(docs).select(known("doc_id"), "key")
+    rows = docs.select(known("doc_id"), near_dedup.text_key("text").alias("key"), F.struct("*").alias("row"))
+    times = rows.groupBy("id", "key").agg(F.count("*").alias("n"))  # partial counts: a row that is very often there is no hot key
+    kept = rows.join(first.join(times, ["id", "key"]), ["id", "key"])
+    repeated = kept.where("n > 1").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.where("n = 1").select("row.*").unionByName(repeated.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
