@@ -12,13 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import bound, no_notes, stripped
-from millrace.vocabulary import COMMODITY_ALIASES, MONTH_CODES, MONTH_WORD, MONTHS
+from millrace.vocabulary import COMMODITY_ALIASES, EIGHTHS_PARTS, GRADE, MONTHS, MONTH_CODES, MONTH_WORD, NUMBER
 
-_EIGHTHS = r"^([+-]?)(\d{1,4})-([0-7])(s)?$"
-_NUMBER = r"[-+]?\d*\.?\d+"
 _NAMED_MONTH = r"(?i)\b" + MONTH_WORD + r"[a-z]*\.?\s*'?(\d{2,4})\b"
 _SYMBOL = rf"(?i)^@?([A-Z]{{1,3}})\s?([{MONTH_CODES}])(\d{{1,2}})$"
-_GRADE = r"(?i)^\s*(us\s+)?(#|no\.?\s*)\d\s*"
 
 
 def _bare(raw: Column) -> Column:
@@ -27,14 +24,14 @@ def _bare(raw: Column) -> Column:
 
 def eighths(text: Column) -> Column:
     """423-4 is 423 and four eighths of a cent."""
-    part = lambda k: F.regexp_extract(text, _EIGHTHS, k)
+    part = lambda k: F.regexp_extract(text, EIGHTHS_PARTS, k)
     value = (part(2).try_cast("double") + part(3).try_cast("double") / 8) / 100
-    return F.when(F.regexp_like(text, F.lit(_EIGHTHS)), F.when(part(1) == "-", -value).otherwise(value))
+    return F.when(F.regexp_like(text, F.lit(EIGHTHS_PARTS)), F.when(part(1) == "-", -value).otherwise(value))
 
 
 def _read(text: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
     """then(text, value in eighths, digits of the first number): each is looked for once; no number is the empty string."""
-    found = F.struct(text.alias("text"), eighths(text).alias("eighth"), F.regexp_extract(text, _NUMBER, 0).alias("digits"))
+    found = F.struct(text.alias("text"), eighths(text).alias("eighth"), F.regexp_extract(text, NUMBER, 0).alias("digits"))
     return bound(found, lambda x: then(x["text"], x["eighth"], x["digits"]))
 
 
@@ -126,7 +123,7 @@ def _by_length() -> list[tuple[str, str]]:
 
 def grain(raw: Column) -> Column:
     """The grain named in a text: the longest alias that stands in it as words, after a grade at its start."""
-    text = stripped(F.regexp_replace(F.lower(stripped(raw)), _GRADE, ""))
+    text = stripped(F.regexp_replace(F.lower(stripped(raw)), GRADE, ""))
     pairs = [(rf"\b{re.escape(alias)}\b".replace("\\ ", " "), name) for alias, name in _by_length()]
 
     def named(t: Column) -> Column:

@@ -79,6 +79,7 @@ _OVERRIDE = {
     "commodities": _TEXTS, "locations": _TEXTS, "sort_by": _SORT, "group_by": _GROUP, "horizon_months": _number(0, 36), "charts": _CHARTS,
     "decimals": _DECIMALS, "columns": _COLUMNS,
 }
+# --- fixed values: keys, choices and bounds of the settings document ---
 #: What each key must be; keys that aren't here are refused.
 RULES: dict = {
     "version": _number(0),

@@ -111,3 +111,17 @@ NAME_EVIDENCE = {
     "listed": "a directory or social network", "alike": "domain and name are alike", "titled": "title and name are alike",
     "bid": "text says cash bids", "straight": "address is that of a bid page", "section": "homepage links to bids",
 }
+
+# --- fixed values: patterns of dates and delivery periods ---
+MDY_AT_START = r"^(\d{1,2})/(\d{1,2})/(\d{2,4})"
+LONG_DATE = r"(?i)([a-z]+)\s+(\d{1,2}),?\s+(\d{4})"
+DATE_TO_DATE = r"(\d{1,2}/\d{1,2}/\d{2,4})\s*[-–]\s*(\d{1,2}/\d{1,2}/\d{2,4})"
+DAY_TO_DAY_OF_MONTHS = r"(?i)([a-z]+)\.?\s+(\d{1,2})\s*[-–]\s*([a-z]+)\.?\s+(\d{1,2})(?:\s*,?\s*(\d{4}))?"
+DAY_TO_DAY = r"(?i)([a-z]+)\.?\s+(\d{1,2})\s*[-–]\s*(\d{1,2})(?:\s*,?\s*(\d{4}))?"
+MONTH_AND_YEAR = r"(?i)^([a-z]+)\.?\s*(\d{4})$"
+MONTH_OR_MONTH = r"(?i)^([a-z]+)\s*/\s*([a-z]+)$"
+
+# --- fixed values: patterns of numbers, eighths of a cent and grades ---
+EIGHTHS_PARTS = r"^([+-]?)(\d{1,4})-([0-7])(s)?$"
+NUMBER = r"[-+]?\d*\.?\d+"
+GRADE = r"(?i)^\s*(us\s+)?(#|no\.?\s*)\d\s*"
