@@ -74,9 +74,30 @@ def company_rows(bids: DataFrame, own: DataFrame, common: dict, today: Column) -
         F.when(by("delivery_start"), F.coalesce("delivery_start", F.to_date(F.lit("2100-01-01")))), *(F.col(c) for c in ("company_name", "commodity", "delivery_start", "bid_id")),
     ]
     placed = numbered(rows.withColumn("__name", F.struct("__company", name.alias("name"))).drop("__own"), keys, "__name")
-    first = placed.groupBy("__company").agg((F.min("place") - 1).alias("__first"))
-    out = placed.join(first, "__company").withColumn("place", F.col("place") - F.col("__first"))
-    return out.withColumns({"breaks": F.col("breaks") & (F.col("place") > 1), "shaded": F.col("place") % 2 == 0}).drop("__company", "__first", "__name", "__s")
+    return _within(placed, ["__company"]).drop("__company", "__name", "__s")
+
+
+def grain_rows(bids: DataFrame, common: dict, today: Column) -> DataFrame:
+    """As report_rows, for the sheets of all grains and companies in one plan: place, breaks and shaded are those within a
+    grain's rows of a company. Bids without a grain are on none."""
+    rows = bids.where(F.col("commodity").isNotNull())
+    if common.get("commodities"):
+        rows = rows.where(F.col("commodity").isin(common["commodities"]))
+    if common.get("locations"):
+        rows = rows.where(F.coalesce("site_label", F.lit("")).isin(common["locations"]))
+    rows = rows.where(in_horizon(F.col("delivery_start"), today, int(common.get("horizon_months", 0))))
+    group = {"commodity": "commodity", "location": "site_label", "company": "company_name"}.get(common.get("group_by", "location"))
+    sheet = [F.col("commodity").alias("grain"), F.coalesce(F.col("company_id").cast("string"), F.lit("")).alias("company")]
+    rows = rows.withColumn("__sheet", F.struct(*sheet)).withColumn("__name", F.struct("__sheet", (F.col(group) if group else F.lit(None)).alias("name")))
+    keys = [F.col("__sheet"), *order_keys(common.get("group_by", "location"), common.get("sort_by", "delivery_start")), F.col("bid_id")]
+    return _within(numbered(rows, keys, "__name"), ["__sheet"]).drop("__sheet", "__name")
+
+
+def _within(placed: DataFrame, sheet: list[str]) -> DataFrame:
+    """Places of numbered rows counted anew within `sheet`, whose rows follow each other."""
+    first = placed.groupBy(*sheet).agg((F.min("place") - 1).alias("__first"))
+    out = placed.join(first, sheet).withColumn("place", F.col("place") - F.col("__first"))
+    return out.withColumns({"breaks": F.col("breaks") & (F.col("place") > 1), "shaded": F.col("place") % 2 == 0}).drop("__first")
 
 
 def numbered(rows: DataFrame, keys: list[Column], group: str | None) -> DataFrame:
@@ -120,13 +141,18 @@ def column_keys(effective: dict, *, company: bool, location: bool) -> list[str]:
     return [key for key, *_ in COLUMNS if key not in off]
 
 
-def shown(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The columns of a sheet under their keys; raw texts stand in where a value wasn't read."""
+def shown_values() -> dict[str, Column]:
+    """What a sheet shows under the keys of COLUMNS; raw texts stand in where a value wasn't read."""
     either = lambda a, b: F.coalesce(F.nullif(a, F.lit("")), b)
-    value = {
+    return {
         "company": F.col("company_name"), "location": F.col("site_label"), "commodity": either("commodity", F.col("commodity_raw")),
         "delivery": either("delivery_raw", F.lit(None)), "start": F.col("delivery_start"), "end": F.col("delivery_end"), "cash": F.col("cash_price"),
         "basis": F.col("basis"), "fut_month": either("futures_month", F.col("futures_month_raw")), "futures": F.col("futures_price"), "change": F.col("change"),
         "asof": F.col("page_as_of"), "notes": notes_text(F.col("notes")),
     }
+
+
+def shown(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of a sheet under their keys."""
+    value = shown_values()
     return rows.select("place", "breaks", "shaded", *(value[k].alias(k) for k in keys))

@@ -1,4 +1,4 @@
-"""Reports as .xlsx files, written with the standard library. A report is for people: its rows come to the driver one by one."""
+"""The parts of .xlsx files, written with the standard library. Rows of reports are written by tasks: see sources/xlsx.py."""
 
 from __future__ import annotations
 
@@ -12,10 +12,6 @@ from datetime import date, datetime
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
-
-from millrace.operators.report import COLUMNS, shown
-
 _SHEET_BAD, _FILE_BAD = re.compile(r"[\[\]:*?/\\]"), re.compile(r'[<>:"/\\|?*]')
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
@@ -93,10 +89,17 @@ class Sheet:
     hidden: bool = False
     data_row: int = 7
     charts: list[Chart] = field(default_factory=list)
-    last_row: int = field(default=0, init=False)
+    #: Cells and where they lead to.
+    links: list[tuple[str, str]] = field(default_factory=list)
+    #: Cash prices are shaded by their height.
+    best: bool = True
+    #: The rows as text of the sheet, up to last_row, instead of `rows`.
+    body: Iterable[bytes] | None = None
+    last_row: int = 0
 
 
-_KINDS = ["text", "head", "title", "wrap", "cash", "basis", "change", "futures", "date"]
+_KINDS = ["text", "head", "title", "wrap", "cash", "basis", "change", "futures", "date", "number", "link"]
+_NUMBERS = {"cash", "basis", "change", "futures", "number"}
 
 
 def _cell_name(row: int, col: int) -> str:
@@ -120,25 +123,50 @@ def _cell(row: int, col: int, value: object, kind: str) -> str:
     return f'<c r="{at}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
 
 
-def _sheet_xml(sheet: Sheet) -> Iterable[str]:
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def row_of_texts(row: int, cells: Iterable[tuple[str, str | None]]) -> str:
+    """A row of a sheet from (kind, text) of its cells: texts of numbers and of dates (yyyy-mm-dd) are stored as such;
+    null, empty texts and what is no finite number are empty cells."""
+    out = []
+    for k, (kind, text) in enumerate(cells):
+        value: object = text
+        if text and kind in _NUMBERS:
+            value = float(text) if "." in text or "E" in text or not text.lstrip("-").isdigit() else int(text)
+            value = value if value == value and abs(value) != float("inf") else None
+        elif text and kind == "date":
+            value = date.fromisoformat(text)
+        out.append(_cell(row, k, value, kind))
+    return f'<row r="{row}">{"".join(out)}</row>'
+
+
+def cell_at(row: int, col: int) -> str:
+    return _cell_name(row, col)
+
+
+def _sheet_xml(sheet: Sheet) -> Iterable[str | bytes]:
     yield '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
     top = sheet.data_row - 1
-    if top:
+    if top and sheet.headers:
         yield f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{top}" topLeftCell="A{sheet.data_row}" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
     yield "<cols>" + "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(sheet.widths, 1)) + "</cols><sheetData>"
     for k, line in enumerate(sheet.title, 1):
         yield f'<row r="{k}">{_cell(k, 0, line, "title" if k == 1 else "text")}</row>'
-    if top:
+    if top and sheet.headers:
         yield f'<row r="{top}">' + "".join(_cell(top, k, h, "head") for k, h in enumerate(sheet.headers)) + "</row>"
     n = top
-    for n, row in enumerate(sheet.rows, sheet.data_row):
+    if sheet.body is not None:
+        yield from sheet.body
+        n = max(n, sheet.last_row)
+    for n, row in enumerate(sheet.rows, n + 1):
         yield f'<row r="{n}">' + "".join(_cell(n, k, v, kind) for k, (v, kind) in enumerate(zip(row, sheet.kinds, strict=True))) + "</row>"
     sheet.last_row = n
     yield "</sheetData>"
-    if top:
+    if top and sheet.headers:
         yield f'<autoFilter ref="A{top}:{_cell_name(max(n, top), len(sheet.headers) - 1)}"/>'
     for k, kind in enumerate(sheet.kinds):
-        if n < sheet.data_row or kind not in ("basis", "change", "cash"):
+        if n < sheet.data_row or kind not in ("basis", "change", "cash") or (kind == "cash" and not sheet.best):
             continue
         ref = f"{_cell_name(sheet.data_row, k)}:{_cell_name(n, k)}"
         if kind == "cash":
@@ -146,6 +174,8 @@ def _sheet_xml(sheet: Sheet) -> Iterable[str]:
         else:
             rule = '<cfRule type="cellIs" dxfId="0" priority="2" operator="greaterThan"><formula>0</formula></cfRule><cfRule type="cellIs" dxfId="1" priority="3" operator="lessThan"><formula>0</formula></cfRule>'
         yield f'<conditionalFormatting sqref="{ref}">{rule}</conditionalFormatting>'
+    if sheet.links:
+        yield f'<hyperlinks xmlns:r="{_REL}">' + "".join(f'<hyperlink ref="{ref}" r:id="h{ref}"/>' for ref, _ in sheet.links) + "</hyperlinks>"
     yield '<drawing xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" r:id="r1"/>' if sheet.charts else ""
     yield "</worksheet>"
 
@@ -185,25 +215,25 @@ def _drawing_xml(sheet: Sheet) -> str:
     )
 
 
-def _rels_xml(targets: list[tuple[str, str]]) -> str:
-    """Relations r1, r2, ..: kind and target."""
-    kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    rels = "".join(f'<Relationship Id="r{k}" Type="{kind}/{what}" Target="{target}"/>' for k, (what, target) in enumerate(targets, 1))
+def _rels_xml(targets: list[tuple[str, str]], links: list[tuple[str, str]] | None = None) -> str:
+    """Relations r1, r2, ..: kind and target; then one for each linked cell."""
+    rels = "".join(f'<Relationship Id="r{k}" Type="{_REL}/{what}" Target="{target}"/>' for k, (what, target) in enumerate(targets, 1))
+    rels += "".join(f'<Relationship Id="h{ref}" Type="{_REL}/hyperlink" Target={quoteattr(_CONTROL.sub("", url))} TargetMode="External"/>' for ref, url in links or [])
     return f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>'
 
 
 def _styles_xml(formats: dict[str, str]) -> str:
     ids = {k: 164 + n for n, k in enumerate(formats)}
     custom = "".join(f'<numFmt numFmtId="{ids[k]}" formatCode={quoteattr(v)}/>' for k, v in formats.items())
-    font = {"head": 1, "title": 2}
+    font = {"head": 1, "title": 2, "link": 3}
     xfs = "".join(
         f'<xf numFmtId="{ids.get(k, 0)}" fontId="{font.get(k, 0)}" fillId="0" borderId="0" xfId="0" applyNumberFormat="1">'
         + ('<alignment wrapText="1" vertical="top"/>' if k == "wrap" else "") + "</xf>" for k in _KINDS
     )
-    fonts = '<font><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="14"/><name val="Calibri"/></font>'
+    fonts = '<font><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="11"/><name val="Calibri"/></font><font><b/><sz val="14"/><name val="Calibri"/></font><font><u/><sz val="11"/><color rgb="FF0563C1"/><name val="Calibri"/></font>'
     return (
         '<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
-        f'<numFmts count="{len(formats)}">{custom}</numFmts><fonts count="3">{fonts}</fonts><fills count="2"><fill><patternFill patternType="none"/></fill>'
+        f'<numFmts count="{len(formats)}">{custom}</numFmts><fonts count="4">{fonts}</fonts><fills count="2"><fill><patternFill patternType="none"/></fill>'
         '<fill><patternFill patternType="gray125"/></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs>'
         f'<cellXfs count="{len(_KINDS)}">{xfs}</cellXfs><dxfs count="2"><dxf><font><color rgb="FF006100"/></font></dxf><dxf><font><color rgb="FF9C0006"/></font></dxf></dxfs></styleSheet>'
     )
@@ -219,15 +249,17 @@ def write_workbook(path: Path, sheets: list[Sheet], decimals: dict | None = None
         for k, sheet in enumerate(sheets, 1):
             with z.open(f"xl/worksheets/sheet{k}.xml", "w") as f:
                 for part in _sheet_xml(sheet):
-                    f.write(part.encode())
+                    f.write(part if isinstance(part, bytes) else part.encode())
         drawn, n_charts, extra = 0, 0, ""
         for k, sheet in enumerate(sheets, 1):
             if not sheet.charts:
+                if sheet.links:
+                    z.writestr(f"xl/worksheets/_rels/sheet{k}.xml.rels", _rels_xml([], sheet.links))
                 continue
             drawn += 1
             names = [f"chart{n_charts + i}.xml" for i in range(1, len(sheet.charts) + 1)]
             n_charts += len(names)
-            z.writestr(f"xl/worksheets/_rels/sheet{k}.xml.rels", _rels_xml([("drawing", f"../drawings/drawing{drawn}.xml")]))
+            z.writestr(f"xl/worksheets/_rels/sheet{k}.xml.rels", _rels_xml([("drawing", f"../drawings/drawing{drawn}.xml")], sheet.links))
             z.writestr(f"xl/drawings/drawing{drawn}.xml", _drawing_xml(sheet))
             z.writestr(f"xl/drawings/_rels/drawing{drawn}.xml.rels", _rels_xml([("chart", f"../charts/{n}") for n in names]))
             extra += f'<Override PartName="/xl/drawings/drawing{drawn}.xml" ContentType="application/vnd.openxmlformats-officedocument.drawing+xml"/>'
@@ -248,10 +280,3 @@ def write_workbook(path: Path, sheets: list[Sheet], decimals: dict | None = None
         path = free_path(path.parent, f"{path.stem} (2){path.suffix}")
         os.replace(draft, path)
     return path
-
-
-def bid_sheet(name: str, title: list[str], rows: DataFrame, keys: list[str]) -> Sheet:
-    """A sheet of report rows in their order, read from Spark a partition at a time."""
-    by_key = {k: (h, w, kind) for k, h, w, kind in COLUMNS}
-    ordered = shown(rows, keys).orderBy("place").select(*keys)
-    return Sheet(name, title, [by_key[k][0] for k in keys], [by_key[k][2] for k in keys], [by_key[k][1] for k in keys], ordered.toLocalIterator())

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import schedule, settings
-from millrace.operators import report, workbook
+from millrace.operators import build, report, workbook
 from millrace.sources import fetch
+from millrace.sources.xlsx import ROWS, Workbooks
 
 TRIED: list[str] = []
 
@@ -81,15 +82,64 @@ def test_archive(tmp_path):
     assert sorted(p.name for p in (tmp_path / "Archive" / "2026-07").iterdir()) == ["0.xlsx", "1.xlsx"]
 
 
+def xlsx_row(book, sheet, place, spec=None, cells=None, top=7):
+    return (book, sheet, place, top, json.dumps(spec) if spec else None, cells)
+
+
+def written(rows, folder, parts, **options):
+    rows.sparkSession.dataSource.register(Workbooks)
+    folder.mkdir(exist_ok=True)
+    key = ["book", "sheet", "place"]
+    dealt = rows.repartitionByRange(4, *key).sortWithinPartitions(*key)
+    dealt.write.format("xlsx").mode("append").options(parts=str(parts), receipt=str(folder / "receipt"), **options).save(str(folder))
+    return json.loads((folder / "receipt").read_text())
+
+
+SPEC_OF_ONE = {"pattern": "{company} {date}.xlsx", "company": "A/B", "name": "Long", "title": ["t"], "headers": ["n", "text"], "kinds": ["number", "link"], "widths": [5.0, 9.0], "top": 7, "hidden": False, "best": True}
+
+
+def test_sheets_from_many_tasks(spark, tmp_path):
+    """A sheet whose rows lie in several tasks, in order; two books, clashing names of sheets, links, dates, what is no number."""
+    long = spark.range(1, 2001).select(
+        F.lit("a").alias("book"), F.lit(1).alias("sheet"), F.col("id").cast("int").alias("place"), F.lit(7).alias("top"), F.lit(None).cast("string").alias("spec"),
+        F.array(build._cell("number", F.col("id")), build._cell("link", F.lit("x"), F.when(F.col("id") == 1500, "https://x.test/?a=1&b=2"))).alias("cells"),
+    )
+    odd = [("cash", "NaN", None), ("date", "2026-07-01", None), ("text", "<a>\x01", None), ("wrap", None, None), ("cash", "4.1", None)]
+    more = [xlsx_row("a", 1, 0, SPEC_OF_ONE), xlsx_row("a", 2, 0, SPEC_OF_ONE | {"headers": ["c"] * 5, "kinds": [k for k, *_ in odd], "best": False}), xlsx_row("a", 2, 1, cells=odd), xlsx_row("b", 1, 0, SPEC_OF_ONE)]
+    paths = written(long.unionByName(spark.createDataFrame(more, ROWS)), tmp_path / "out", tmp_path / "parts", tokens=json.dumps({"date": "d"}))
+    assert paths == [str(tmp_path / "out" / n) for n in ("A-B d.xlsx", "A-B d (2).xlsx")] and not list((tmp_path / "parts").iterdir())
+    with zipfile.ZipFile(paths[0]) as z:
+        first, second, book, rels = (z.read(f"xl/{n}").decode() for n in ("worksheets/sheet1.xml", "worksheets/sheet2.xml", "workbook.xml", "worksheets/_rels/sheet1.xml.rels"))
+    assert re.findall(r'<row r="(\d+)"', first) == ["1", "6", *map(str, range(7, 2007))] and re.findall(r"<v>(\d+)</v>", first) == [str(k) for k in range(1, 2001)]
+    assert '<hyperlink ref="B1506" r:id="hB1506"/>' in first and 'Target="https://x.test/?a=1&amp;b=2"' in rels
+    assert re.findall('sheet name="([^"]*)"', book) == ["Long", "Long (2)"]
+    assert '<c r="A7" s="4"/>' in second and "<v>46204</v>" in second and "&lt;a&gt;</t>" in second and '<c r="D7" s="3"/>' in second and "<v>4.1</v>" in second and "colorScale" not in second
+
+
+def test_a_failed_write_leaves_no_workbook(spark, tmp_path):
+    cells = [("date", "no date", None)]
+    rows = spark.createDataFrame([xlsx_row("a", 1, 0, SPEC_OF_ONE), *(xlsx_row("a", 1, k, cells=[("text", "x", None)]) for k in range(1, 50)), xlsx_row("a", 1, 50, cells=cells)], ROWS)
+    with pytest.raises(Exception, match="no date"):
+        written(rows, tmp_path / "out", tmp_path / "parts")
+    assert not list((tmp_path / "out").iterdir()) and not list((tmp_path / "parts").glob("*"))
+    with pytest.raises(Exception, match="say what it is"):
+        written(rows.where("place between 1 and 9"), tmp_path / "out", tmp_path / "parts")
+    assert not list((tmp_path / "out").iterdir())
+
+
 def test_workbook(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, "Coop & Co", "East", "CORN", "corn", "Jul 2026", date(2026, 7, 1), None, 4.105, -0.15, None, "x", None, 0.0, date(2026, 7, 2), ["year_inferred"])],
         "bid_id long, company_name string, site_label string, commodity string, commodity_raw string, delivery_raw string, delivery_start date, delivery_end date, cash_price double, basis double, futures_month string, futures_month_raw string, futures_price double, change double, page_as_of date, notes array<string>",
     )
-    rows = report.report_rows(df, {}, F.lit(date(2026, 7, 2)))
+    rows = report.report_rows(df.withColumns({"company_id": F.lit(1), "site_url": F.lit("https://coop.test/bids")}), {}, F.lit(date(2026, 7, 2)))
     keys = report.column_keys({}, company=True, location=True)
-    sheet = workbook.bid_sheet("Coop", ["Coop bids"], rows, keys)
-    path = workbook.write_workbook(tmp_path / "out" / "w.xlsx", [sheet, workbook.Sheet("_Data", [], ["a"], ["text"], [9], [], hidden=True)], {"cash": 2})
+    sheets = rows.select(F.lit("b").alias("book"), F.lit(1).alias("sheet"), "company_name", F.col("site_url").alias("page"), F.array(*map(F.lit, keys)).alias("keys"), F.lit("none").alias("charts"), F.lit(True).alias("best"), F.lit(True).alias("linked"))
+    parts = build._bid_sheets(sheets, rows.crossJoin(sheets.select("book", "sheet", "keys", "charts")), name=F.lit("Coop"), title=F.array(F.lit("Coop bids")), pattern="w.xlsx")
+    hidden = xlsx_row("b", 2, 0, {"pattern": "w.xlsx", "name": "_Data", "title": [], "headers": [], "kinds": ["text"], "widths": [9.0], "top": 1, "hidden": True, "best": False})
+    all_rows = parts[0].unionByName(parts[1]).unionByName(spark.createDataFrame([hidden], ROWS))
+    path = tmp_path / "out" / "w.xlsx"
+    written(all_rows, tmp_path / "out", tmp_path / "parts", decimals=json.dumps({"cash": 2}))
     with zipfile.ZipFile(path) as z:
         assert not any("externalLinks" in n for n in z.namelist())
         body, book, styles = (z.read(f"xl/{n}").decode() for n in ("worksheets/sheet1.xml", "workbook.xml", "styles.xml"))
