@@ -13,31 +13,53 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType
 from millrace.vocabulary import HEADER_SYNONYMS
 
 
-def indel(a: str, b: str) -> float:
-    """100 * twice the longest common subsequence over both lengths."""
-    if not a and not b:
+@lru_cache(maxsize=4096)
+def _places(text: str) -> dict[str, int]:
+    """The places of each character, as bits."""
+    bits: dict[str, int] = {}
+    for k, c in enumerate(text):
+        bits[c] = bits.get(c, 0) | 1 << k
+    return bits
+
+
+def _common(a: str, b: str) -> int:
+    """The length of the longest common subsequence: a row of its table as the bits of one number, a step per character of b."""
+    places, full = _places(a), (1 << len(a)) - 1
+    row = full
+    for c in b:
+        met = row & places.get(c, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
+
+
+def indel(a: str, b: str, least: float = 0.0) -> float:
+    """100 * twice the longest common subsequence over both lengths; 0 if the lengths alone keep it below `least`."""
+    both = len(a) + len(b)
+    if not both:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    if 200.0 * min(len(a), len(b)) / both < least:
+        return 0.0
+    return 200.0 * _common(a, b) / both
+
 
+@lru_cache(maxsize=4096)
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.split())
 
-def token_set_ratio(a: str, b: str) -> float:
-    """The words that both have against those that one has: 100 if one's words are all in the other."""
-    left, right = set(a.split()), set(b.split())
+
+def token_set_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The words that both have against those that one has: 100 if one's words are all in the other. Below `least`, any value below it."""
+    left, right = _words(a), _words(b)
     if not left or not right:
         return 0.0
-    both, only_left, only_right = (" ".join(sorted(x)) for x in (left & right, left - right, right - left))
-    if both and (not only_left or not only_right):
+    shared = left & right
+    if shared and (shared == left or shared == right):
         return 100.0
+    both, only_left, only_right = (" ".join(sorted(x)) for x in (shared, left - right, right - left))
     first, second = (f"{both} {x}".strip() for x in (only_left, only_right))
-    scores = [indel(first, second)]
-    if both:
-        scores += [indel(both, first), indel(both, second)]
-    return max(scores)
+    if not both:
+        return indel(first, second, least)
+    return max(indel(first, second, least), indel(both, first, least), indel(both, second, least))
 
 
 def partial_ratio(a: str, b: str) -> float:
@@ -45,9 +67,12 @@ def partial_ratio(a: str, b: str) -> float:
     short, long = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long else 0.0
-    n = len(short)
-    stretches = {long[max(0, i) : i + n] for i in range(1 - n, len(long))}
-    return max(indel(short, s) for s in stretches if s)
+    if short in long:
+        return 100.0
+    n, best = len(short), 0.0
+    for stretch in {long[max(0, i) : i + n] for i in range(1 - n, len(long))}:
+        best = max(best, indel(short, stretch, best))
+    return best
 
 
 #: All synonyms with their roles, in order.
@@ -57,9 +82,9 @@ _SYNONYMS = [(synonym, role) for role, synonyms in HEADER_SYNONYMS.items() for s
 @lru_cache(maxsize=100_000)
 def header_role(header: str) -> str | None:
     """The role of the synonym that is most alike: at 90 or more, or at 80 with a lead of 8 over the next synonym. Of equals
-    the first counts."""
+    the first counts. Synonyms below 72 neither win nor come within 8 of one that does."""
     text = re.sub(r"[^a-z0-9 /+.-]", "", header.strip().lower()).strip()
-    scores = [token_set_ratio(text, synonym) for synonym, _ in _SYNONYMS] if text else [0.0, 0.0]
+    scores = [token_set_ratio(text, synonym, 72.0) for synonym, _ in _SYNONYMS] if text else [0.0, 0.0]
     best, second = nlargest(2, scores)
     sure = best >= 90 or (best >= 80 and best - second >= 8)
     return _SYNONYMS[scores.index(best)][1] if sure else None

@@ -100,6 +100,30 @@ def test_similarity():
     assert {h: header_role(h) for h in roles} == roles
 
 
+def test_likeness_equals_the_plain_table():
+    import random
+
+    r = random.Random(5)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+    for n in [*range(12)] * 60 + [90, 200]:
+        a, b = ("".join(r.choice("abcé ") for _ in range(r.randint(0, n))) for _ in "ab")
+        assert indel(a, b) == indel(b, a) == plain(a, b)
+        least = r.choice([0.0, 50.0, 72.0, 90.0])
+        exact, bounded = token_set_ratio(a, b), token_set_ratio(a, b, least)
+        assert bounded == exact if exact >= least else bounded < least
+        short, long = sorted((a, b), key=len)
+        stretches = [long[max(0, i) : i + len(short)] for i in range(1 - len(short), len(long))]
+        assert partial_ratio(a, b) == (max(plain(short, s) for s in stretches) if short else 0.0 if long else 100.0)
+
+
 def test_urls(spark):
     assert run(spark, ["coop.example/bids", "http://a.b", "nodots", "", None], T.normalized_url) == ["https://coop.example/bids", "http://a.b", None, None, None]
     assert run(spark, ["www.coop.com:80", "wwwheat.co.uk", "localhost"], T.registered_domain) == ["coop.com", "co.uk", "localhost"]
