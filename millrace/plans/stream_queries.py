@@ -52,3 +52,20 @@ def q38_stream_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{at}/out")
     return bids.current(rows, ["key"], [F.desc("batch")]).select(F.col("key").alias("user_id"), "streak")
+
+
+@query("q79_resumed_streak", f"SELECT * FROM ({_STREAK}) WHERE user_id IN (SELECT user_id FROM events WHERE event_id % 3 = 0)")
+def q79_resumed_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three events are stored, the third is streamed: users of streamed ones have the streak of all their events."""
+    at = _folder(spark)
+    order = F.concat(F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
+    session = bids.stateful_session(spark)
+    stored = table(session, sf_dir, "events").where("event_id % 3 <> 0")
+    found = bids.resumed_streaks(_events(session, sf_dir).where("event_id % 3 = 0"), stored, key="user_id", signature="event_type", order=order)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/part={number}")
+
+    found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{at}/out")
+    return bids.current(rows, ["key"], [F.desc("batch")]).select(F.col("key").alias("user_id"), "streak")
