@@ -16,6 +16,10 @@ TARGET_ENTROPY = 0.9
 MAX_EPOCHS = 4.0
 #: Documents of all sources in a bucket of the hash, in the mean; a block is a bucket of one source.
 BUCKET_DOCS = 2048
+#: A row that repeats more often than a bucket holds, and than in one of so many rows, is dealt copy by copy: there are fewer such rows than this.
+HOT_ROWS = 100_000
+#: Copies of a row that one row stands for until they are dealt.
+RUN = 4096
 BISECTIONS = 60
 SEED = 17
 #: Stands for a missing source.
@@ -92,6 +96,21 @@ def target_weights(totals: DataFrame, *, target_entropy: float = TARGET_ENTROPY,
     )
 
 
+def _copies_dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows, with a hash of its own for each copy of those in hot(h, g), which are fewer than HOT_ROWS.
+
+    Copies are counted, not numbered where they stand: tasks pass on one row and a count, and what is made of it doesn't
+    depend on the order of rows, so a task that is run again gives the same.
+    """
+    mark = F.broadcast(hot)
+    others = rows.join(mark, ["h", "g"], "left_anti")
+    same = rows.join(mark, ["h", "g"], "left_semi").groupBy("h", "g", "source", "tokens").agg(F.first("row").alias("row"), F.count("*").alias("n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, which isn't merged into few again
+    runs = same.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN)))).repartition(parts, "h", "run")
+    each = runs.withColumn("nth", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("n")) - 1)))
+    return others.unionByName(each.withColumn("h", F.xxhash64("h", "nth")).select(*others.columns))
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -105,7 +124,8 @@ def mix_sources(
     """A row for each time a document is read: the columns `carry`, then mix_source, mix_weight, mix_epoch, mix_block,
     mix_place and mix_at. With `whole_rows`, the input's row as the struct `row` instead of `carry`.
 
-    A source's documents are dealt to blocks by a hash of the row. In each epoch its blocks are permuted, and the
+    A source's documents are dealt to blocks by a hash of the row; the copies of a row that is very often there have
+    hashes of their own (not so with `whole_rows` over columns of maps or variants, which can't be compared). In each epoch its blocks are permuted, and the
     documents within a block. Whole epochs read all; the last one reads blocks until the source's budget (its epochs
     times its tokens) is used up, and of the block where that happens the documents that still fit. mix_at is the part of
     the source's budget that was read before the block: ordering by it interleaves the sources at their weights from
@@ -126,10 +146,16 @@ def mix_sources(
         (F.struct("*") if whole_rows else F.struct(*carry)).alias("row"),
         F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("tokens"),
-        F.xxhash64(F.lit(SEED), *map(quoted, dict.fromkeys([*kept, text_col]))).alias("h"),
+        *(F.xxhash64(F.lit(SEED + k), *map(quoted, dict.fromkeys([*kept, text_col]))).alias(c) for k, c in enumerate("hg")),
     )
-    slim = stored(rows.select("source", "tokens", "h"))
-    buckets = max(1, -(-slim.count() // BUCKET_DOCS))
+    slim = stored(rows.select("source", "tokens", "h", "g"))
+    total = slim.count()
+    buckets = max(1, -(-total // BUCKET_DOCS))
+    if len(kept) == len(docs.columns if whole_rows else carry):
+        hot = stored(slim.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") > max(BUCKET_DOCS, total / HOT_ROWS)).select("h", "g"))
+        if not hot.isEmpty():
+            rows = _copies_dealt(rows, hot)
+            slim = stored(rows.select("source", "tokens", "h"))
     bucket = F.pmod("h", F.lit(buckets)).alias("block")
     blocks = slim.groupBy("source", bucket).agg(F.sum("tokens").alias("tokens"))
     weights = target_weights(
