@@ -37,13 +37,6 @@ SHAPES = {
 }
 
 
-def column_shapes(cells: DataFrame) -> DataFrame:
-    """One row per column of a grid: the share of its non-empty cells with each shape. Partial sums before any shuffle."""
-    filled = F.col("cell") != ""
-    share = lambda p: F.coalesce(F.avg(F.when(filled, F.regexp_like("cell", F.lit(p)).cast("double"))), F.lit(0.0))
-    return cells.groupBy(*GRID, "col").agg(*(share(p).alias(n) for n, p in SHAPES.items()))
-
-
 def column_shapes(cells: DataFrame) -> DataFrame:
     """One row per column of a grid: the share of its non-empty cells with each shape. Partial sums before any shuffle."""
     filled = F.col("cell") != ""
