@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Blanks at the ends, no-break spaces and the like included.
-_ENDS = r"(?U)^\s+|\s+$"
+#: Blanks, no-break spaces and the like included.
+_BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(c: Column) -> Column:
     """Without blanks at both ends; null becomes the empty string."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), _ENDS, "")
+    return F.trim(F.coalesce(c, F.lit("")), F.lit(_BLANKS))
 
 
 def first_match(c: Column, pattern: str, group: int = 0) -> Column:

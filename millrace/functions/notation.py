@@ -19,7 +19,12 @@ _SYMBOL = rf"(?i)^@?([A-Z]{{1,3}})\s?([{MONTH_CODES}])(\d{{1,2}})$"
 
 
 def _bare(raw: Column) -> Column:
-    return stripped(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[$,]", ""))
+    return stripped(F.translate(F.coalesce(raw, F.lit("")), "$,", ""))
+
+
+def _says(text: Column, *words: str) -> Column:
+    """Whether a text without blanks at its ends is one of these words in any case."""
+    return F.regexp_like(text, F.lit("(?i)^(?:" + "|".join(map(re.escape, words)) + r")\z"))
 
 
 def eighths(text: Column) -> Column:
@@ -45,7 +50,7 @@ def price(raw: Column) -> Column:
 
 
 def _price(text: Column, eighth: Column, digits: Column) -> Column:
-    none = (text == "") | F.lower(text).isin("n/a", "na", "-", "closed", "call")
+    none = (text == "") | _says(text, "n/a", "na", "-", "closed", "call")
     number = digits.try_cast("double")
     cents = eighth.isNull() & (F.abs(number) > 50)
     value = F.when(none, None).when(eighth.isNotNull(), eighth).when(cents, number / 100).otherwise(number)
@@ -58,7 +63,7 @@ def basis(raw: Column) -> Column:
 
 
 def _basis(text: Column, eighth: Column, digits: Column) -> Column:
-    none = (text == "") | F.lower(text).isin("n/a", "na", "-")
+    none = (text == "") | _says(text, "n/a", "na", "-")
     number = digits.try_cast("double")
     cents = eighth.isNull() & ~digits.contains(".") & (F.abs(number) >= 3)
     value = F.when(none, None).when(eighth.isNotNull(), eighth).when(cents, number / 100).otherwise(number)
@@ -77,7 +82,7 @@ def change(raw: Column) -> Column:
 
 
 def _change(text: Column, eighth: Column, digits: Column) -> Column:
-    still = F.lower(text).isin("unch", "uc", "nc", "-", "0", "0.00")
+    still = _says(text, "unch", "uc", "nc", "-", "0", "0.00")
     value = F.when(text == "", None).when(still, 0.0).when(eighth.isNotNull(), eighth).otherwise(digits.try_cast("double"))
     return F.round(value, 6) + F.lit(0.0)
 
@@ -93,7 +98,7 @@ def month_number(word: Column) -> Column:
 
 def futures_month(raw: Column, ref: Column) -> Column:
     """'YYYY-MM' from a name with a year or a contract symbol. A one-digit year is in the reference date's decade, or the next."""
-    return bound(stripped(raw), lambda text: _futures_month(text, ref))
+    return bound(stripped(raw), lambda text: F.when(text != "", _futures_month(text, ref)))
 
 
 def _futures_month(text: Column, ref: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from millrace import vocabulary as V
 from millrace.functions import dates, hashing, notation
 from millrace.functions.columns import bound, no_notes, stripped
-from millrace.functions.fuzzy import header_roles_udf
 from millrace.sources.html_grids import html_read
 
 LOW_SCORE, ACCEPT_SCORE = 4, 8
@@ -44,10 +43,30 @@ def column_shapes(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*GRID, "col").agg(*(share(p).alias(n) for n, p in SHAPES.items()))
 
 
+#: Shapes that take a whole cell, of which it has one at most, by the characters that such a cell starts with.
+_WHOLE = {"$0123456789": ["price", "price_cents", "eighths", "mdy"], "+-": ["basis", "change_8ths"]}
+_BIT = {n: 1 << k for k, n in enumerate(SHAPES)}
+
+
+def shape_bits(cell: Column) -> Column:
+    """int: a bit for each shape of a non-empty cell without blanks at its ends. Its first character and what it has already
+    leave few patterns to be tried."""
+    has = lambda n: F.regexp_like(cell, F.lit(SHAPES[n]))
+    bit = lambda n: F.when(has(n), _BIT[n]).otherwise(0)
+    month = F.when(has("month_in"), F.lit(_BIT["month_in"]) + bit("month") + bit("date_range")).otherwise(0)
+    out = F.when(F.lit(False), 0)
+    for start, names in _WHOLE.items():
+        of_start = F.when(F.lit(False), 0)
+        for n in names:
+            of_start = of_start.when(has(n), _BIT[n])
+        out = out.when(F.substring(cell, 1, 1).isin(list(start)), of_start.otherwise(bit("month_in")))
+    return out.otherwise(month + bit("fut_month") + bit("commodity"))
+
+
 def shape_shares(cells: Column) -> Column:
     """struct with the share of a column's non-empty cells that have each shape; 0 if there are none."""
-    share = lambda p: F.coalesce(F.size(F.filter(cells, lambda x: F.regexp_like(x, F.lit(p)))) / F.nullif(F.size(cells), F.lit(0)), F.lit(0.0))
-    return F.struct(*(share(p).alias(n) for n, p in SHAPES.items()))
+    share = lambda bits, n: F.coalesce(F.size(F.filter(bits, lambda x: x.bitwiseAND(F.lit(_BIT[n])) != 0)) / F.nullif(F.size(bits), F.lit(0)), F.lit(0.0))
+    return bound(F.transform(cells, shape_bits), lambda bits: F.struct(*(share(bits, n).alias(n) for n in SHAPES)))
 
 
 def vague(header: Column) -> Column:
@@ -200,7 +219,7 @@ def graded(read: DataFrame) -> DataFrame:
 
     A grid is one row of arrays, so all but the last is worked out in place; rows move once, to meet those of their page.
     """
-    rows = read.select("page_id", "as_of_text", "crashed", F.inline_outer("grids")).withColumn("header_roles", header_roles_udf("header"))
+    rows = read.select("page_id", "as_of_text", "crashed", F.inline_outer("grids"))
     cells = F.transform("rows", lambda row: F.transform(row, stripped))
     filled = lambda cells: F.transform(  # noqa: E731  the non-empty cells of each column
         F.sequence(F.lit(0), F.array_max(F.transform(cells, lambda row: F.size(row))) - 1),
@@ -216,6 +235,8 @@ def graded(read: DataFrame) -> DataFrame:
 
     found = rows.withColumn("g", F.when(F.col("grid").isNotNull(), bound(bound(cells, columns), measured)))
     found = found.select("page_id", "as_of_text", "crashed", "grid", "context", "anchor", "last", "g.*")
+    # cells are few bytes and much work: a number that is named keeps all tasks, where others would be put together by bytes
+    found = found.repartition(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
     good = F.col("score") >= LOW_SCORE
     # elements lie in each other or apart: what began before and ends after this one's place holds it
     before = Window.partitionBy("page_id").orderBy("anchor").rangeBetween(Window.unboundedPreceding, -1)
