@@ -77,8 +77,7 @@ def q47_first_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("grp"), F.col("o_custkey").alias("site"), F.to_date("o_orderdate").alias("item")
     )
-    pairs = quality.overlaps(rows, group="grp", member="site", item="item", least=0.3)
-    return quality.first_overlap(pairs, member="site").select("site", "other")
+    return quality.first_others(rows, group="grp", member="site", item="item", least=0.3)
 
 
 @query(
