@@ -254,9 +254,10 @@ def extract_bids(pages: DataFrame, ref_date: Column, *, id_col: str = "page_id",
     return bids_of(html_read(pages, id_col=id_col, html_col=html_col), ref_date)
 
 
-def bids_of(read: DataFrame, ref_date: Column) -> tuple[DataFrame, DataFrame]:
-    """As extract_bids, from what html_read gives; both results start from it, so keep it if both are wanted."""
-    grids = graded(read)
+def bids_of(read: DataFrame, ref_date: Column, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """As extract_bids, from what html_read gives. If both results are wanted, `keep` stores what they share and gives it back,
+    so that it is planned and worked out once."""
+    grids = keep(graded(read))
     priced = F.arrays_overlap("roles", F.array(F.lit("cash_price"), F.lit("basis")))
     cell = lambda role: F.get("cells", (F.array_position("roles", role) - 1).cast("int"))
     rows = grids.where("chosen").where(priced).select("page_id", "grid", "score", "context", "as_of_text", "roles", F.posexplode("cells").alias("row", "cells"))
@@ -265,6 +266,7 @@ def bids_of(read: DataFrame, ref_date: Column) -> tuple[DataFrame, DataFrame]:
     named = F.when(F.regexp_like("context", F.lit(V.COMMODITY_WORD)), F.col("context"))
     bids = typed_rows(rows.withColumns({"commodity_ctx": named, "ref_date": F.coalesce("as_of_date", ref_date)}))
     bids = bids.withColumn("confidence", F.when(F.col("score") < ACCEPT_SCORE, F.least("confidence", F.lit(0.5))).otherwise(F.col("confidence")))
+    bids = keep(bids)
     found = bids.groupBy("page_id").agg(
         F.count("*").alias("n_rows"), F.least(F.lit(1.0), F.avg("confidence")).alias("confidence"), F.bool_or(F.col("score") < ACCEPT_SCORE).alias("unsure")
     )

@@ -147,6 +147,13 @@ class Run:
         rows.withColumn("run_id", F.lit(self.run_id).cast("long")).write.mode("overwrite").parquet(path)
         return self.store.spark.read.parquet(path)
 
+    def step(self, rows: DataFrame) -> DataFrame:
+        """Writes what later steps share, and gives what was written: plans begin anew there. It is no part of the run, and the
+        folder may go when the run is committed."""
+        path = f"{self.store.path}/steps/{_attempt()}"
+        rows.write.parquet(path)
+        return self.store.spark.read.parquet(path)
+
     def part(self) -> None:
         """Begins another part."""
         self.attempts.append(_attempt())
