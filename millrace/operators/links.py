@@ -66,21 +66,22 @@ def with_siblings(links: DataFrame, known: DataFrame, *, key: list[str]) -> Data
     return own.join(by_stem, [*key, "stem"], "left").withColumn("sibling", F.coalesce(other, F.lit(False))).drop("lo", "hi", "path", "stem")
 
 
-def discover(pages: DataFrame, known: DataFrame) -> DataFrame:
+def discover(pages: DataFrame, known: DataFrame, *, by: str = "page_id") -> DataFrame:
     """Likely bid pages linked from pages(page_id, url, html): page_id, url, anchor_text, score, reasons, rank.
 
-    known: page_id, known_url. Links to other sites, to the page itself and to known pages are left out; of equal targets
-    the one with the best score counts, of equal scores the first.
+    known: page_id, known_url; or another column of the pages instead, named by `by`, so that what many pages share is given
+    once. Links to other sites, to the page itself and to known pages are left out; of equal targets the one with the best
+    score counts, of equal scores the first.
     """
-    base = pages.select("page_id", F.col("url").alias("base_url"))
+    base = pages.select(*dict.fromkeys(["page_id", by]), F.col("url").alias("base_url"))
     links = html_links(pages).where("trim(href) <> '' AND NOT trim(href) RLIKE '^(mailto:|tel:|javascript:|#)'").join(base, "page_id")
     links = links.withColumn("absolute", _joined("base_url", "href")).where("absolute RLIKE '^https?://'")
     same = T.registered_domain(T.host(F.col("absolute"))) == T.registered_domain(T.host(F.col("base_url")))
     url = F.regexp_replace(F.regexp_replace("absolute", "#.*$", ""), "/+$", "")
     links = links.where(same).withColumn("url", url).where((F.col("url") != "") & (F.col("url") != F.regexp_replace("base_url", "/+$", "")))
-    seen = known.select("page_id", T.comparable_url(F.col("known_url")).alias("same_url")).distinct()
-    links = links.withColumn("same_url", F.lower("url")).join(seen, ["page_id", "same_url"], "left_anti")
-    scored = score_links(with_siblings(links, known, key=["page_id"]))
+    seen = known.select(by, T.comparable_url(F.col("known_url")).alias("same_url")).distinct()
+    links = links.withColumn("same_url", F.lower("url")).join(seen, [by, "same_url"], "left_anti")
+    scored = score_links(with_siblings(links, known, key=[by]))
     best = Window.partitionBy("page_id", "url").orderBy(F.desc("score"), "nth")
     first = F.min("nth").over(Window.partitionBy("page_id", "url"))
     kept = scored.withColumns({"k": F.row_number().over(best), "first": first}).where((F.col("k") == 1) & (F.col("score") >= LEAST_SCORE))
