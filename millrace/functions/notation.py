@@ -44,9 +44,23 @@ def _result(value: Column, note_list: Column) -> Column:
     return F.struct((value + F.lit(0.0)).alias("value"), note_list.alias("notes"))
 
 
+#: A number with a point and nothing else: no eighths, no words, nothing to be taken off.
+_DECIMAL = r"^[-+]?\d{0,4}\.\d{1,6}\z"
+
+
+def _if_decimal(raw: Column, then: Callable[[Column], Column], other: Column) -> Column:
+    """then(number) of a text that is just a decimal number, as most are; else what its whole reading gives."""
+    return F.when(F.regexp_like(raw, F.lit(_DECIMAL)), bound(raw.try_cast("double"), then)).otherwise(other)
+
+
 def price(raw: Column) -> Column:
     """struct<value, notes>: dollars, cents above 50, or eighths; 'n/a', 'closed' and the like are null."""
-    return bound(_bare(raw), lambda text: _read(text, _price))
+
+    def decimal(x: Column) -> Column:
+        cents = F.abs(x) > 50
+        return _result(F.round(F.when(cents, x / 100).otherwise(x), 6), F.when(cents, F.array(F.lit("unit_assumed_cents"))).otherwise(no_notes()))
+
+    return _if_decimal(raw, decimal, bound(_bare(raw), lambda text: _read(text, _price)))
 
 
 def _price(text: Column, eighth: Column, digits: Column) -> Column:
@@ -59,7 +73,12 @@ def _price(text: Column, eighth: Column, digits: Column) -> Column:
 
 def basis(raw: Column) -> Column:
     """struct<value, notes>: whole numbers from 3 on are cents; beyond five dollars either way it can't be a basis."""
-    return bound(_bare(raw), lambda text: _read(text, _basis))
+
+    def decimal(x: Column) -> Column:
+        far = F.abs(x) > 5
+        return _result(F.round(F.when(~far, x), 6), F.when(far, F.array(F.lit("basis_out_of_range"))).otherwise(no_notes()))
+
+    return _if_decimal(raw, decimal, bound(_bare(raw), lambda text: _read(text, _basis)))
 
 
 def _basis(text: Column, eighth: Column, digits: Column) -> Column:
@@ -78,7 +97,7 @@ def _basis(text: Column, eighth: Column, digits: Column) -> Column:
 
 def change(raw: Column) -> Column:
     """Null if there is none, 0 if unchanged."""
-    return bound(stripped(raw), lambda text: _read(text, _change))
+    return _if_decimal(raw, lambda x: F.round(x, 6) + F.lit(0.0), bound(stripped(raw), lambda text: _read(text, _change)))
 
 
 def _change(text: Column, eighth: Column, digits: Column) -> Column:

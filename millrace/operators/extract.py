@@ -29,11 +29,7 @@ def shape_role(share: dict[str, Column]) -> Column:
     return out
 
 
-SHAPES = {
-    "price": V.PRICE, "price_cents": V.PRICE_CENTS, "basis": V.BASIS, "eighths": V.EIGHTHS, "change_8ths": V.CHANGE_8THS, "mdy": V.DATE_MDY,
-    "fut_month": V.FUT_MONTH, "date_range": V.DATE_RANGE, "commodity": "(?i)^" + V.COMMODITY_WORD.removeprefix("(?i)"),
-    "month": r"(?i)^\b" + V.MONTH_WORD, "month_in": r"(?i)\b" + V.MONTH_WORD,
-}
+SHAPES = V.SHAPES
 
 
 def column_shapes(cells: DataFrame) -> DataFrame:
@@ -214,34 +210,35 @@ def with_hashes(bids: DataFrame, *, page: list[str], ordinal: list[str]) -> Data
 
 
 def graded(read: DataFrame) -> DataFrame:
-    """One row per grid of a page (one with a null grid for a page without any): its cells without blanks at their ends,
-    column roles, score, and whether it is `chosen`: it has enough points and lies in no other such grid of its page.
+    """One row per grid of a page (one with a null grid for a page without any): its cells, score, whether it is `chosen`
+    (it has enough points and lies in no other such grid of its page), and then the roles of its columns.
 
-    A grid is one row of arrays, so all but the last is worked out in place; rows move once, to meet those of their page.
+    A grid is one row of arrays, worked out in place; rows move once, to meet those of their page. Cells come without blanks
+    at their ends, and with the shapes of their columns, but where a cell is beyond ASCII.
     """
     rows = read.select("page_id", "as_of_text", "crashed", F.inline_outer("grids"))
-    cells = F.transform("rows", lambda row: F.transform(row, stripped))
     filled = lambda cells: F.transform(  # noqa: E731  the non-empty cells of each column
         F.sequence(F.lit(0), F.array_max(F.transform(cells, lambda row: F.size(row))) - 1),
         lambda i: F.filter(F.transform(cells, lambda row: F.get(row, i)), lambda x: x != ""),
     )
-    columns = lambda cells: F.struct(cells.alias("cells"), F.transform(filled(cells), shape_shares).alias("shapes"))
     near = F.concat_ws(" ", "context", "around")
 
-    def measured(g: Column) -> Column:
-        score = grid_score(g["shapes"], F.col("header_roles"), near)
-        roles = F.when(score >= LOW_SCORE, column_roles(g["shapes"], F.col("header"), F.col("header_roles"), g["cells"]))
-        return F.struct(g["cells"].alias("cells"), score.alias("score"), roles.alias("roles"))
+    def measured(shapes: Column) -> Column:
+        score = grid_score(shapes, F.col("header_roles"), near)
+        return F.struct(score.alias("score"), F.when(score >= LOW_SCORE, shapes).alias("shapes"))
 
-    found = rows.withColumn("g", F.when(F.col("grid").isNotNull(), bound(bound(cells, columns), measured)))
-    found = found.select("page_id", "as_of_text", "crashed", "grid", "context", "anchor", "last", "g.*")
+    shapes = F.coalesce("shapes", F.transform(filled(F.col("rows")), shape_shares))
+    found = rows.withColumn("g", F.when(F.col("grid").isNotNull(), bound(shapes, measured)))
+    found = found.select("page_id", "as_of_text", "crashed", "grid", "context", "anchor", "last", "header", "header_roles", F.col("rows").alias("cells"), "g.*")
     # cells are few bytes and much work: a number that is named keeps all tasks, where others would be put together by bytes
     found = found.repartition(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
     good = F.col("score") >= LOW_SCORE
     # elements lie in each other or apart: what began before and ends after this one's place holds it
     before = Window.partitionBy("page_id").orderBy("anchor").rangeBetween(Window.unboundedPreceding, -1)
     held = F.coalesce(F.max(F.when(good, F.col("last"))).over(before) >= F.col("anchor"), F.lit(False))
-    return found.withColumn("chosen", F.coalesce(good & ~held, F.lit(False))).drop("anchor", "last")
+    found = found.withColumn("chosen", F.coalesce(good & ~held, F.lit(False)))
+    roles = F.when(F.col("chosen"), column_roles(F.col("shapes"), F.col("header"), F.col("header_roles"), F.col("cells")))
+    return found.withColumn("roles", roles).drop("anchor", "last", "header", "header_roles", "shapes")
 
 
 def extract_bids(pages: DataFrame, ref_date: Column, *, id_col: str = "page_id", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
@@ -260,11 +257,14 @@ def bids_of(read: DataFrame, ref_date: Column, keep: Callable[[DataFrame], DataF
     grids = keep(graded(read))
     priced = F.arrays_overlap("roles", F.array(F.lit("cash_price"), F.lit("basis")))
     cell = lambda role: F.get("cells", (F.array_position("roles", role) - 1).cast("int"))
-    rows = grids.where("chosen").where(priced).select("page_id", "grid", "score", "context", "as_of_text", "roles", F.posexplode("cells").alias("row", "cells"))
-    rows = rows.select("page_id", "grid", "row", "score", "context", "as_of_text", *(cell(r).alias(r) for r in V.ROLES if r not in ("notes", "location")))
-    rows = rows.withColumn("as_of_date", dates.as_of(F.col("as_of_text")))
+    # what the rows of a grid share is worked out before they are taken apart
     named = F.when(F.regexp_like("context", F.lit(V.COMMODITY_WORD)), F.col("context"))
-    bids = typed_rows(rows.withColumns({"commodity_ctx": named, "ref_date": F.coalesce("as_of_date", ref_date)}))
+    told = grids.where("chosen").withColumns({"as_of_date": dates.as_of(F.col("as_of_text")), "commodity_ctx": named})
+    shared = ["page_id", "grid", "score", "context", "as_of_text", "as_of_date", "commodity_ctx"]
+    # a filter by roles would be pushed below them, and find them twice
+    rows = told.select(*shared, "roles", F.posexplode(F.when(priced, F.col("cells"))).alias("row", "cells"))
+    rows = rows.select(*shared, "row", *(cell(r).alias(r) for r in V.ROLES if r not in ("notes", "location")))
+    bids = typed_rows(rows.withColumn("ref_date", F.coalesce("as_of_date", ref_date)))
     bids = bids.withColumn("confidence", F.when(F.col("score") < ACCEPT_SCORE, F.least("confidence", F.lit(0.5))).otherwise(F.col("confidence")))
     bids = keep(bids)
     found = bids.groupBy("page_id").agg(

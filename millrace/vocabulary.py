@@ -59,6 +59,12 @@ DATE_MDY = r"^\d{1,2}/\d{1,2}/\d{2,4}$"
 FUT_MONTH = r"(?i)^(?:\b" + MONTH_WORD + r"[a-z]*\.?\s*'?\d{2}\b|\b[A-Z]{1,3}\s?[FGHJKMNQUVXZ]\d{1,2}\b)"
 DATE_RANGE = r"(?i)^\b" + MONTH_WORD + r"[a-z]*\.?\s+\d{1,2}\s*[-–]"
 COMMODITY_WORD = r"(?i)\b(corn|soybean|beans|wheat|oats|milo|sorghum|barley|canola|rye|sunflower)"
+#: Shapes that a cell can have; how many cells of a column have which says what the column is.
+SHAPES = {
+    "price": PRICE, "price_cents": PRICE_CENTS, "basis": BASIS, "eighths": EIGHTHS, "change_8ths": CHANGE_8THS, "mdy": DATE_MDY,
+    "fut_month": FUT_MONTH, "date_range": DATE_RANGE, "commodity": "(?i)^" + COMMODITY_WORD.removeprefix("(?i)"),
+    "month": r"(?i)^\b" + MONTH_WORD, "month_in": r"(?i)\b" + MONTH_WORD,
+}
 
 # --- fixed values: words in links, vendors' marks, probing ---
 STRONG_LINK = ["cashbid", "cash-bid", "cash_bid", "cashbids"]
