@@ -54,3 +54,17 @@ def test_roles_are_found_once(spark):
     plan = bids.select("page_id", "cash_price")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[cash_price,basis]") == 1 and not any("cash_price,basis]" in line and "Filter" in line for line in plan.splitlines())
     assert [r.cash_price for r in bids.collect()] == [4.1] * 3
+
+
+def test_rows_at_once_equal_the_librarys():
+    rng = random.Random(9)
+    cell = lambda: rng.choice(["<td>{}</td>", "<th>{}</th>", "<td>{}</th>", "<td>{}", "<td class='a'>{}</td>", "<TD>{}</TD>", "<td><b>{}</b></td>"][: rng.choice([2, 2, 7])]).format(rng.choice(["", " ", "x", " y z ", "1 > 0", "a &amp; b", "4.10"]))
+    row = lambda: rng.choice(["<tr>{}</tr>", "<tr>{}</tr>", "<tr>{}", "<tr >{}</tr>", "<TR>{}</tr>"]).format("".join(cell() for _ in range(rng.randrange(4))))
+    flat = lambda root: (root.words, [(x.tag, x.attrs, x.order, x.last, x.texts, x.upto, [p if isinstance(p, str) else p.order for p in x.parts], [c.order for c in x.children]) for x in root.walk()])
+    for _ in range(3000):
+        html = "".join(rng.choice(["<table>", "</table>", "<tr>", "<td>", "<p>", "<script>", "</script>", "<title>t</title>", row(), row(), row()]) for _ in range(rng.randrange(1, 9)))
+        whole = H._Builder()
+        whole.feed(html)
+        whole.close()
+        built = H._built(html)
+        assert flat(built.root) == flat(whole.root) and built.nodes == list(built.root.walk()), html
